@@ -7,8 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shards, url_filter
-from .common import read
+from . import bpe, shards, token_store, url_filter
+from .common import read, shared_dir
+
+
+def vocabulary() -> tuple[str, str]:
+    """Path of the tokenizer file and the pattern that cuts its pieces."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    token_store.write(read(spark, sf_dir, "documents").select("doc_id", "text"), path, vocabulary()[0], end_id=2)
+    return token_store.checksums(token_store.read(spark, path))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary())
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +46,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_store": op4_token_store,
+    "op5_bpe": op5_bpe,
     "op7_shards": op7_shards,
     "op9_url_filter": op9_url_filter,
 }
