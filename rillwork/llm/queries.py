@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, shards, token_store, url_filter
+from . import bpe, repetition, shards, token_store, url_filter
 from .common import read, shared_dir
 
 
@@ -18,6 +18,12 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
+def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return repetition.quality_rules(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_chars")
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     token_store.write(read(spark, sf_dir, "documents").select("doc_id", "text"), path, vocabulary()[0], end_id=2)
@@ -46,6 +52,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repetition": op1_repetition,
     "op4_token_store": op4_token_store,
     "op5_bpe": op5_bpe,
     "op7_shards": op7_shards,
@@ -53,6 +60,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_repetition": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, len(w) AS n FROM d),
+ahead AS (SELECT *, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS w2, lead(word, 3) OVER o AS w3, lead(word, 4) OVER o AS w4 FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+grams AS (SELECT doc_id, i, n, length(word) AS c,
+    CASE WHEN i + 2 <= n THEN count(*) OVER (PARTITION BY doc_id, word, w1, w2) ELSE 0 END AS n3,
+    CASE WHEN i + 4 <= n THEN count(*) OVER (PARTITION BY doc_id, word, w1, w2, w3, w4) ELSE 0 END AS n5 FROM ahead),
+long_ones AS (SELECT doc_id, hash(list_slice(w, i, i + 60)) AS h FROM grams JOIN d USING (doc_id) WHERE n5 > 1 AND i + 60 <= n GROUP BY ALL HAVING count(*) > 1),
+held AS (SELECT doc_id, c,
+    max(n3) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) > 1 AS in3,
+    max(n5) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 1 AS in5 FROM grams),
+sums AS (SELECT doc_id, count(*) AS n_words, sum(c) AS word_chars, count(*) FILTER (in3) AS n_repeat_words, coalesce(sum(c) FILTER (in5), 0) AS covered_chars,
+    doc_id IN (SELECT doc_id FROM long_ones) AS long FROM held GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+joined AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(covered_chars, 0) AS covered_chars, coalesce(long, false) AS long
+    FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN dups USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM joined)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+    CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(covered_chars AS BIGINT) AS covered_chars, base_failed,
+    NOT base_failed AND 100 * covered_chars <= 40 * word_chars AND NOT long AS kept FROM judged""",
     "op9_url_filter": r"""
 WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
 cut AS (SELECT page_id, translate(regexp_extract(coalesce(r, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
