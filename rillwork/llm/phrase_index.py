@@ -12,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import BROADCAST_ROWS, ascii_lower, materialize, small
 
 #: What separates words: ASCII but digits and small letters (text is lower-cased first).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Tables of at most so many short rows (about 50 bytes each) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
 #: The entry that every document has: no word is a space.
 _MARK, _MARK_ID = " ", -1
 
@@ -26,11 +24,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it is a short table by its row count; a written table is counted from its metadata."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def windows(items: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The different windows of the items' texts as (wid, words), and (wid, item): ``size`` consecutive words,
     or all words of an item that has fewer, but some."""

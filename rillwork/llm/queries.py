@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, phrase_index, repetition, shards, token_store, url_filter
+from . import bpe, line_dedup, phrase_index, repetition, shards, simhash, token_store, url_filter
 from .common import read, shared_dir
 
 
@@ -39,6 +39,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary())
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, width=4, distance=4).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op4_token_store": op4_token_store,
     "op5_bpe": op5_bpe,
+    "op6_simhash": op6_simhash,
     "op7_shards": op7_shards,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
