@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, phrase_index, repetition, shards, simhash, token_store, url_filter
+from . import bpe, line_dedup, phrase_index, quality_cnn, repetition, shards, simhash, token_store, url_filter
 from .common import read, shared_dir
 
 
@@ -66,6 +66,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(pages, url_filter.fixed_rules(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Fixed by the contract: scores from here on are of label 1.
+QUALITY_THRESHOLD = 0.3
+
+
+def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_cnn.fit(docs, read(spark, sf_dir, "labels"))
+    scored = quality_cnn.score(docs, model)
+    return scored.select("doc_id", quality_cnn.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition": op1_repetition,
     "op2_decontamination": op2_decontamination,
@@ -75,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_shards": op7_shards,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
+    "op10_quality_cnn": op10_quality_cnn,
 }
 
 ORACLE_SQL: dict[str, str] = {
