@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, phrase_index, quality_cnn, repetition, shards, simhash, token_store, url_filter
-from .common import read, shared_dir
+from . import bpe, chat_log, line_dedup, phrase_index, quality_cnn, repetition, shards, simhash, token_store, url_filter
+from .common import materialize, read, rows_frame, shared_dir
 
 
 def vocabulary() -> tuple[str, str]:
@@ -29,6 +29,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    more = rows_frame(spark, [(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id bigint,turn bigint,role string,text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    log = materialize(chat_log.events_of(rows))
+    return chat_log.digests(materialize(chat_log.render(chat_log.fold(log))))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     token_store.write(read(spark, sf_dir, "documents").select("doc_id", "text"), path, vocabulary()[0], end_id=2)
@@ -80,6 +88,7 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition": op1_repetition,
     "op2_decontamination": op2_decontamination,
+    "op3_chat_log": op3_chat_log,
     "op4_token_store": op4_token_store,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
@@ -123,6 +132,15 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnes
 held AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN held USING (doc_id)""",
+    "op3_chat_log": r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, t))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>' || role || chr(10) || t || '<|im_end|>' || chr(10))
+    + len(regexp_extract_all(t, '<\\*(?:\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>)|\[\\*(?:INST\]|/INST\])'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
     "op8_line_dedup": r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
 keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
