@@ -196,20 +196,21 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text"
     return _mapped(docs, tokenizer, pattern, text_col, ids_col, decoded_col, False)
 
 
-def digests(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """As ``encode``, but with n_tokens, ids_sha256 and decoded_sha256 in place of ids and texts."""
-    return _mapped(docs, tokenizer, pattern, text_col, "ids", "decoded", True)
+def digests(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text", ids_col: str | None = None) -> DataFrame:
+    """As ``encode`` with decoding, but with n_tokens, ids_sha256 and decoded_sha256 in place of the texts, and with the ids only if ``ids_col`` names them."""
+    return _mapped(docs, tokenizer, pattern, text_col, ids_col, None, True)
 
 
-def _mapped(docs: DataFrame, tokenizer: str, pattern: str, text_col: str, ids_col: str, decoded_col: str | None, digest: bool) -> DataFrame:
+def _mapped(docs: DataFrame, tokenizer: str, pattern: str, text_col: str, ids_col: str | None, decoded_col: str | None, digest: bool) -> DataFrame:
     spark = docs.sparkSession
     ship_code(spark)
     source = spark.sparkContext.broadcast(Path(tokenizer).read_bytes())
-    added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else [c for c in (ids_col, decoded_col) if c]
+    outputs = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} if digest else {}
+    outputs |= {c: k for c, k in ((ids_col, "binary"), (decoded_col, "string")) if c}
+    added = list(outputs)
     kept = [c for c in docs.columns if c not in added and not (digest and c == text_col)]
     types = dict(docs.dtypes)
-    kinds = ["long", "string", "string"] if digest else ["binary", "string"][: len(added)]
-    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"`{c}` {k}" for c, k in zip(added, kinds, strict=True)])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"`{c}` {k}" for c, k in outputs.items()])
     n_kept = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,13 +219,14 @@ def _mapped(docs: DataFrame, tokenizer: str, pattern: str, text_col: str, ids_co
             texts = [t or "" for t in batch.column(n_kept).to_pylist()]
             for s in blocks(texts):
                 ids = cache.encode(texts[s])
+                more = []
                 if digest:
                     more = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                             pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids])]
-                else:
-                    more = [pa.array(ids, pa.binary())]
-                    if decoded_col:
-                        more.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
+                if ids_col:
+                    more.append(pa.array(ids, pa.binary()))
+                if decoded_col:
+                    more.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
                 rows = batch.slice(s.start, s.stop - s.start)
                 yield pa.RecordBatch.from_arrays(rows.columns[:n_kept] + more, names=kept + added)
 

@@ -116,7 +116,7 @@ class PositionalIndex:
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 8, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id") -> DataFrame:
-    """One row for each row of ``docs``: the id column, n_words, n_hit, n_items, items (sorted strings) and contaminated.
+    """One row for each row of ``docs``: the id column, n_words, n_hit, n_items, items (sorted strings), spans (start and len, in words from 1) and contaminated.
 
     Null texts have no words; null or empty items match nothing. Repeated rows each get a row. With no items or no documents nothing
     is hit. Documents keep one row each, whatever their other columns are called.
@@ -127,7 +127,17 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 8, min_items: i
     hits = index.n_covered(found)
     pairs = found.select("_row", "wid").distinct().join(small(of), "wid").select("_row", "item").distinct()
     per_doc = pairs.groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    out = index.rows.join(hits, "_row", "left").join(per_doc, "_row", "left")
+    spans = found.select("_row", F.struct("start", "len").alias("_s")).groupBy("_row").agg(F.collect_set("_s").alias("spans"))
+    out = index.rows.join(hits, "_row", "left").join(per_doc, "_row", "left").join(spans, "_row", "left")
     found_items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return out.select(F.col("_id").alias(id_col), "n_words", F.coalesce(F.col("n_hit"), F.lit(0)).cast("long").alias("n_hit"),
-                      F.size(found_items).cast("long").alias("n_items"), found_items.alias("items"), (F.size(found_items) >= min_items).alias("contaminated"))
+                      F.size(found_items).cast("long").alias("n_items"), found_items.alias("items"), "spans", (F.size(found_items) >= min_items).alias("contaminated"))
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """``text`` without the words of the spans (as ``contamination`` gives them) and what separates each from the word before."""
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    parts = F.regexp_extract_all(text, F.lit(rf"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*{word}+"), F.lit(0))
+    tail = F.regexp_extract(text, r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
+    inside = lambda i: F.exists(spans, lambda s: (i + 1 >= s["start"]) & (i + 1 < s["start"] + s["len"]))
+    return F.concat(F.array_join(F.filter(parts, lambda _, i: ~inside(i)), ""), tail)
