@@ -1 +1 @@
-"""functions."""
+"""Scalar functions and the formula language."""

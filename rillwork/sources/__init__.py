@@ -1 +1 @@
-"""sources."""
+"""Change logs, readers and the tables that hold state."""

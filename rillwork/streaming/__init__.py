@@ -1 +1 @@
-"""streaming."""
+"""Continuous change logs through Structured Streaming."""
