@@ -8,46 +8,17 @@ import json
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parents[1]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where a session names no such folder (tests, local runs) is a temporary one made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own_dir(spark)
-    return f"{base.rstrip('/')}/rillwork-{uuid.uuid4().hex}"
-
+from ..sources.storage import materialize, shared_dir
 
-_OWN: list[str] = []
+__all__ = ["ascii_lower", "materialize", "read", "rows_frame", "shared_dir", "ship_code", "small"]
 
-
-def _own_dir(spark: SparkSession) -> str:
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="rillwork-"))
-        atexit.register(shutil.rmtree, _OWN[0], True)
-    return f"file://{_OWN[0]}"
-
-
-def materialize(df: DataFrame, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: this cuts the lineage,
-    and what an executor had computed outlives it."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def ship_code(spark: SparkSession) -> None:
