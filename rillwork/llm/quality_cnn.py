@@ -45,25 +45,29 @@ def chunked(data: bytes) -> bytes:
     return data + bytes(-(len(data) + WIDTH - 1) % CHUNK + WIDTH - 1)
 
 
-def responses(flat: np.ndarray, first: np.ndarray, second: np.ndarray, winners: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """The greatest response of each filter in each chunk of ``flat`` (whole chunks, then WIDTH - 1 bytes), and where it is."""
-    n = (len(flat) - WIDTH + 1) // CHUNK
-    pair = flat[:-1].astype(np.int32) << 8 | flat[1:]
+def responses(flat: np.ndarray, ends: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The greatest response of each filter in each chunk of ``flat``, the padded texts in a row; ``ends`` is where each ends."""
+    n = len(flat) // CHUNK
+    pair = flat.astype(np.int32) << 8
+    pair[:-1] |= flat[1:]
+    ahead = np.zeros_like(pair)
+    ahead[:-2] = pair[2:]
+    # the last windows of a text reach past its padding: into zeros, not into the next text
+    for k in range(1, WIDTH):
+        ahead[ends - k] = 0
+    pair[ends - 1] = 0
     best = np.empty((n, FILTERS), np.float32)
-    where = np.empty((n, FILTERS), np.int64) if winners else None
     step = 32
     a, b = np.empty((2, step * CHUNK, FILTERS), np.float32)
     for k in range(0, n, step):
         m = min(step, n - k)
-        at, size = k * CHUNK, m * CHUNK
-        np.take(first, pair[at:at + size], axis=0, out=a[:size], mode="clip")
-        np.take(second, pair[at + 2:at + 2 + size], axis=0, out=b[:size], mode="clip")
+        part = slice(k * CHUNK, (k + m) * CHUNK)
+        size = m * CHUNK
+        np.take(first, pair[part], axis=0, out=a[:size], mode="clip")
+        np.take(second, ahead[part], axis=0, out=b[:size], mode="clip")
         np.add(a[:size], b[:size], out=a[:size])
-        got = a[:size].reshape(m, CHUNK, FILTERS)
-        got.max(axis=1, out=best[k:k + m])
-        if winners:
-            where[k:k + m] = got.argmax(axis=1) + (np.arange(k, k + m) * CHUNK)[:, None]
-    return best, where
+        a[:size].reshape(m, CHUNK, FILTERS).max(axis=1, out=best[k:k + m])
+    return best
 
 
 def pooled(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -74,10 +78,8 @@ def pooled(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def predict(model: Model, texts: list[bytes], tables: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     parts = [chunked(t) for t in texts]
-    # each text's last window ends inside its own padding, so only the very last needs more
     counts = np.array([len(p) // CHUNK for p in parts])
-    body = b"".join(p[:c * CHUNK] for p, c in zip(parts, counts.tolist(), strict=True)) + bytes(WIDTH - 1)
-    best, _ = responses(np.frombuffer(body, np.uint8), *(tables or model.pairs()))
+    best = responses(np.frombuffer(b"".join(parts), np.uint8), CHUNK * counts.cumsum(), *(tables or model.pairs()))
     x = pooled(np.maximum(best + model.bias, 0), counts)
     z = (x * model.weights).sum(axis=1, dtype=np.float64) + model.offset
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
