@@ -24,7 +24,7 @@ from .common import materialize, ship_code
 from .components import components
 from .word_cache import blocks
 
-BITS, SEED, BLOCK = 64, 42, 8
+BITS, SEED, BLOCK = 64, 42, 4
 #: Cost of a probe row against one candidate check, in the same unit.
 PROBE_COST, CHECK_COST = 100.0, 1.0
 #: Buckets up to this many rows are checked by shifts, larger ones by a sweep; from SPLIT_ROWS on they are divided first.
@@ -244,7 +244,7 @@ def links(prints: DataFrame, distance: int = 4, col: str = "fingerprint") -> Dat
         yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(held.size)), "s": pa.array(held.ravel())})
 
     held = np.zeros(len(blocks_bits) << BLOCK)
-    for r in prints.mapInArrow(tally, "k long, s long").groupBy("k").agg(F.sum("s").alias("s")).collect():  # 2,048 numbers
+    for r in prints.mapInArrow(tally, "k long, s long").groupBy("k").agg(F.sum("s").alias("s")).collect():  # 256 numbers
         held[r["k"]] = r["s"]
     layout = [([b for k in part for b in blocks_bits[k]], t) for part, t in plan(n, [distance_shares(h) for h in held.reshape(len(blocks_bits), -1)], distance) if t >= 0]
 
