@@ -124,16 +124,17 @@ def leads(df: DataFrame, order: Sequence[KeyLike], size: int, tiebreak: Sequence
     return out.where(F.col(f"w{size - 1}").isNotNull())
 
 
-def pairwise(df: DataFrame, order: Sequence[KeyLike], tiebreak: Sequence[str] = (), by: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Pairs of neighbours in the order as structs left and right; equal pairs once."""
+def pairwise(df: DataFrame, order: Sequence[KeyLike], tiebreak: Sequence[str] = (), by: Sequence[str] = (), range_rows: int = RANGE_ROWS, unique: bool = False) -> DataFrame:
+    """Pairs of neighbours in the order as structs left and right; equal pairs once. Rows known to be ``unique`` have unique pairs, so nothing is shuffled for that."""
     found = leads(df, order, 2, tiebreak, by, range_rows).withColumnsRenamed({"w0": "left", "w1": "right"})
-    return found.distinct()
+    return found if unique else found.distinct()
 
 
-def window(df: DataFrame, order: Sequence[KeyLike], size: int, tiebreak: Sequence[str] = (), by: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Sliding windows of exactly ``size`` rows as an array of structs; equal windows once."""
+def window(df: DataFrame, order: Sequence[KeyLike], size: int, tiebreak: Sequence[str] = (), by: Sequence[str] = (), range_rows: int = RANGE_ROWS, unique: bool = False) -> DataFrame:
+    """Sliding windows of exactly ``size`` rows as an array of structs; equal windows once, ``unique`` as in pairwise."""
     found = leads(df, order, size, tiebreak, by, range_rows)
-    return found.select(*by, F.array(*[f"w{k}" for k in range(size)]).alias("window")).distinct()
+    found = found.select(*by, F.array(*[f"w{k}" for k in range(size)]).alias("window"))
+    return found if unique else found.distinct()
 
 
 def rolling(df: DataFrame, order: Sequence[KeyLike], size: int, aggregates: dict[str, Column], tiebreak: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:

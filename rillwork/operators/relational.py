@@ -96,10 +96,10 @@ def total(c: Column | str) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
 
-def group_sizes(df: DataFrame, key: Column | str, name: str = "k", count_name: str = "n") -> DataFrame:
-    """The groups with rows in them, and how many different rows each has; a null key is a group."""
+def group_sizes(df: DataFrame, key: Column | str, name: str = "k", count_name: str = "n", unique: bool = False) -> DataFrame:
+    """The groups with rows in them, and how many different rows each has; a null key is a group. Rows known to be ``unique`` are only counted."""
     key = F.col(key) if isinstance(key, str) else key
-    return df.distinct().groupBy(key.alias(name)).agg(F.count("*").alias(count_name))
+    return (df if unique else df.distinct()).groupBy(key.alias(name)).agg(F.count("*").alias(count_name))
 
 
 def group_keys(df: DataFrame, key: Column | str, name: str = "k") -> DataFrame:
@@ -107,9 +107,10 @@ def group_keys(df: DataFrame, key: Column | str, name: str = "k") -> DataFrame:
     return df.select(key.alias(name)).distinct()
 
 
-def get_group(df: DataFrame, key: Column | str, value) -> DataFrame:
+def get_group(df: DataFrame, key: Column | str, value, unique: bool = False) -> DataFrame:
     key = F.col(key) if isinstance(key, str) else key
-    return df.where(key.eqNullSafe(F.lit(value))).distinct()
+    found = df.where(key.eqNullSafe(F.lit(value)))
+    return found if unique else found.distinct()
 
 
 def join(left: DataFrame, right: DataFrame, left_key: Column | str, right_key: Column | str) -> DataFrame:

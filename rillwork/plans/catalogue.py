@@ -37,6 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set by event_id, so what keeps that column needs no shuffle to be a set."""
     return table(spark, sf_dir, "events")
 
 
@@ -78,13 +79,13 @@ def effective_delta_log(spark, sf_dir):
 @query("SELECT DISTINCT event_id, user_id, event_type, value FROM events WHERE event_type='purchase' AND value > 10.0", "filter")
 def filter_purchases(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "user_id", "event_type", "value")
-    return relational.filter_set(rows, (F.col("event_type") == "purchase") & (F.col("value") > 10.0))
+    return relational.filter_set(rows, (F.col("event_type") == "purchase") & (F.col("value") > 10.0), distinct=False)
 
 
 @query("SELECT DISTINCT event_id, user_id FROM events WHERE user_id % 7 = 3")
 def filter_python(spark, sf_dir):
     """A Python predicate, in Arrow batches."""
-    return relational.filter_set(events(spark, sf_dir).select("event_id", "user_id"), lambda r: r["user_id"] % 7 == 3)
+    return relational.filter_set(events(spark, sf_dir).select("event_id", "user_id"), lambda r: r["user_id"] % 7 == 3, distinct=False)
 
 
 def buckets(spark, sf_dir) -> DataFrame:
@@ -163,7 +164,7 @@ PAIRS = "SELECT event_id AS left_id, nxt AS right_id FROM (SELECT event_id, lead
 
 @query(PAIRS)
 def pairwise(spark, sf_dir):
-    found = ordered.pairwise(events(spark, sf_dir).select("event_id", "ts"), ["ts"], ["event_id"])
+    found = ordered.pairwise(events(spark, sf_dir).select("event_id", "ts"), ["ts"], ["event_id"], unique=True)
     return found.select(F.col("left.event_id").alias("left_id"), F.col("right.event_id").alias("right_id"))
 
 
@@ -173,7 +174,7 @@ WHERE w2 IS NOT NULL"""
 
 @query(WINDOWS)
 def window3(spark, sf_dir):
-    found = ordered.window(events(spark, sf_dir).select("event_id", "ts"), ["ts"], 3, ["event_id"])
+    found = ordered.window(events(spark, sf_dir).select("event_id", "ts"), ["ts"], 3, ["event_id"], unique=True)
     return found.select(*[F.col("window")[k]["event_id"].alias(f"w{k}") for k in range(3)])
 
 
@@ -189,7 +190,7 @@ def rolling_200(spark, sf_dir):
 
 @query("SELECT event_type AS k, count(*) AS n FROM (SELECT DISTINCT event_id, event_type FROM events) t GROUP BY event_type")
 def group_sizes(spark, sf_dir):
-    return relational.group_sizes(events(spark, sf_dir).select("event_id", "event_type"), "event_type")
+    return relational.group_sizes(events(spark, sf_dir).select("event_id", "event_type"), "event_type", unique=True)
 
 
 @query("SELECT DISTINCT event_type AS k FROM events")
@@ -200,14 +201,14 @@ def group_keys(spark, sf_dir):
 @query("SELECT event_id, user_id FROM events WHERE event_type IS NOT DISTINCT FROM 'purchase'")
 def get_group(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "user_id", "event_type")
-    return relational.get_group(rows, "event_type", "purchase").select("event_id", "user_id")
+    return relational.get_group(rows, "event_type", "purchase", unique=True).select("event_id", "user_id")
 
 
 @query("""SELECT event_type, event_id AS left_id, nxt AS right_id FROM (SELECT event_type, event_id, lead(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nxt FROM events) t
 WHERE nxt IS NOT NULL""")
 def group_pairwise(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_type", "event_id", "ts")
-    found = ordered.pairwise(rows, ["ts"], ["event_id"], by=["event_type"])
+    found = ordered.pairwise(rows, ["ts"], ["event_id"], by=["event_type"], unique=True)
     return found.select("event_type", F.col("left.event_id").alias("left_id"), F.col("right.event_id").alias("right_id"))
 
 
@@ -249,7 +250,7 @@ GAPS = """SELECT user_id, CAST(sum(gap_us) AS BIGINT) AS total_gap_us FROM
 @query(GAPS)
 def pipeline_sort_pairwise_map_reduce(spark, sf_dir):
     rows = events(spark, sf_dir).select("user_id", "event_id", micros("ts").alias("us"))
-    pairs = ordered.pairwise(rows, ["us"], ["event_id"], by=["user_id"])
+    pairs = ordered.pairwise(rows, ["us"], ["event_id"], by=["user_id"], unique=True)
     gaps = relational.map_bag(pairs, "user_id", (F.col("right.us") - F.col("left.us")).alias("gap"))
     return gaps.groupBy("user_id").agg(F.sum("gap").alias("total_gap_us"))
 

@@ -19,11 +19,11 @@ from pyspark.sql.types import ArrayType, DataType, StructType, TimestampNTZType
 
 from ..operators import ordered, relational
 from ..operators.zset import W, add, consolidate, diff, elements, expand, negate, payload, same, to_set, touched, weigh
-from ..sources.storage import keep
+from ..sources.storage import HELD_ROWS, keep
 from .graph import Cell, Runtime
 
-#: Deltas that a table holds before they are put together.
-COMPACT_AFTER = 6
+#: Deltas that a table holds before they are put together; rows up to which windows are made again as a whole.
+COMPACT_AFTER, SMALL_ROWS = 6, 20_000
 
 
 class Table:
@@ -31,9 +31,11 @@ class Table:
 
     def __init__(self, empty: DataFrame):
         self.parts = [empty]
+        self.rows = 0  # at most so many, or more than HELD_ROWS
 
-    def append(self, delta: DataFrame) -> None:
+    def append(self, delta: DataFrame, rows: int = HELD_ROWS + 1) -> None:
         self.parts.append(delta)
+        self.rows += rows
         if len(self.parts) > COMPACT_AFTER:
             self.parts = [keep(add(*self.parts))[0]]
 
@@ -77,10 +79,10 @@ class Collection:
 
     def _accept(self, delta: DataFrame) -> bool:
         """Log a delta if it is not empty."""
-        kept, some = keep(delta.select(*self.schema.names, W))
-        if not some:
+        kept, n = keep(delta.select(*self.schema.names, W))
+        if not n:
             return False
-        self.table.append(kept)
+        self.table.append(kept, n)
         self.log.append(kept)
         self.version += 1
         return True
@@ -269,12 +271,12 @@ class Filter(Collection):
 
 def as_set(weights: Table, d: DataFrame) -> DataFrame:
     """A bag's delta as its set's, by the weights of the rows it touches; the weights take it in."""
-    d, some = keep(d)
-    if not some:
+    d, n = keep(d)
+    if not n:
         return d
     old, _ = keep(touched(weights.state(), d))
     out = diff(to_set(add(old, d)), to_set(old))
-    weights.append(d)
+    weights.append(d, n)
     return out
 
 
@@ -428,13 +430,15 @@ class Windows(Collection):
         return placed.where(~_before(keys, types, low) & ~_before(keys, types, high, after=True)).drop(*[f"__o{i}" for i in range(len(keys))])
 
     def _change(self, d: DataFrame) -> DataFrame:
+        d, n = keep(d)
         old = self.before.state()
-        reach = self._near(add(old, weigh(d.drop(W))), d)  # places of both orders
-        edge = reach.drop(W)
-        edge, _ = keep(edge)
-        near_old, near_new = _within(old, edge), _within(add(old, d), edge)
+        if self.before.rows + n <= SMALL_ROWS:  # finding the stretch would cost more jobs than it saves
+            near_old, near_new = old, add(old, d)
+        else:
+            edge, _ = keep(self._near(add(old, weigh(d.drop(W))), d).drop(W))  # places of both orders
+            near_old, near_new = _within(old, edge), _within(add(old, d), edge)
         change = diff(self._bag(near_new), self._bag(near_old))
-        self.before.append(d)
+        self.before.append(d, n)
         return as_set(self.weights, change)
 
 

@@ -33,12 +33,12 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
 
 
 #: A result of at most so many rows is held by the driver rather than written.
-HELD_ROWS = 5_000
+HELD_ROWS = 50_000
 
 
-def keep(df: DataFrame) -> tuple[DataFrame, bool]:
-    """``df`` computed once, and whether it has rows. Small results become local relations, larger ones tables in the shared folder."""
+def keep(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` computed once, and its rows, or HELD_ROWS + 1 for more. Small results become local relations, larger ones tables in the shared folder."""
     held = df.limit(HELD_ROWS + 1).toArrow()
     if held.num_rows <= HELD_ROWS:
-        return df.sparkSession.createDataFrame(held, df.schema), held.num_rows > 0
-    return materialize(df), True
+        return df.sparkSession.createDataFrame(held, df.schema), held.num_rows
+    return materialize(df), HELD_ROWS + 1

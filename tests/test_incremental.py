@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rillwork.plans import incremental
 from rillwork.plans.demos import Dashboard
 from rillwork.plans.graph import Runtime
 from rillwork.plans.incremental import Source
@@ -49,7 +50,9 @@ def test_noop_changes_nothing(rt):
     assert rt.get(q) == 1
 
 
-def test_flagship_with_cutoff(rt):
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_flagship_with_cutoff(rt, small, monkeypatch):
+    monkeypatch.setattr(incremental, "SMALL_ROWS", small)
     c = Source(rt, "t long")
     gaps = c.sort_by_key("t").pairwise().map((F.col("right.t") - F.col("left.t")).alias("gap"))
     total, runs = gaps.sum("gap"), []
@@ -120,8 +123,9 @@ def test_images_that_differ_each_time_are_taken_back(rt):
     assert set(then) == {2, 3} and then[2] == first[2]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_ops_equal_a_recomputation(rt, rows, seed):
+@pytest.mark.parametrize("seed, small", [(1, 20_000), (2, 0)])
+def test_random_ops_equal_a_recomputation(rt, rows, seed, small, monkeypatch):
+    monkeypatch.setattr(incremental, "SMALL_ROWS", small)
     rng = random.Random(seed)
     c, d = Source(rt, "v long"), Source(rt, "v long")
     bag = c.map((F.col("v") / 2).cast("long").alias("h"))
