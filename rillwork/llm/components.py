@@ -12,8 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b, of one orderable type): root is the least node reachable.
 
     Each round points the larger neighbours of every node, then the smaller ones, at the least neighbour; rounds
-    are about the logarithm of the longest chain. Loops, repeats and both directions of a link are fine. Links with a
-    null end are left out. Each round's table is written to the shared folder. A hub's rows are pre-aggregated for its
+    are about the logarithm of the longest chain. Repeats and both directions of a link are fine. Links with a
+    null end or from a node to itself are left out, and nodes that have no others. Each round's table is written to the shared folder. A hub's rows are pre-aggregated for its
     minimum and joined with that one row, where Spark splits skewed partitions.
     """
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b and a is not null and b is not null").distinct()

@@ -113,10 +113,9 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + k) for k in range(1, 200)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(80)] + [(5, 5), (None, 3), (7, 6)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(3)
     got = {r["node"]: r["root"] for r in components(df).collect()}
-    import itertools
     near = {}
     for a, b in edges:
-        if a is not None:
+        if a is not None and a != b:
             near.setdefault(a, set()).add(b)
             near.setdefault(b, set()).add(a)
     seen = {}
@@ -128,4 +127,4 @@ def test_components(spark):
                 seen[v] = start
                 todo += near[v]
     assert got == {v: r for v, r in seen.items()}
-    assert components(df.where("false")).count() == 0 and list(itertools.chain()) == []
+    assert components(df.where("false")).count() == 0
