@@ -54,6 +54,26 @@ class Dashboard:
         return "degraded" if rate < 15 else "critical"
 
 
+class TravelDay:
+    """A day's visits as a collection, the trips between them by time, and the day's premium up to its cap. A visit is its id: it moves by delete and insert."""
+
+    SCHEMA = "id long, client_name string, address string, time double, duration_mins int, lat double, lng double"
+
+    def __init__(self, runtime: Runtime):
+        self.runtime = runtime
+        self.visits = Source(runtime, self.SCHEMA, ["id"], "visits")
+        pairs = self.visits.sort_by_key("time", "id").pairwise()
+        km = scalar.haversine_km(F.col("left.lat"), F.col("left.lng"), F.col("right.lat"), F.col("right.lng"))
+        self.trips = pairs.map(F.col("left.id").alias("from_id"), F.col("right.id").alias("to_id"), km.alias("distance_km"), scalar.travel_premium(km).alias("premium"))
+        self.km: Cell = self.trips.sum("distance_km", "distance")
+        self.uncapped: Cell = self.trips.sum("premium", "premium")
+        self.premium = runtime.create_query(lambda rt: min(rt.get(self.uncapped), scalar.DAILY_CAP), "capped premium")
+
+    def move(self, visit: dict, time: float) -> None:
+        self.visits.delete(visit)
+        self.visits.insert(visit | {"time": time})
+
+
 def travel_segments(visits: DataFrame, by: list[str]) -> DataFrame:
     """Trips between consecutive visits of a day (``by``), ordered by time then id, with distance and premium.
 

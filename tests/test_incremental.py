@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillwork.plans import incremental
-from rillwork.plans.demos import Dashboard
+from rillwork.plans.demos import Dashboard, TravelDay, daily_premiums, travel_segments
 from rillwork.plans.graph import Runtime
 from rillwork.plans.incremental import Source
 
@@ -162,3 +162,23 @@ def test_dashboard(rt):
     assert rt.get(d.error_rate) == 10 and rt.get(d.health) == "degraded" and rt.get(d.slow) == 0
     value, trace = rt.get_traced(d.health)
     assert value == "degraded" and trace.nodes_recomputed == 0
+
+
+def test_travel_day(spark, rt):
+    day = TravelDay(rt)
+    assert rt.get(day.premium) == 0
+    visits = [{"id": i, "client_name": f"c{i}", "address": None, "time": 8.0 + i, "duration_mins": 30, "lat": 52.5 + d, "lng": 13.4} for i, d in enumerate((0.0, 0.1, 0.02, 0.3))]
+    for v in visits:
+        day.visits.insert(v)
+
+    def by_batch(rows):
+        df = spark.createDataFrame([tuple(v.values()) for v in rows], TravelDay.SCHEMA).withColumn("day", F.lit(1))
+        found = travel_segments(df, ["day"])
+        return daily_premiums(found, ["day"]).first()["premium"], found.count()
+
+    assert abs(rt.get(day.premium) - by_batch(visits)[0]) < 1e-9 and day.trips.rows().count() == 3
+    day.move(visits[1], 20.0)
+    visits[1]["time"] = 20.0
+    assert abs(rt.get(day.premium) - by_batch(visits)[0]) < 1e-9
+    day.visits.insert(visits[0] | {"id": 9, "time": 23.0, "lat": 60.0})
+    assert rt.get(day.uncapped) > 50 and rt.get(day.premium) == 50
