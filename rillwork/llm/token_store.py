@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship_code
+from .common import ship_code, small
 from .word_cache import WordCache, blocks
 
 #: Bytes of a row group and of a page, and rows of a page.
@@ -40,8 +41,25 @@ def library_cache(source: bytes) -> WordCache:
         t = Tokenizer.from_str(source.decode())
         t.no_truncation()
         t.no_padding()
-        fast = t.encode_batch_fast
-        _CACHES[key] = WordCache(lambda parts: [np.array(e.ids, "<u4").tobytes() for e in fast(parts, add_special_tokens=False)])
+        size = np.zeros(t.get_vocab_size(True), np.int64)  # bytes of each token; a byte-level vocabulary writes a byte as one letter
+        for name, i in t.get_vocab(False).items():
+            size[i] = len(name)
+        for i, added in t.get_added_tokens_decoder().items():
+            size[i] = len(added.content.encode())
+
+        def apart(parts: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)]
+
+        def together(parts: list[str]) -> list[bytes]:
+            """As one text, since these parts do not act on each other: ids tile the bytes, so they can be told apart again."""
+            if len(parts) < 2:
+                return apart(parts)
+            ids = np.array(t.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(size[ids].cumsum(), np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)).cumsum()) + 1
+            flat, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            return [flat[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+        _CACHES[key] = WordCache(together, apart)
     return _CACHES[key]
 
 
@@ -78,7 +96,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
                .repartitionByRange("doc_id", salt).sortWithinPartitions("doc_id", salt, "text"))
     out = ordered.mapInArrow(run, f"doc_id {id_type}, part int, row long, part_start long, n_tokens long, ids array<int>")
     options = {"parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.page.row.count.limit": PAGE_ROWS, "parquet.writer.version": "PARQUET_2_0",
-               "parquet.enable.dictionary": "true", "compression": "zstd"} | {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "part", "row", "part_start", "n_tokens")}
+               "parquet.enable.dictionary": "true", "compression": "snappy"} | {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "part", "row", "part_start", "n_tokens")}
     out.write.options(**options).parquet(path)
 
 
@@ -91,8 +109,9 @@ def metadata(store: DataFrame) -> DataFrame:
     """doc_id, part, row, start (ids of all documents before it) and n_tokens; the ids are not read."""
     parts = store.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each file
     offsets = parts.select(F.col("part").alias("_p"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"))
-    return store.join(offsets, F.col("part") == F.col("_p")).withColumn("start", F.col("_off") + F.col("part_start")).drop("_p", "_off")
+    return store.join(small(offsets), F.col("part") == F.col("_p")).withColumn("start", F.col("_off") + F.col("part_start")).drop("_p", "_off")
 
 
 def checksums(store: DataFrame) -> DataFrame:

@@ -23,14 +23,16 @@ def cut(text: str) -> list[str]:
 
 
 class WordCache:
-    """``encode`` gives the ids of each part as little-endian 32-bit bytes.
+    """``encode`` gives the ids of each part as little-endian 32-bit bytes; its parts begin with a
+    space before something that is not white. ``encode_firsts`` (if another) does so for texts' first parts, which may be anything.
 
     The cache holds two generations of at most ``limit`` parts; parts longer than ``longest``
     characters are never kept. So its memory is bounded, whatever the input.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 400_000, longest: int = 48):
-        self.encode_parts, self.limit, self.longest = encode, limit, longest
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], encode_firsts: Callable[[list[str]], Iterable[bytes]] | None = None,
+                 limit: int = 400_000, longest: int = 48):
+        self.encode_parts, self.encode_firsts, self.limit, self.longest = encode, encode_firsts or encode, limit, longest
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -55,7 +57,7 @@ class WordCache:
             self.young.update(zip(new, self.encode_parts([" " + w for w in new]), strict=True))
         known = self.young.__getitem__
         out = [head + b"".join(map(known, parts) if got is None else got)
-               for head, parts, got in zip(self.encode_parts(first), rest, found, strict=True)]
+               for head, parts, got in zip(self.encode_firsts(first), rest, found, strict=True)]
         for w in missed:
             if len(w) > self.longest:
                 del self.young[w]
