@@ -235,17 +235,17 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
     gone = lines.join(salted, ["key", "_salt"])
     if keep_first_by:
         gone = gone.where(~(F.col("place").eqNullSafe(F.col("_fp")) & (F.col("line") == F.col("_fl"))))
-    gone = materialize(gone.groupBy("ident").agg(F.collect_list("line").alias("_gone")))
+    gone = materialize(gone.groupBy(F.col("ident").alias("__of")).agg(F.collect_list("line").alias("__gone")))
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at_text).to_pylist()
             places = batch.column(at_place).to_pylist() if keep_first_by else [0] * len(texts)
             ids = [xxhash.xxh3_128_digest((t or "").encode() + b"\0" + repr(p).encode()) for t, p in zip(texts, places, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*names, "_ident"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*names, "__ident"])
 
-    marked = docs.mapInArrow(identify, ", ".join([f"`{c}` {types[c]}" for c in names] + ["_ident binary"]))
-    joined = marked.join(gone, F.col("_ident") == F.col("ident"), "left").select(*[F.col(f"`{c}`") for c in names], "_gone")
+    marked = docs.mapInArrow(identify, ", ".join([f"`{c}` {types[c]}" for c in names] + ["__ident binary"]))
+    joined = marked.join(gone, F.col("__ident") == F.col("__of"), "left").select(*[F.col(f"`{c}`") for c in names], "__gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,9 +42,10 @@ def test_both_ways_equal_brute_force(spark, picked, first, limit, min_docs, min_
 
 def test_tables_and_columns(docs, no_docs, picked):
     clash = docs.withColumns({"n_lines": F.lit("x"), "key": F.lit(1), "place": F.lit(1), "ident": F.lit(1)})
-    got = line_dedup.line_dedup(clash, min_docs=2)
-    assert picked(got, "doc_id", "n_lines", "n_dropped", "kept_text") == expected([(i, t) for i, t, _, _ in BASE], 2, 1)
-    assert {"key", "place", "ident", "lang"} <= set(got.columns)
+    for limit in (1 << 20, 0):
+        got = line_dedup.line_dedup(clash, min_docs=2, broadcast_bytes=limit)
+        assert picked(got, "doc_id", "n_lines", "n_dropped", "kept_text") == expected([(i, t) for i, t, _, _ in BASE], 2, 1)
+        assert {"key", "place", "ident", "lang"} <= set(got.columns)
     assert line_dedup.line_dedup(no_docs).count() == 0
     with pytest.raises(ValueError):
         line_dedup.line_dedup(docs, min_docs=1)
