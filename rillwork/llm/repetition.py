@@ -1,12 +1,11 @@
 """Quality rules with suffix-array repetition.
 
-The words of many texts are sorted as suffixes at once, by prefix doubling in numpy; a separator
-that occurs once ends each text, so no match runs over its end. From the ranks kept for each
-doubling the longest common prefix of neighbouring suffixes follows without a scan. A suffix at
-place r of the array lies in its deepest LCP interval with the value max(lcp[r], lcp[r + 1]): that
-many words from it on are found elsewhere in the text too. The spans that no longer span holds are
-the occurrences of the maximal repeated substrings; the union of the spans of at least ``min_words`` words and
-the longest one give the two limits of the verdict.
+The words of many texts are sorted as suffixes at once, by prefix doubling in numpy; a suffix ends
+with its text. From the ranks kept for each doubling the longest common prefix of neighbouring
+suffixes follows without a scan. A suffix at place r of the array lies in its deepest LCP interval with
+the value max(lcp[r], lcp[r + 1]): that many words from it on are found elsewhere in the text too. The
+spans that no longer span holds are the occurrences of the maximal repeated substrings. The union of the
+spans of at least ``min_words`` words, and the longest span, are what the verdict limits.
 """
 
 from __future__ import annotations
