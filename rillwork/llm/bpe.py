@@ -32,6 +32,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: What one model keeps at most: pairs tested, edges of tokens, and parts of texts in a generation of its cache (together about 60 MB).
+PAIRS, EDGES, PARTS = 200_000, 10_000, 150_000
+
+
 class PrefixBpe:
     """A byte-level BPE model from the JSON of the tokenizers library; ``pattern`` cuts the pieces.
 
@@ -87,7 +91,7 @@ class PrefixBpe:
                 end = self.parts[t][2]
                 t = self.parts[t][side]
             found.reverse()
-            if len(kept) < 200_000:
+            if len(kept) < EDGES:
                 kept[token] = found
         return found
 
@@ -142,7 +146,7 @@ class PrefixBpe:
                 ok = pairs.get(key)
                 if ok is None:
                     ok = self.stands(t) and self.may_follow(before, t)
-                    if len(pairs) > 1_000_000:
+                    if len(pairs) >= PAIRS:
                         pairs.clear()
                     pairs[key] = ok
                 if ok:
@@ -181,7 +185,7 @@ def model(source: bytes, pattern: str) -> tuple[PrefixBpe, WordCache]:
     key = (hashlib.sha256(source).digest(), pattern)
     if key not in _MODELS:
         bpe = PrefixBpe(source, pattern)
-        _MODELS[key] = bpe, WordCache(lambda parts: [bpe.encode(p).tobytes() for p in parts])
+        _MODELS[key] = bpe, WordCache(lambda parts: [bpe.encode(p).tobytes() for p in parts], limit=PARTS)
     return _MODELS[key]
 
 
@@ -229,5 +233,6 @@ def _mapped(docs: DataFrame, tokenizer: str, pattern: str, text_col: str, ids_co
                     more.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
                 rows = batch.slice(s.start, s.stop - s.start)
                 yield pa.RecordBatch.from_arrays(rows.columns[:n_kept] + more, names=kept + added)
+        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_t")).mapInArrow(run, schema)
