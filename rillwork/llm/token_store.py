@@ -81,7 +81,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for s in blocks(texts):
-                flat = [x + tail for x in cache.encode(texts[s])]
+                flat = cache.encode(texts[s], tail)
                 n = np.fromiter((len(x) // 4 for x in flat), np.int64, len(flat))
                 ends = n.cumsum()
                 ids = np.frombuffer(b"".join(flat), "<i4")

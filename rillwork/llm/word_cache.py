@@ -36,36 +36,49 @@ class WordCache:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        first, rest, found, missed = [], [], [], set()
+    def encode(self, texts: list[str], tail: bytes = b"") -> list[bytes]:
+        """The ids of each text, and ``tail`` after them."""
+        first, rest, found, holes, missed = [], [], [], [], set()
         get = self.young.get
         for t in texts:
             parts = cut(t)
             first.append(parts[0])
             del parts[0]
-            got = list(map(get, parts))
+            got, at = list(map(get, parts)), []
             if None in got:
-                missed.update([w for w, g in zip(parts, got, strict=True) if g is None])
-                got = None
+                i = -1
+                while (i := _index_of_none(got, i + 1)) >= 0:
+                    at.append(i)
+                    missed.add(parts[i])
             rest.append(parts)
             found.append(got)
+            holes.append(at)
         if missed:
             again = [w for w in missed if w in self.old]
             self.young.update((w, self.old[w]) for w in again)
             missed.difference_update(again)
             new = list(missed)
             self.young.update(zip(new, self.encode_parts([" " + w for w in new]), strict=True))
-        known = self.young.__getitem__
-        out = [head + b"".join(map(known, parts) if got is None else got)
-               for head, parts, got in zip(self.encode_firsts(first), rest, found, strict=True)]
+        known, out = self.young, []
+        for head, parts, got, at in zip(self.encode_firsts(first), rest, found, holes, strict=True):
+            for i in at:
+                got[i] = known[parts[i]]
+            out.append(b"".join([head, *got, tail]))
         for w in missed:
             if len(w) > self.longest:
-                del self.young[w]
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+                del known[w]
+        if len(known) > self.limit:
+            self.old, self.young = known, {}
         return out
 
 
+def _index_of_none(found: list, start: int) -> int:
+    try:
+        return found.index(None, start)
+    except ValueError:
+        return -1
+
+
 def blocks(texts: list[str], most: int = 1_000_000) -> Iterable[slice]:
     """Slices of about ``most`` characters, one text at least."""
     at = size = 0
