@@ -134,13 +134,14 @@ _OUTPUT = {"n_lines": "long", "n_dropped": "long", "kept_text": "string"}
 
 
 def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first_by: str | None = None,
-               filter_bits: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+               filter_bits: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, long_words: int | None = None) -> DataFrame:
     """``docs`` with n_lines, n_dropped and kept_text, its lines without those of keys found in ``min_docs`` documents or more.
 
     A document is a row: repeated rows count as documents each, and a key counts once in a row however often it
     occurs there. Keys shorter than ``min_chars`` code points never count, so empty lines stay. A null
     or empty text is one empty line and stays an empty text. With ``keep_first_by``, the name of an integer or
-    string column, the first occurrence of a key (least value there, then least line; of tied rows all) stays. Columns
+    string column, the first occurrence of a key (least value there, then least line; of tied rows all) stays. With ``long_words``,
+    two documents are enough for a key of more than so many words (between ASCII white space). Columns
     named as an output column are replaced, others pass through. An empty table gives an empty one.
     """
     if min_docs < 2:
@@ -189,7 +190,10 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
     told = f"key binary, place {place_type}, line int, ident binary"
     rows = docs.select(text, place.alias("_p"))
     found = rows.mapInArrow(suspected(False), told).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("place", "line")).alias("first"))
-    confirmed = materialize(found.where(F.col("n") >= min_docs).select("key", "first.place", "first.line"))
+    enough = F.col("n") >= min_docs
+    if long_words is not None:
+        enough = enough | (F.col("n") >= 2) & (F.size(F.split(F.col("key").cast("string"), r"[\x20\x09-\x0D]+")) > long_words)
+    confirmed = materialize(found.where(enough).select("key", "first.place", "first.line"))
     size = confirmed.agg(F.coalesce(F.sum(F.octet_length("key") + 40), F.lit(0)).alias("b")).first()["b"]
     schema = ", ".join([f"`{c}` {types[c]}" for c in names] + [f"{c} {k}" for c, k in _OUTPUT.items()])
     at_text = names.index(text_col)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rillwork.llm import line_dedup
 
 from .conftest import BASE
@@ -58,3 +59,15 @@ def test_filters_miss_nothing():
     f.add(hashes[:3000])
     f.add(hashes[2500:])
     assert line_dedup.suspects(f.twice, f.bits, hashes[2500:3000]).all()
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_long_lines_of_two_documents(spark, limit):
+    line = lambda n: "\t ".join(f"W{k}" for k in range(n))
+    fifty, over = line(50), line(51)
+    rows = [(1, f"a\n{over}\nb"), (2, f" {over.lower()} \nc\n{fifty}"), (3, f"{fifty}\n{over}\nd\n{over}"), (4, f"{line(60)}\n{line(60)}"), (None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.line_dedup(df, keep_first_by="doc_id", broadcast_bytes=limit, long_words=50).collect()}
+    assert got == {1: rows[0][1], 2: f"c\n{fifty}", 3: f"{fifty}\nd", 4: rows[3][1], None: "e"}
+    staged = corpus_pipeline.dedup_lines(spark, df, "")
+    assert {r["doc_id"]: r["text"] for r in staged.collect()} == got
