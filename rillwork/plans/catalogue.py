@@ -146,6 +146,14 @@ def capped_and_mean(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.least(exact, F.lit(scalar.DAILY_CAP)).alias("capped"), scalar.ratio(exact, F.count("*")).alias("mean"))
 
 
+@query("""SELECT user_id, CAST(ts AS DATE) AS day, least(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), CAST(50 AS DOUBLE)) AS capped,
+CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / greatest(count(*), 1) AS mean FROM events GROUP BY user_id, CAST(ts AS DATE)""")
+def capped_by_user_and_day(spark, sf_dir):
+    exact = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
+    by = events(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day"))
+    return by.agg(F.least(exact, F.lit(scalar.DAILY_CAP)).alias("capped"), scalar.ratio(exact, F.count("*")).alias("mean"))
+
+
 # --- order
 
 

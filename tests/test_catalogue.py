@@ -30,3 +30,11 @@ def test_same_as_sql(spark, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall())
+
+
+def test_cap_over_the_whole_table(spark):
+    found = QUERIES["capped_by_user_and_day"](spark, SMALL).collect()
+    con = duckdb.connect()
+    groups = con.execute(f"SELECT count(*) FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) FROM '{SMALL}/events.parquet')").fetchone()[0]
+    assert len(found) == groups
+    assert any(r["capped"] == 50 for r in found) and any(r["capped"] < 50 for r in found)
