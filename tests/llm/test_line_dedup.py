@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from rillwork.llm import line_dedup
 
 from .conftest import BASE
@@ -69,5 +68,3 @@ def test_long_lines_of_two_documents(spark, limit):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["kept_text"] for r in line_dedup.line_dedup(df, keep_first_by="doc_id", broadcast_bytes=limit, long_words=50).collect()}
     assert got == {1: rows[0][1], 2: f"c\n{fifty}", 3: f"{fifty}\nd", 4: rows[3][1], None: "e"}
-    staged = corpus_pipeline.dedup_lines(spark, df, "")
-    assert {r["doc_id"]: r["text"] for r in staged.collect()} == got
