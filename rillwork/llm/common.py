@@ -9,14 +9,17 @@ import os
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Iterable
+from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 from ..sources.storage import materialize, shared_dir
 
-__all__ = ["ascii_lower", "materialize", "read", "rows_frame", "shared_dir", "ship_code", "small"]
+__all__ = ["ascii_lower", "column", "json_table", "materialize", "packed", "read", "rows_frame", "shared_dir", "ship_code", "small", "unpacked"]
 
 PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -50,13 +53,64 @@ def rows_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.range(1).select(F.explode(items).alias("_r")).select("_r.*")
 
 
-#: Tables of at most so many short rows (about 50 bytes each) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+def json_table(spark: SparkSession, lines: Iterable[str], schema: str) -> DataFrame:
+    """JSON lines of the driver as a table in the shared folder: for what is too long for a literal."""
+    path = f"{shared_dir(spark)}/lines.json"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    held: list[str] = []
+    size = 0
+    for line in chain(lines, [None]):
+        if line is None or size > 4 << 20:
+            out.write(bytearray("".join(held).encode()))
+            held, size = [], 0
+        if line is not None:
+            held.append(line + "\n")
+            size += len(line)
+    out.close()
+    return spark.read.schema(schema).json(path)
+
+
+def column(name: str) -> Column:
+    """A column by its very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(names: Iterable[str], out: str = "row") -> Column:
+    """The columns as one struct, so that none can clash with an operator's own columns."""
+    return F.struct(*[column(c).alias(c) for c in names] or [F.lit(None).cast("int").alias("none")]).alias(out)
+
+
+def unpacked(names: Iterable[str], held: str = "row") -> list[Column]:
+    return [F.col(held).getField(c).alias(c) for c in names]
+
+
+#: Tables of at most so many bytes, strings and arrays counted in full, are broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: the length of strings and binaries, 8 for each plain value and 16 for each element's own parts."""
+    def size(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, StringType | BinaryType):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(kind, StructType):
+            return sum((size(c.getField(f.name), f.dataType) for f in kind.fields), F.lit(8))
+        if isinstance(kind, ArrayType):
+            if isinstance(kind.elementType, StringType | BinaryType | ArrayType | StructType):
+                return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda a, x: a + size(x, kind.elementType)), F.lit(16))
+            return F.coalesce(F.size(c), F.lit(0)) * 8 + 16
+        if isinstance(kind, MapType):
+            raise TypeError("maps are not broadcast")
+        return F.lit(8)
+
+    return sum((size(column(f.name), f.dataType) for f in df.schema.fields), F.lit(16))
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it is a short table by its row count; a written table is counted from its metadata."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, a written table, with a broadcast hint if its rows take BROADCAST_BYTES at most, by their own sizes."""
+    used = df.agg(F.coalesce(F.sum(row_bytes(df).cast("long")), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if used <= BROADCAST_BYTES else df
 
 
 #: The ASCII capital letters and their small forms; other letters keep their case.

@@ -24,9 +24,13 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_chars")
 
 
+#: Words by which a word may be off its place in a proximity match.
+NEAR_SLOP = 2
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = phrase_index.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    found = phrase_index.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), slop=NEAR_SLOP)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near_items")
 
 
 def op3_chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,9 +133,21 @@ sizes AS (SELECT DISTINCT len(g) AS n FROM wins),
 grams AS (SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 hits AS (SELECT doc_id, i, n, item_id FROM grams JOIN wins ON grams.g = wins.g),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
-held AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN held USING (doc_id)""",
+held AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id),
+places AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS t FROM d),
+often AS (SELECT t, count(*) AS n FROM places GROUP BY t),
+numbered AS (SELECT g, row_number() OVER () AS wid FROM (SELECT DISTINCT g FROM wins)),
+parts AS (SELECT wid, len(g) AS size, unnest(range(len(g))) AS off, unnest(g) AS t FROM numbered),
+known AS (SELECT parts.*, count(*) OVER (PARTITION BY wid) AS have, row_number() OVER (PARTITION BY wid ORDER BY n, off) AS r FROM parts JOIN often USING (t)),
+whole AS (SELECT * FROM known WHERE have = size),
+anchors AS (SELECT wid, size, doc_id, p - off AS s FROM whole JOIN places USING (t) WHERE r = 1),
+met AS (SELECT DISTINCT a.wid, a.size, a.doc_id, a.s, o.off FROM anchors a JOIN whole o ON a.wid = o.wid AND o.r > 1
+  JOIN places w ON w.doc_id = a.doc_id AND w.t = o.t AND w.p BETWEEN a.s + o.off - 2 AND a.s + o.off + 2),
+near AS (SELECT wid, doc_id FROM met GROUP BY wid, size, doc_id, s HAVING count(*) = size - 1 UNION SELECT wid, doc_id FROM anchors WHERE size = 1),
+close_items AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM near JOIN numbered USING (wid) JOIN wins USING (g) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated,
+  coalesce(n_near, 0) AS n_near_items
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN held USING (doc_id) LEFT JOIN close_items USING (doc_id)""",
     "op3_chat_log": r"""
 WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
   UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, t))

@@ -10,22 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, rows_frame
+from .common import ascii_lower, column, materialize, packed, rows_frame, small, unpacked
 
 #: Hex digits of the digest in the short prefix.
 PREFIX_DIGITS = 8
-#: A rule table of at most so many rows (each under 200 bytes once matched) is broadcast.
-BROADCAST_RULES = 20_000
 
 
-def parts(df: DataFrame, url_col: str, host: str = "host", path: str = "path") -> DataFrame:
-    """Add host (A-Z lower-cased) and path; a null URL or one without ``://`` has empty ones."""
-    u = F.col(url_col)
-    rest = F.when(F.instr(u, "://") > 0, F.substring(u, F.instr(u, "://") + 3, F.length(u))).otherwise(F.lit(""))
-    return df.withColumn("_rest", F.coalesce(rest, F.lit(""))).withColumns({
-        host: ascii_lower(F.regexp_extract("_rest", r"\A([^/?#]*)", 1)),
-        path: F.regexp_extract("_rest", r"\A[^/?#]*([^?#]*)", 1),
-    }).drop("_rest")
+def parts(url: Column) -> tuple[Column, Column]:
+    """Host (A-Z lower-cased) and path; a null URL or one without ``://`` has empty ones."""
+    at = F.instr(url, "://")
+    rest = F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
+    return ascii_lower(F.regexp_extract(rest, r"\A([^/?#]*)", 1)), F.regexp_extract(rest, r"\A[^/?#]*([^?#]*)", 1)
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow",
@@ -35,39 +30,36 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url_col: str = "url", defau
     ``rules`` has host, path and verdict strings. A rule fits its host and all subdomains whose
     path starts with the rule's; the longest rule text wins, then the longer host, then the text;
     of equal rules the verdict that sorts last (block) wins. Null or malformed URLs fit no rule and
-    get ``default``. Columns of ``pages`` named as an output column are replaced. Empty tables give
-    empty results or the default. Repeated rows stay. Only rules that meet a page are joined back;
-    the join is on (host, path), where Spark splits skewed partitions.
+    get ``default``. Columns of ``pages`` named as an output column are replaced, others keep their names and values. Empty tables give
+    empty results or the default. Repeated rows stay. A host suffix is expanded only if a rule has it, and then with the path lengths of
+    that host's rules. Only sites that meet a rule are joined back, on (host, path), where Spark splits skewed partitions.
     """
-    host, path, rule, verdict = out
-    pages = pages.drop(*(c for c in out if c in pages.columns and c != url_col))
-    cut = parts(pages, url_col, host, path)
+    kept = [c for c in pages.columns if c not in out]
+    host, path = parts(column(url_col).cast("string"))
+    cut = pages.select(packed(kept), host.alias("host"), path.alias("path"))
     r = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & (F.col("host") != "")).select(
-        ascii_lower(F.col("host")).alias("_rh"), F.col("path").alias("_rp"), F.col("verdict").alias("_rv"))
-    r = r.withColumns({"_rule": F.concat("_rh", "_rp"), "_digest": _digest(F.col("_rh"), F.col("_rp"))})
-    r = r.groupBy("_rule", "_digest", "_rh", "_rp").agg(F.max("_rv").alias("_rv"))
-    r = r.withColumn("_prefix", F.substring("_digest", 1, PREFIX_DIGITS))
-    shapes = r.select(F.size(F.split("_rh", r"\.")).alias("k"), F.length("_rp").alias("n")).distinct()
-    shape = shapes.agg(F.array_sort(F.collect_set("k")).alias("ks"), F.array_sort(F.collect_set("n")).alias("ns"), F.count("*").alias("c")).first()
-    n_rules = r.count()
-    if not n_rules:
-        return cut.withColumns({rule: F.lit(None).cast("string"), verdict: F.lit(default)})
-    if n_rules <= BROADCAST_RULES:
-        r = F.broadcast(r)
-    sites = cut.where(F.col(host) != "").select(F.col(host).alias("_h"), F.col(path).alias("_p")).distinct()
-    labels = F.size(F.split("_h", r"\."))
-    suffixes = F.array(*(F.when(labels >= k, F.substring_index("_h", ".", -k)) for k in shape["ks"]))
-    prefixes = F.array(*(F.when(F.length("_p") >= n, F.substring("_p", 1, n)) for n in shape["ns"]))
-    spread = (sites.withColumn("_s", F.explode(F.array_compact(suffixes)))
-              .withColumn("_x", F.explode(F.array_compact(prefixes)))
-              .withColumn("_full", _digest(F.col("_s"), F.col("_x")))
-              .withColumn("_short", F.substring("_full", 1, PREFIX_DIGITS)))
-    met = spread.join(r, F.col("_short") == F.col("_prefix")).where(F.col("_full") == F.col("_digest"))
-    rank = F.struct(F.length("_rule"), F.length("_rh"), F.col("_rule"), F.col("_rv"))
-    won = met.groupBy("_h", "_p").agg(F.max(rank).alias("_w")).select(
-        "_h", "_p", F.col("_w._rule").alias(rule), F.col("_w._rv").alias(verdict))
-    joined = cut.join(won, (F.col(host) == F.col("_h")) & (F.col(path) == F.col("_p")), "left").drop("_h", "_p")
-    return joined.withColumn(verdict, F.coalesce(F.col(verdict), F.lit(default)))
+        ascii_lower(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
+    r = r.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))
+    r = materialize(r.withColumn("digest", _digest(F.col("rule_host"), F.col("rule_path"))).withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS)))
+    shapes = r.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    shapes = shapes.withColumn("host_digest", _digest(F.col("rule_host"), F.lit("")))
+    shapes = materialize(shapes.select("lengths", "host_digest", F.substring("host_digest", 1, PREFIX_DIGITS).alias("host_prefix"), F.size(F.split("rule_host", r"\.")).alias("labels")))
+    depths = [x["labels"] for x in shapes.select("labels").distinct().collect()]  # a host has 127 labels at most
+    sites = cut.where(F.col("host") != "").select("host", "path").distinct()
+    labels = F.size(F.split("host", r"\."))
+    suffixes = F.array(*(F.when(labels >= k, F.substring_index("host", ".", -k)) for k in depths)) if depths else F.array().cast("array<string>")
+    # the suffixes that some rule has, then the path prefixes as long as such a rule's
+    spread = sites.withColumn("suffix", F.explode(F.array_compact(suffixes))).withColumn("full", _digest(F.col("suffix"), F.lit("")))
+    known = spread.join(small(shapes), (F.substring("full", 1, PREFIX_DIGITS) == F.col("host_prefix")) & (F.col("full") == F.col("host_digest")))
+    each = known.select("host", "path", "suffix", F.explode("lengths").alias("n")).where(F.length("path") >= F.col("n"))
+    each = each.withColumn("full", _digest(F.col("suffix"), F.substring(F.col("path"), F.lit(1), F.col("n"))))
+    met = each.join(small(r), F.substring("full", 1, PREFIX_DIGITS) == F.col("prefix")).where(F.col("full") == F.col("digest"))
+    text = F.concat("rule_host", "rule_path")
+    rank = F.struct(F.length(text), F.length("rule_host"), text.alias("rule"), F.col("rule_verdict").alias("verdict"))
+    won = met.groupBy(F.col("host").alias("at_host"), F.col("path").alias("at_path")).agg(F.max(rank).alias("won"))
+    joined = cut.join(won, (F.col("host") == F.col("at_host")) & (F.col("path") == F.col("at_path")), "left")
+    return joined.select(*unpacked(kept), F.col("host").alias(out[0]), F.col("path").alias(out[1]), F.col("won.rule").alias(out[2]),
+                         F.coalesce("won.verdict", F.lit(default)).alias(out[3]))
 
 
 def _digest(host: Column, path: Column) -> Column:

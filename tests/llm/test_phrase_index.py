@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -43,22 +44,41 @@ def test_contamination(spark, docs, no_docs, monkeypatch):
     clash = docs.withColumns({"pos": F.lit(1), "tid": F.lit(2), "term": F.lit("x"), "_row": F.lit(0), "wid": F.lit(0)})
     assert result(phrase_index.contamination(clash, items.withColumn("wid", F.lit(7)))) == expected(plain, ITEMS, 8)
     import rillwork.llm.common as common
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(phrase_index, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     assert result(phrase_index.contamination(docs, items)) == expected(plain, ITEMS, 8)
+    assert result(phrase_index.contamination(docs, items, slop=2)) == expected(plain, ITEMS, 8)
+
+
+def near_by_hand(docs, phrase, slop):
+    """From the definition: occurrences of the anchor with every other word at most ``slop`` words from its place."""
+    texts = [words(t) for _, t in docs]
+    phrase = words(phrase)
+    often = {w: sum(t.count(w) for t in texts) for w in phrase}
+    if not all(often.values()):
+        return []
+    a = min(range(len(phrase)), key=lambda k: (often[phrase[k]], k))
+    out = []
+    for (d, _), t in zip(docs, texts, strict=True):
+        for at in [k for k, w in enumerate(t) if w == phrase[a]]:
+            if all(any(w == phrase[k] and abs(p - (at + k - a)) <= slop for p, w in enumerate(t)) for k in range(len(phrase)) if k != a):
+                out.append((d, at - a + 1))
+    return sorted(out)
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(0, "alpha x beta y y gamma"), (1, "alpha beta gamma"), (2, "gamma beta alpha"), (3, "alpha x x x beta gamma"), (4, "alpha beta")], "doc_id long, text string")
+    rng = random.Random(4)
+    rows = [(0, "alpha x beta y y gamma"), (1, "alpha beta gamma"), (2, "gamma beta alpha"), (3, "alpha x x x beta gamma"), (4, "alpha beta"), (5, None), (6, "gamma gamma beta beta alpha")]
+    rows += [(10 + i, " ".join(rng.choice("alpha beta gamma delta x y z".split()) for _ in range(rng.randrange(60)))) for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     index = phrase_index.PositionalIndex(docs, None)
-    phrases, _ = phrase_index.windows(spark.createDataFrame([(0, "alpha beta gamma")], "item_id long, text string"), 3)
-    near = lambda slop: sorted(r["_id"] for r in index.near(phrases, slop).join(index.rows, "_row").select("_id").distinct().collect())
-    assert near(0) == [1]
-    # each term at most so far from its place after (or before) the rarest one, which is gamma
-    places = {0: {"alpha": 0, "beta": 2, "gamma": 5}, 1: {"alpha": 0, "beta": 1, "gamma": 2}, 2: {"gamma": 0, "beta": 1, "alpha": 2}, 3: {"alpha": 0, "beta": 4, "gamma": 5}}
-    for slop in (1, 2, 3, 4):
-        assert near(slop) == [d for d, p in places.items() if p["gamma"] + 1 - 2 >= 1 and abs(p["alpha"] - (p["gamma"] - 2)) <= slop and abs(p["beta"] - (p["gamma"] - 1)) <= slop]
-    assert index.exact(phrases).count() == 1
+    for phrase in ("alpha beta gamma", "delta alpha", "beta", "x y x z", "absent alpha"):
+        phrases, _ = phrase_index.windows(spark.createDataFrame([(0, phrase)], "item_id long, text string"), 4)
+        for slop in (0, 1, 4, 20):
+            found = index.near(phrases, slop) if slop else index.exact(phrases)
+            got = sorted((r["_id"], r["start"]) for r in found.join(index.rows, "_row").select("_id", "start").collect())
+            assert got == near_by_hand(rows, phrase, slop), (phrase, slop)
+        close, exact = index.both(phrases, 1)
+        assert close.count() == len(near_by_hand(rows, phrase, 1)) and exact.count() == len(near_by_hand(rows, phrase, 0))
 
 
 def test_spans_are_cut(spark):
