@@ -20,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship_code
+from .common import column, materialize, packed, ship_code, small, unpacked
 from .components import components
 from .word_cache import blocks
 
 BITS, SEED, BLOCK = 64, 42, 4
 #: Cost of a probe row against one candidate check, in the same unit.
 PROBE_COST, CHECK_COST = 100.0, 1.0
-#: Buckets up to this many rows are checked by shifts, larger ones by a sweep; from SPLIT_ROWS on they are divided first.
+#: Buckets up to this many rows are checked by shifts, larger ones by a sweep; those of more than SPLIT_ROWS rows are divided among tasks first.
 SMALL_BUCKET, SPLIT_ROWS = 32, 20_000
 
 
@@ -62,17 +62,17 @@ def fingerprint(docs: DataFrame, text_col: str = "text", width: int = 4, out_col
     """``docs`` without the text and with the fingerprint as a long. No words (null or empty text): zero."""
     ship_code(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text_col, out_col)]
-    types = dict(docs.dtypes)
+    rows = docs.select(packed(kept), column(text_col).cast("string").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             for s in blocks(texts):
                 found = fingerprints_of(texts[s], width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.slice(s.start, len(found)).columns[:len(kept)], pa.array(found)], names=[*kept, out_col])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, len(found)), pa.array(found)], names=["row", "print"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("_t")).mapInArrow(
-        run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), f"`{out_col}` long"]))
+    return rows.mapInArrow(run, f"row {kind}, print long").select(*unpacked(kept), F.col("print").alias(out_col))
 
 
 # --- partitions and thresholds ---------------------------------------------------------------------------
@@ -179,24 +179,9 @@ def sweep(values: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def bucket_links(values: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect the values of one bucket as all its links would."""
-    values = np.unique(values)
-    if len(values) < SPLIT_ROWS:
-        return sweep(values, distance)
-    # distance + 1 runs of bits, of which a link leaves one alike
-    bits = bits_of(values)
-    free = [b for b in range(BITS) if bits[:, b].any() and not bits[:, b].all()]
-    if len(free) <= distance:
-        return sweep(values, distance)
-    out = []
-    for run in np.array_split(np.array(free), distance + 1):
-        part = extract(values, run.tolist())
-        order = np.argsort(part, kind="stable")
-        for group in np.split(values[order], np.flatnonzero(np.diff(part[order])) + 1):
-            if len(group) > 1:
-                out += sweep(group, distance)
-    return out
+def runs_of(bits: list[int], distance: int) -> list[list[int]]:
+    """The bits outside a partition in distance + 1 runs: two values of one bucket that link are alike in one of them."""
+    return [r.tolist() for r in np.array_split(np.array([b for b in range(BITS) if b not in set(bits)]), distance + 1)]
 
 
 def shifted_links(keys: np.ndarray, values: np.ndarray, exact: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -231,7 +216,7 @@ def links(prints: DataFrame, distance: int = 4, col: str = "fingerprint") -> Dat
     for r in prints.mapInArrow(count, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():  # 4,096 numbers
         agree[r["k"]] = r["s"]
     n = int(agree[0])
-    if n < 2:
+    if n < 2 or not distance:
         return spark.createDataFrame([], "a long, b long")
     blocks_bits = grouped_bits(agree.reshape(BITS, BITS))
 
@@ -287,13 +272,32 @@ def links(prints: DataFrame, distance: int = 4, col: str = "fingerprint") -> Dat
             sizes = np.diff(np.r_[starts, cut])
             found = []
             for k in np.flatnonzero(sizes > SMALL_BUCKET).tolist():
-                found += bucket_links(v[starts[k]:starts[k] + sizes[k]], distance)
+                found += sweep(np.unique(v[starts[k]:starts[k] + sizes[k]]), distance)
             few = np.repeat(sizes <= SMALL_BUCKET, sizes)
             found += shifted_links(key[few], v[few], exact[few], distance)
             if found:
                 yield joined(found)
 
-    buckets = prints.mapInArrow(spread, "part int, value long, v long, exact boolean")
+    divisions = [runs_of(bits, distance) for bits, _ in layout]
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row of a large bucket once for each run of the other bits, in the bucket of its value there too."""
+        for batch in batches:
+            part, value, v = (batch.column(k).to_numpy() for k in range(3))
+            exact = batch.column(3)
+            for p in np.unique(part).tolist():
+                of = np.flatnonzero(part == p)
+                for r, bits in enumerate(divisions[p]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), p + len(layout) * (r + 1), np.int32)), pa.array(value[of] << len(bits) | extract(v[of], bits)),
+                                                      pa.array(v[of]), exact.take(pa.array(of))], names=["part", "value", "v", "exact"])
+
+    told = "part int, value long, v long, exact boolean"
+    buckets = prints.mapInArrow(spread, told)
+    if all(len(bits) + max(map(len, runs)) < 48 for (bits, _), runs in zip(layout, divisions, strict=True)):  # else a bucket is all but a value
+        crowd = materialize(buckets.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_ROWS).select(F.col("part").alias("p"), F.col("value").alias("x")))
+        if crowd.limit(1).count():
+            large = (F.col("part") == F.col("p")) & (F.col("value") == F.col("x"))
+            buckets = buckets.join(small(crowd), large, "left_anti").unionByName(buckets.join(small(crowd), large, "left_semi").mapInArrow(divide, told))
     dealt = buckets.repartition("part", "value").sortWithinPartitions("part", "value")
     return dealt.mapInArrow(check, "a long, b long")
 
@@ -307,16 +311,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     out: tuple[str, str] = ("fingerprint", "component_id")) -> DataFrame:
     """``docs`` without the text, with the fingerprint (16 hex digits) and the least id reachable over links.
 
-    Texts without words have fingerprint zero and link like others. Equal fingerprints are one node, so a third of all
-    rows may be copies. Repeated rows stay; null ids take part but are never a component's id unless all its ids are null. Columns named as an output
-    column are replaced. An empty table gives an empty one.
+    Texts without words have fingerprint zero and link like others. Rows of equal fingerprints are one node, however many they are, and are
+    joined back with the node's one row. Repeated rows stay; null ids take part but are never a component's id unless all its ids are null.
+    Columns named as an output column are replaced, others keep their names and values. An empty table gives an empty one.
     """
-    docs = docs.drop(*(c for c in out if c in docs.columns and c != id_col))
-    prints = materialize(fingerprint(docs, text_col, width, "_fp"))
-    nodes = materialize(prints.groupBy("_fp").agg(F.min(f"`{id_col}`").alias("_least")))
-    found = materialize(components(materialize(links(nodes, distance, "_fp"))))
-    at = nodes.join(found, F.col("_fp") == F.col("node"), "left").select(F.col("_fp").alias("_node"), F.coalesce("root", "_fp").alias("_root"), "_least")
-    least = at.groupBy(F.col("_root").alias("_r")).agg(F.min("_least").alias(out[1]))
-    of = at.join(least, F.col("_root") == F.col("_r")).select("_node", out[1])
-    joined = prints.join(of, F.col("_fp") == F.col("_node")).drop("_node")
-    return joined.withColumn(out[0], F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp")
+    kept = [c for c in docs.columns if c not in (text_col, *out)]
+    rows = docs.select(packed(kept), column(id_col).alias("id"), column(text_col).alias("text"))
+    prints = materialize(fingerprint(rows, "text", width, "print"))
+    nodes = materialize(prints.groupBy(F.col("print").alias("value")).agg(F.min("id").alias("least")))
+    found = materialize(components(materialize(links(nodes, distance, "value"))))
+    at = nodes.join(found, F.col("value") == F.col("node"), "left").select("value", F.coalesce("root", "value").alias("top"), "least")
+    tops = at.groupBy(F.col("top").alias("of")).agg(F.min("least").alias("component"))
+    of = at.join(tops, F.col("top") == F.col("of")).select("value", "component")
+    joined = prints.join(of, F.col("print") == F.col("value"))
+    return joined.select(*unpacked(kept), F.lower(F.lpad(F.hex("print"), 16, "0")).alias(out[0]), F.col("component").alias(out[1]))

@@ -43,7 +43,7 @@ def test_whole_operator(docs, no_docs, picked):
     points = [(i, fingerprint(t)) for i, t, _, _ in BASE]
     want = sorted([(i, f"{f:016x}", g) for (i, f), g in zip(points, groups(points, 4), strict=True)], key=repr)
     assert picked(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == want
-    clash = docs.withColumn("component_id", F.lit("x")).withColumn("node", F.lit(1)).withColumn("root", F.lit(1))
+    clash = docs.withColumns({c: F.lit(k) for k, c in enumerate(("component_id", "node", "root", "_fp", "_node", "print", "value", "least", "id", "row"))})
     assert picked(simhash.near_duplicates(clash), "doc_id", "fingerprint", "component_id") == want
     assert simhash.near_duplicates(no_docs).count() == 0
 
@@ -73,24 +73,17 @@ def test_links_connect_what_brute_force_connects(spark, distance):
     assert [got.get(v, v) for v in values] == want
 
 
-def test_large_buckets_are_divided(monkeypatch):
-    monkeypatch.setattr(simhash, "SPLIT_ROWS", 50)
+@pytest.mark.parametrize("distance", [2, 4])
+def test_large_buckets_are_divided(spark, monkeypatch, distance):
+    monkeypatch.setattr(simhash, "SPLIT_ROWS", 20)
     rng = random.Random(9)
-    values = np.array(sorted(set(clustered(rng, 400, 3))), np.int64)
-    pairs = simhash.bucket_links(values, 3)
-    root = {v: v for v in values.tolist()}
-
-    def find(v):
-        while root[v] != v:
-            v = root[v]
-        return v
-
-    for a, b in pairs:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = sorted((find(x), find(y)))
-            root[y] = x
-    want = groups([(v, v & (1 << 64) - 1) for v in values.tolist()], 3)
-    assert [find(v) for v in values.tolist()] == want
+    low = [v & 0xFFFFFFFF for v in clustered(rng, 300, distance)]
+    values = sorted({v | 0x12345678 << 32 for v in low} | set(clustered(rng, 100, distance)))  # most are alike in half of their bits
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(3)
+    edges = simhash.links(df, distance, "v")
+    got = {r["node"]: r["root"] for r in components(edges).collect()}
+    want = groups([(v, v & (1 << 64) - 1) for v in values], distance)
+    assert [got.get(v, v) for v in values] == want
 
 
 def test_thresholds_cover_every_way_to_differ():
