@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_code
+from .common import column, materialize, packed, ship_code, unpacked
 from .word_cache import blocks
 
 WIDTH, FILTERS, CHUNK = 4, 16, 256
-#: Bounds of the training sample: labelled rows, and chunks of a row (spread evenly over its text).
-MAX_ROWS, MAX_CHUNKS = 2_000, 24
+#: Bounds of the training sample, of whole rows: labelled rows, bytes of their texts together, and bytes of one text (rows of longer ones are no candidates).
+MAX_ROWS, MAX_BYTES, MAX_TEXT = 2_000, 16 << 20, 2 << 20
 STEPS, BATCH, RATE = 480, 50, 0.01
 
 
@@ -73,7 +73,7 @@ def responses(flat: np.ndarray, ends: np.ndarray, first: np.ndarray, second: np.
 def pooled(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The mean and the maximum over each document's chunks, side by side."""
     starts = np.cumsum(counts) - counts
-    return np.hstack([np.add.reduceat(values, starts, axis=0) / counts[:, None], np.maximum.reduceat(values, starts, axis=0)]).astype(np.float32)
+    return np.hstack([np.add.reduceat(values, starts, axis=0) / counts[:, None], np.maximum.reduceat(values, starts, axis=0)]).astype(values.dtype)
 
 
 def predict(model: Model, texts: list[bytes], tables: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
@@ -85,8 +85,62 @@ def predict(model: Model, texts: list[bytes], tables: tuple[np.ndarray, np.ndarr
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(rows: list[tuple[list[bytes], int]], seed: int = 5) -> Model:
-    """``rows``: the chunks of each document, each CHUNK + WIDTH - 1 bytes, and its label."""
+def windows_of(data: bytes) -> np.ndarray:
+    """The chunks of a text, each with the WIDTH - 1 bytes after it."""
+    flat = np.frombuffer(chunked(data) + bytes(CHUNK), np.uint8)
+    n = len(flat) // CHUNK - 1
+    return np.lib.stride_tricks.as_strided(flat, (n, CHUNK + WIDTH - 1), (CHUNK, 1))
+
+
+def winners(docs: list[np.ndarray], tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest response of each filter in each chunk of ``docs`` and the bytes of the window that gives it (chunk, filter, WIDTH).
+
+    Only these are kept, so a document of any length takes little memory."""
+    size = (1 << 16, FILTERS)
+    first, second = (tables[0][:, None] + tables[1][None]).reshape(size), (tables[2][:, None] + tables[3][None]).reshape(size)
+    n = sum(map(len, docs))
+    best, held, at = np.empty((n, FILTERS), tables.dtype), np.empty((n, FILTERS, WIDTH), np.uint8), 0
+    for doc in docs:
+        for k in range(0, len(doc), 32):
+            part = doc[k:k + 32]
+            pair = part[:, :-1].astype(np.int32) << 8 | part[:, 1:]
+            got = first[pair[:, :CHUNK]] + second[pair[:, 2:CHUNK + 2]]
+            where = got.argmax(axis=1)
+            best[at:at + len(part)] = np.take_along_axis(got, where[:, None], axis=1)[:, 0]
+            row = np.arange(len(part))[:, None]
+            for w in range(WIDTH):
+                held[at:at + len(part), :, w] = part[row, where + w]
+            at += len(part)
+    return best, held
+
+
+def gradients(params: list[np.ndarray], docs: list[np.ndarray], labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean log loss over ``docs`` (as ``windows_of`` gives them) and its gradient for tables, bias, weights and offset."""
+    tables, bias, weights, offset = params
+    counts = np.array([len(d) for d in docs])
+    best, held = winners(docs, tables)
+    value = np.maximum(best + bias, 0)
+    starts = np.cumsum(counts) - counts
+    x = pooled(value, counts)
+    z = np.clip(x @ weights + offset[0], -40, 40)
+    dz = (1 / (1 + np.exp(-z)) - labels) / len(docs)
+    loss = float(np.mean(np.logaddexp(0, z) - labels * z))
+    dx = dz[:, None] * weights[None]
+    of = np.repeat(np.arange(len(docs)), counts)
+    dv = dx[of, :FILTERS] / counts[of][:, None]
+    top = (value == x[of, FILTERS:]) & (value > 0)
+    ties = np.add.reduceat(top.astype(tables.dtype), starts, axis=0)
+    dv += np.where(top, dx[of, FILTERS:] / np.maximum(ties, 1)[of], 0)
+    dv = np.where(value > 0, dv, 0).astype(tables.dtype)
+    grads = [np.zeros_like(tables), dv.sum(axis=0), x.T @ dz, np.array([dz.sum()], tables.dtype)]
+    f = np.broadcast_to(np.arange(FILTERS), dv.shape)
+    for w in range(WIDTH):
+        np.add.at(grads[0][w], (held[:, :, w], f), dv)
+    return loss, grads
+
+
+def train(rows: list[tuple[bytes, int]], seed: int = 5) -> Model:
+    """``rows``: whole texts in UTF-8 and their labels."""
     rng = np.random.default_rng(seed)
     model = Model(rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0)
     labels = np.array([y for _, y in rows], np.float32)
@@ -95,39 +149,14 @@ def train(rows: list[tuple[list[bytes], int]], seed: int = 5) -> Model:
         return Model(model.tables * 0, model.bias, model.weights * 0, float(np.log(share / (1 - share))))
     params = [model.tables, model.bias, model.weights, np.array([np.log(labels.mean() / (1 - labels.mean()))], np.float32)]
     moment = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    docs = [np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1) for c, _ in rows]
+    docs = [windows_of(t) for t, _ in rows]
     steps, epochs = 0, max(1, STEPS * BATCH // max(BATCH, len(rows)))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(rows))
         for k in range(0, len(order), BATCH):
             chosen = order[k:k + BATCH]
-            counts = np.array([len(docs[i]) for i in chosen])
-            chunks = np.concatenate([docs[i] for i in chosen])
-            first, second = Model(params[0], params[1], params[2], 0.0).pairs()
-            # chunks do not follow one another here, so each is given its own windows
-            best = np.empty((len(chunks), FILTERS), np.float32)
-            where = np.empty((len(chunks), FILTERS), np.int64)
-            pair = chunks[:, :-1].astype(np.int32) << 8 | chunks[:, 1:]
-            for s in range(0, len(chunks), 32):
-                got = first[pair[s:s + 32, :CHUNK]] + second[pair[s:s + 32, 2:CHUNK + 2]]
-                where[s:s + 32], best[s:s + 32] = got.argmax(axis=1), got.max(axis=1)
-            value = np.maximum(best + params[1], 0)
-            starts = np.cumsum(counts) - counts
-            x = pooled(value, counts)
-            p = 1 / (1 + np.exp(-(x @ params[2] + params[3][0])))
-            dz = (p - labels[chosen]) / len(chosen)
-            dx = dz[:, None] * params[2][None]
-            of = np.repeat(np.arange(len(chosen)), counts)
-            dv = dx[of, :FILTERS] / counts[of][:, None]
-            top = (value == x[of, FILTERS:]) & (value > 0)
-            ties = np.add.reduceat(top.astype(np.float32), starts, axis=0)
-            dv += np.where(top, dx[of, FILTERS:] / np.maximum(ties, 1)[of], 0)
-            dv = np.where(value > 0, dv, 0).astype(np.float32)
-            grads = [np.zeros_like(params[0]), dv.sum(axis=0), x.T @ dz, np.array([dz.sum()], np.float32)]
-            row, f = np.arange(len(chunks))[:, None], np.broadcast_to(np.arange(FILTERS), where.shape)
-            for w in range(WIDTH):
-                np.add.at(grads[0][w], (chunks[row, where + w], f), dv)
+            _, grads = gradients(params, [docs[i] for i in chosen], labels[chosen])
             steps += 1
             for q, g, (m1, m2) in zip(params, grads, moment, strict=True):
                 m1 += 0.1 * (g - m1)
@@ -141,31 +170,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Model:
-    """Train on at most ``max_rows`` labelled rows that are not held out: those of the least hash of the id, so a uniform sample.
+def sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
+           max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, max_text: int = MAX_TEXT) -> list[tuple[bytes, int]]:
+    """The training sample: whole texts and labels of at most ``max_rows`` rows and ``max_bytes`` bytes, all else being left in the executors.
 
-    Rows with a null id or label are left out; a null text is an empty one. At most max_rows x MAX_CHUNKS chunks (12 MB) reach
-    the driver. Without labels, or with one label only, the model is that share, for every text.
+    Of labelled rows that are not held out, those of the least hash of id and text, a uniform sample however often an id occurs; equal rows
+    count once. Texts of more than ``max_text`` bytes are no candidates. Rows with a null id or label are left out; a null text is an empty one.
     """
-    ship_code(docs.sparkSession)
-    chosen = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-              .select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows))
-    texts = docs.select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_id")).select("_d", "_y", "_t")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data = chunked((batch.column(2)[i].as_py() or "").encode()) + bytes(CHUNK)
-                n = (len(data) - CHUNK) // CHUNK
-                at = sorted({round(k * (n - 1) / (MAX_CHUNKS - 1)) for k in range(MAX_CHUNKS)}) if n > MAX_CHUNKS else range(n)
-                part = b"".join(data[k * CHUNK:(k + 1) * CHUNK + WIDTH - 1] for k in at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).cast(pa.string()), batch.column(1).slice(i, 1), pa.array([part])], names=["id", "y", "chunks"])
-
-    found = texts.mapInArrow(cut, "id string, y int, chunks binary").collect()
-    size = CHUNK + WIDTH - 1
-    rows = [([bytes(r["chunks"][k:k + size]) for k in range(0, len(r["chunks"]), size)], r["y"]) for r in sorted(found, key=lambda r: (r["id"], r["y"], bytes(r["chunks"])))]
-    # repeated ids may give more rows than were chosen
-    return train(rows[:max_rows])
+    known = labels.select(column(id_col).alias("id"), column(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    first = known.distinct().orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    texts = docs.select(column(id_col).alias("d"), text.alias("t")).where(F.octet_length("t") <= max_text)
+    pool = texts.join(F.broadcast(first), F.col("d") == F.col("id")).select("id", "y", "t").withColumns({"a": F.xxhash64("id"), "b": F.xxhash64("t"), "c": F.xxhash64(F.lit(1), "t")})
+    pool = materialize(pool.dropDuplicates(["id", "y", "b", "c"]))
+    order = ["a", "b", "c", "id", "y"]
+    places = pool.select(*order, F.octet_length("t").alias("n")).orderBy(*order).limit(max_rows).collect()
+    used, last = 0, 0
+    for r in places:
+        used += r["n"]
+        if used > max_bytes:
+            break
+        last += 1
+    if not last:
+        return []
+    chosen = pool.join(F.broadcast(pool.select(*order).orderBy(*order).limit(last)), order, "left_semi") if last < len(places) or len(places) == max_rows else pool
+    found = chosen.select(*order, "t").collect()
+    return [(r["t"].encode(), r["y"]) for r in sorted(found, key=lambda r: tuple(r[c] for c in order))]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> Model:
+    """Train on the whole texts of ``sample`` (whose bounds can be given). Without labels, or with one label only, the model is that share, for every text."""
+    return train(sample(docs, labels, label_col, id_col, text_col, **bounds))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -174,16 +209,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     Repeated rows stay, other columns pass through, one named as the output column is replaced; nothing is shuffled.
     """
     ship_code(docs.sparkSession)
-    names = [c for c in docs.columns if c != out_col]
-    types = dict(docs.dtypes)
-    at = names.index(text_col)
+    kept = [c for c in docs.columns if c != out_col]
+    rows = docs.select(packed(kept), column(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.pairs()
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             for s in blocks(texts):
                 found = predict(model, [t.encode() for t in texts[s]], tables)
-                yield pa.RecordBatch.from_arrays([*batch.slice(s.start, len(found)).columns, pa.array(found)], names=[*names, out_col])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, len(found)), pa.array(found)], names=["row", "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in names), f"`{out_col}` double"]))
+    return rows.mapInArrow(run, rows.select("row").schema.add("score", "double")).select(*unpacked(kept), F.col("score").alias(out_col))

@@ -63,7 +63,6 @@ def fingerprint(docs: DataFrame, text_col: str = "text", width: int = 4, out_col
     ship_code(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text_col, out_col)]
     rows = docs.select(packed(kept), column(text_col).cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +71,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text", width: int = 4, out_col
                 found = fingerprints_of(texts[s], width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, len(found)), pa.array(found)], names=["row", "print"])
 
-    return rows.mapInArrow(run, f"row {kind}, print long").select(*unpacked(kept), F.col("print").alias(out_col))
+    return rows.mapInArrow(run, rows.select("row").schema.add("print", "long")).select(*unpacked(kept), F.col("print").alias(out_col))
 
 
 # --- partitions and thresholds ---------------------------------------------------------------------------

@@ -2,7 +2,6 @@ import random
 import zlib
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from rillwork.llm import quality_cnn
@@ -63,7 +62,7 @@ def test_learns_and_keeps_the_held_out_apart(spark, monkeypatch):
 def test_edge_cases(spark, docs, no_docs, picked):
     labels = spark.createDataFrame([(0, 1), (6, 1)], "doc_id long, quality int")
     one = quality_cnn.fit(docs, labels)  # a single label
-    scored = quality_cnn.score(docs.withColumn("score", F.lit("x")), one)
+    scored = quality_cnn.score(docs.withColumns({"score": F.lit("x"), "row": F.lit(1), "a.b": F.lit(2)}), one)
     assert scored.count() == len(BASE) and {round(r["score"], 6) for r in scored.collect()} == {0.99}
     none = quality_cnn.fit(docs, labels.where("false"))
     assert {r["score"] for r in quality_cnn.score(docs, none).collect()} == {0.5}
@@ -73,23 +72,45 @@ def test_edge_cases(spark, docs, no_docs, picked):
 
 
 def test_gradient_is_exact():
-    """One step of training moves every kind of parameter against a numeric gradient."""
+    """Against finite differences, for every kind of parameter, on texts of one chunk and of several."""
     rng = np.random.default_rng(8)
-    rows = [([bytes(rng.integers(97, 110, CHUNK + WIDTH - 1).astype(np.uint8)) for _ in range(k)], y) for k, y in ((1, 0), (3, 1), (2, 1))]
-
-    def loss(m):
-        out = 0.0
-        for chunks, y in rows:
-            tops = np.array([np.max([sum(m.tables[w][c[i + w]].astype(float) for w in range(WIDTH)) for i in range(CHUNK)], axis=0) for c in chunks])
-            v = np.maximum(tops + m.bias, 0)
-            z = np.concatenate([v.mean(axis=0), v.max(axis=0)]) @ m.weights + m.offset
-            out -= np.log(1 / (1 + np.exp(-z if y else z)))
-        return out
-
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(quality_cnn, "STEPS", 1)
-        patch.setattr(quality_cnn, "RATE", 0.0)
-        start = quality_cnn.train(rows)
-        patch.setattr(quality_cnn, "RATE", 0.01)
-        moved = quality_cnn.train(rows)
-    assert loss(moved) < loss(start)
+    docs = [quality_cnn.windows_of(bytes(rng.integers(97, 105, n).astype(np.uint8))) for n in (0, 100, 3 * CHUNK, 40 * CHUNK + 7)]
+    labels = np.array([0.0, 1, 1, 0])
+    params = [rng.normal(0, 0.5, (WIDTH, 256, FILTERS)), rng.normal(-1, 1, FILTERS), rng.normal(0, 1, 2 * FILTERS), np.array([0.2])]
+    _, grads = quality_cnn.gradients(params, docs, labels)
+    for p, g in zip(params, grads, strict=True):
+        places = [np.unravel_index(k, p.shape) for k in (np.argsort(-np.abs(g).ravel())[:12].tolist() + rng.integers(0, p.size, 8).tolist())]
+        for at in places:
+            held, step = p[at], 1e-6
+            losses = []
+            for sign in (1, -1):
+                p[at] = held + sign * step
+                losses.append(quality_cnn.gradients(params, docs, labels)[0])
+            p[at] = held
+            assert abs((losses[0] - losses[1]) / (2 * step) - g[at]) < 1e-6, (p.shape, at)
+
+
+def test_training_reads_whole_texts(spark):
+    """What tells the labels apart stands at the end of long texts only."""
+    rng = random.Random(2)
+    filler = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet".split()) for _ in range(n))
+    rows = [(i, filler(3000) + (" QQQQ!!" if i % 2 else " end of it"), i % 2) for i in range(80)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = quality_cnn.sample(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    by_text = {t.encode(): y for _, t, y in rows}
+    assert len(found) > 50 and all(by_text[t] == y for t, y in found)
+    assert sum(len(quality_cnn.windows_of(t)) for t, _ in found) >= sum(len(t) // CHUNK for t, _ in found)
+
+
+def test_sample_is_bounded_and_uniform(spark):
+    docs = spark.range(3000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))  # one id in all rows
+    docs = docs.unionByName(docs).unionByName(spark.createDataFrame([(2, None), (3, "x" * 5000), (4, "y")], "doc_id int, text string"))
+    labels = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 4, 1)] + [(2, 0), (5, 0), (None, 1), (4, None)], "doc_id long, quality int")
+    found = quality_cnn.sample(docs, labels, max_rows=200, max_text=4000)
+    assert len(found) == 200 and len(set(found)) == 200 and (b"x" * 5000, 1) not in found
+    numbers = [int(t[5:]) for t, _ in found if t.startswith(b"text ")]
+    assert 1200 < sum(numbers) / len(numbers) < 1800
+    few = quality_cnn.sample(docs, labels, max_bytes=100)
+    assert few == quality_cnn.sample(docs.repartition(7), labels)[:len(few)] and 0 < sum(len(t) for t, _ in few) <= 100
+    none = quality_cnn.sample(docs.where("false"), labels)
+    assert none == [] and quality_cnn.sample(docs, labels.where("false")) == []
