@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_code
+from .common import column, packed, schema_with, ship_code, unpacked
 from .word_cache import WordCache, blocks
 
 
@@ -213,14 +213,13 @@ def _mapped(docs: DataFrame, tokenizer: str, pattern: str, text_col: str, ids_co
     outputs |= {c: k for c, k in ((ids_col, "binary"), (decoded_col, "string")) if c}
     added = list(outputs)
     kept = [c for c in docs.columns if c not in added and not (digest and c == text_col)]
-    types = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"`{c}` {k}" for c, k in outputs.items()])
-    n_kept = len(kept)
+    rows = docs.select(packed(kept), column(text_col).cast("string").alias("text"))
+    inner = {f"out{k}": kind for k, kind in enumerate(outputs.values())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cache = model(source.value, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(n_kept).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             for s in blocks(texts):
                 ids = cache.encode(texts[s])
                 more = []
@@ -231,8 +230,8 @@ def _mapped(docs: DataFrame, tokenizer: str, pattern: str, text_col: str, ids_co
                     more.append(pa.array(ids, pa.binary()))
                 if decoded_col:
                     more.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
-                rows = batch.slice(s.start, s.stop - s.start)
-                yield pa.RecordBatch.from_arrays(rows.columns[:n_kept] + more, names=kept + added)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, s.stop - s.start), *more], names=["row", *inner])
         pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_t")).mapInArrow(run, schema)
+    found = rows.mapInArrow(run, schema_with(rows, ["row"], inner))
+    return found.select(*unpacked(kept), *[F.col(k).alias(c) for k, c in zip(inner, outputs, strict=True)])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship_code
+from .common import schema_with, ship_code
 
 #: The template's marks, and other templates' control strings, that no text may hold unescaped.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -51,10 +51,11 @@ def _role(c: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """(conv_id, msg, turn, role, text): the final messages of a log with the columns of EVENTS.
+    """(conv_id, msg, turn, role, text): the final messages of a log with the columns of EVENTS, of which conv_id and msg may also be of other types.
 
-    A message is a conv_id and msg. Its text is what the last start, edit or regenerate set and the deltas after it, by seq; its role and turn are the last
-    non-null ones. A deleted message is gone unless it starts again. A regenerate at a turn drops the messages of later turns whose first
+    A message is a conv_id and msg. Its text is what the last start, edit or regenerate set and the deltas from then on, by seq; its role and turn are the last
+    non-null ones. Of events with equal seq, starts and regenerations count as first, then edits, of which the greatest text
+    stays, then deltas, by their text, and a delete as last; of equal seq the greatest role and turn stay. A deleted message is gone unless it starts again. A regenerate at a turn drops the messages of later turns whose first
     event came before it. A null turn comes first; null conv_id or msg are values like others; null texts are empty; a message without a role has an empty one.
     Events with a null seq come first. Repeated events act again, as logged. Other columns are ignored; an empty log has no messages.
     """
@@ -66,24 +67,27 @@ def fold(events: DataFrame) -> DataFrame:
         "_gone": F.max(F.when(F.col("kind") == "delete", F.col("seq"))).over(own),
         "_first": F.min("seq").over(own),
     }).where(F.col("_gone").isNull() | (F.col("_reset") > F.col("_gone")))
-    adds = F.col("kind").isin("delta", "edit") & (F.col("_reset").isNull() | (F.col("seq") >= F.col("_reset")))
+    last = lambda c, when: F.max(F.when(when, F.struct("seq", c)))
+    adds = (F.col("kind") == "delta") & (F.col("_reset").isNull() | (F.col("seq") >= F.col("_reset")))
+    base = F.when(F.col("_edit.seq") == F.col("_set"), F.col("_edit.text")).otherwise(F.lit(""))
     made = e.groupBy("conv_id", "msg").agg(
-        F.max_by("turn", F.when(F.col("turn").isNotNull(), F.col("seq"))).alias("turn"),
-        F.coalesce(F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))), F.lit("")).alias("role"),
-        # an edit goes before a delta of the same seq
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(adds, F.struct("seq", (F.col("kind") == "delta").alias("d"), "text")))), lambda x: x["text"]), "").alias("text"),
+        last("turn", F.col("turn").isNotNull())["turn"].alias("turn"),
+        F.coalesce(last("role", F.col("role").isNotNull())["role"], F.lit("")).alias("role"),
+        last("text", F.col("kind") == "edit").alias("_edit"),
+        F.max("_reset").alias("_set"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(adds, F.struct("seq", "text")))), lambda x: x["text"]), "").alias("_added"),
         F.min("_first").alias("_first"),
         F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("_cut"),
-    )
+    ).withColumn("text", F.concat(base, "_added")).drop("_edit", "_set", "_added")
     at = F.coalesce("turn", F.lit(_FIRST_TURN))
     made = made.withColumns({"_at": at, "_block": F.floor(at / _TURNS)})
     # The last regeneration at an earlier turn: of earlier blocks of turns, and within the block. So no task has to hold a conversation.
-    ahead = Window.partitionBy("_c", "_nc").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    block = made.groupBy(F.coalesce("conv_id", F.lit(0)).alias("_c"), F.col("conv_id").isNull().alias("_nc"), F.col("_block").alias("_b")).agg(F.max("_cut").alias("_m"))
+    ahead = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    block = made.groupBy(F.col("conv_id").alias("_c"), F.col("_block").alias("_b")).agg(F.max("_cut").alias("_m"))
     block = block.withColumn("_before", F.max("_m").over(ahead)).where(F.col("_before").isNotNull()).drop("_m")
     inside = Window.partitionBy("conv_id", "_block").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
     made = made.withColumn("_here", F.max("_cut").over(inside))
-    same = (F.coalesce("conv_id", F.lit(0)) == F.col("_c")) & (F.col("conv_id").isNull() == F.col("_nc")) & (F.col("_block") == F.col("_b"))
+    same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b"))
     made = made.join(block, same, "left")
     late = F.greatest("_here", "_before")  # null only if both are
     return made.where(late.isNull() | (F.col("_first") > late)).select("conv_id", "msg", "turn", "role", "text")
@@ -117,14 +121,15 @@ def digests(pieces: DataFrame) -> DataFrame:
     ship_code(pieces.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, None
+        at, state, kind = None, None, None
 
         def done() -> pa.RecordBatch:
             n, turns, chars, loss, size = state
-            return pa.RecordBatch.from_pydict({"conv_id": pa.array([at[0]], pa.int64()), "n_turns": [n], "turns_sha256": [turns.hexdigest()],
+            return pa.RecordBatch.from_pydict({"conv_id": pa.array([at[0]], kind), "n_turns": [n], "turns_sha256": [turns.hexdigest()],
                                                "loss_chars": [chars], "loss_sha256": [loss.hexdigest()], "formatted_chars": [size]})
 
         for batch in batches:
+            kind = batch.schema.field(0).type
             for conv, piece, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != (conv,):
                     if at:
@@ -141,8 +146,8 @@ def digests(pieces: DataFrame) -> DataFrame:
             yield done()
 
     order = pieces.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text", "msg")
-    return order.select("conv_id", "piece", "loss_start", "loss_length").mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    outputs = {"n_turns": "long", "turns_sha256": "string", "loss_chars": "long", "loss_sha256": "string", "formatted_chars": "long"}
+    return order.select("conv_id", "piece", "loss_start", "loss_length").mapInArrow(run, schema_with(pieces, ["conv_id"], outputs))
 
 
 def events_of(rows: DataFrame) -> DataFrame:

@@ -15,11 +15,11 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructField, StructType
 
 from ..sources.storage import materialize, shared_dir
 
-__all__ = ["ascii_lower", "column", "json_table", "materialize", "packed", "read", "rows_frame", "shared_dir", "ship_code", "small", "unpacked"]
+__all__ = ["ascii_lower", "column", "json_table", "materialize", "packed", "read", "rows_frame", "schema_with", "shared_dir", "ship_code", "small", "unpacked"]
 
 PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -85,6 +85,14 @@ def unpacked(names: Iterable[str], held: str = "row") -> list[Column]:
     return [F.col(held).getField(c).alias(c) for c in names]
 
 
+def schema_with(df: DataFrame, names: Iterable[str], more: dict[str, str]) -> StructType:
+    """The fields of these columns, then new ones by name and type."""
+    out = StructType([StructField(c, df.schema[c].dataType) for c in names])
+    for c, kind in more.items():
+        out = out.add(c, kind)
+    return out
+
+
 #: Tables of at most so many bytes, strings and arrays counted in full, are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 32 << 20
 

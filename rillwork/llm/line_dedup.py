@@ -1,10 +1,9 @@
-"""Line dedup with two Bloom filters: lines seen once, and lines seen twice.
+"""Line dedup with two kinds of Bloom filters: of lines seen once, and of lines seen twice.
 
-Each task fills a pair of filters with the hashes of its documents' lines; a bit that two tasks have
-set in their first filters is set in the merged second one, so no line of two documents is missed.
-Only lines that the second filter holds are shuffled, as text, for an exact count of documents and
-the choice of the first occurrence. The filters have a fixed greatest size: more lines than they are
-made for cost more suspects, never a wrong result.
+Hashes of lines, 8 bytes each, go to owners of hash ranges. Each owner has a once-seen filter of its own range, and what comes
+to it again, or was seen twice by a task already, is a suspect. The suspects, which are few, make the twice-seen filter that all tasks get.
+Only lines that this filter holds are shuffled, as text, for an exact count of documents and the choice of the first occurrence. More lines than
+the filters are made for cost more suspects, never a wrong result.
 """
 
 from __future__ import annotations
@@ -18,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship_code
+from .common import column, materialize, packed, schema_with, ship_code
 from .word_cache import blocks
 
-#: Bits of a filter for each document, and the least and most bits (32 MB) of a filter.
-BITS_PER_DOC, LEAST_BITS, MOST_BITS = 256, 1 << 20, 1 << 28
-#: Filters travel in segments of so many bits.
-SEGMENT = 1 << 20
+#: Bits of the once-seen filters for each document, and the least and most bits of one (8 MB), of which there are MOST_RANGES at most.
+BITS_PER_DOC, LEAST_BITS, MOST_BITS, MOST_RANGES = 256, 1 << 12, 1 << 26, 1 << 16
+#: Bits of the twice-seen filter for each suspect, and its least and most bits (32 MB).
+BITS_PER_SUSPECT, LEAST_TWICE, MOST_TWICE = 16, 1 << 16, 1 << 28
+#: The filter travels in segments of so many bits. Hashes that a task has told to be repeated and keeps, so as not to tell them again.
+SEGMENT, TOLD = 1 << 20, 200_000
 #: Confirmed keys of at most so many bytes are broadcast; more are joined.
 BROADCAST_BYTES = 8 << 20
 SALTS = 16
@@ -39,42 +40,28 @@ def long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode("utf-8", "replace")) >= min_chars)
 
 
-class Filters:
-    """The once-seen and the twice-seen filter of one task, two bits a key."""
+class Filter:
+    """A Bloom filter of a power of two bits, two bits a hash."""
 
-    def __init__(self, bits: int):
+    def __init__(self, bits: int, held: bytes | None = None):
         self.bits = bits
-        self.once = np.zeros(bits // 8, np.uint8)
-        self.twice = np.zeros(bits // 8, np.uint8)
+        self.held = np.zeros(bits // 8, np.uint8) if held is None else np.frombuffer(held, np.uint8)
 
     def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64) & (self.bits - 1)
-        return low, (hashes >> np.uint64(32)).astype(np.int64) & (self.bits - 1)
-
-    @staticmethod
-    def put(held: np.ndarray, at: np.ndarray) -> None:
-        np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-    @staticmethod
-    def holds(held: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        mask = np.uint64(self.bits - 1)
+        return (hashes & mask).astype(np.int64), (hashes >> np.uint64(22) & mask).astype(np.int64)
 
     def add(self, hashes: np.ndarray) -> None:
-        """The hashes of some documents, each document's lines once."""
-        seen, counts = np.unique(hashes, return_counts=True)
-        a, b = self.places(seen)
-        again = (counts > 1) | (self.holds(self.once, a) & self.holds(self.once, b))
-        self.put(self.twice, a[again])
-        self.put(self.twice, b[again])
-        self.put(self.once, a)
-        self.put(self.once, b)
+        for at in self.places(hashes):
+            np.bitwise_or.at(self.held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        a, b = ((self.held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1 for at in self.places(hashes))
+        return a & b
 
 
-def suspects(twice: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
-    f = Filters.__new__(Filters)
-    f.bits = bits
-    a, b = f.places(hashes)
-    return Filters.holds(twice, a) & Filters.holds(twice, b)
+def pow2(n: int, least: int, most: int) -> int:
+    return 1 << (min(most, max(least, n)) - 1).bit_length()
 
 
 def doc_hashes(texts: list[str], min_chars: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -88,45 +75,71 @@ def doc_hashes(texts: list[str], min_chars: int) -> tuple[list[bytes], np.ndarra
     return keys, np.array(of, np.int64), np.fromiter((h(k) for k in keys), np.uint64, len(keys))
 
 
-def twice_seen(docs: DataFrame, bits: int, min_chars: int) -> bytes:
-    """The merged twice-seen filter over the first column of ``docs``; ``bits`` / 8 bytes reach the driver."""
+def repeated(docs: DataFrame, n_docs: int, min_chars: int, filter_bits: int | None = None) -> DataFrame:
+    """(h): the hashes of all lines, from the text in the first column of ``docs``, that two documents have, and a few others."""
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_docs * BITS_PER_DOC // MOST_BITS))
+    ranges = min(MOST_RANGES, ranges)
+    bits = filter_bits or pow2(n_docs * BITS_PER_DOC // ranges, LEAST_BITS, MOST_BITS)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Filters(bits)
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = np.zeros(0, np.uint64)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for s in blocks(texts):
-                f.add(doc_hashes(texts[s], min_chars)[2])
-        size = min(SEGMENT, bits) // 8
+                seen, counts = np.unique(doc_hashes(texts[s], min_chars)[2], return_counts=True)
+                new = ~np.isin(seen, told)
+                seen, again = seen[new], counts[new] > 1
+                told = np.union1d(told, seen[again]) if len(told) < TOLD else seen[again]
+                owner = (seen >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)
+                yield pa.RecordBatch.from_arrays([pa.array(owner.astype(np.int32)), pa.array(seen.view(np.int64)), pa.array(again)], names=["owner", "h", "again"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, once = -1, Filter(bits)
+        for batch in batches:
+            owners, hashes, again = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(owners)) + 1).tolist(), len(owners)] if len(owners) else []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if owners[i] != at:
+                    at = owners[i]
+                    once.held[:] = 0
+                seen, of, counts = np.unique(hashes[i:j], return_inverse=True, return_counts=True)
+                twice = (counts > 1) | (np.bincount(of, again[i:j], len(seen)) > 0) | once.holds(seen)
+                once.add(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(seen[twice].view(np.int64))], names=["h"])
+
+    dealt = docs.mapInArrow(tell, "owner int, h long, again boolean").repartition("owner").sortWithinPartitions("owner")
+    return dealt.mapInArrow(own, "h long").distinct()
+
+
+def twice_seen(hashes: DataFrame, bits: int) -> bytes:
+    """The filter of the column h; ``bits`` / 8 bytes reach the driver."""
+    size = min(SEGMENT, bits) // 8
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Filter(bits)
+        for batch in batches:
+            f.add(batch.column(0).to_numpy().view(np.uint64))
         for k in range(0, bits // 8, size):
-            if f.once[k:k + size].any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([k // size], pa.int32()), "once": [zlib.compress(f.once[k:k + size], 1)], "twice": [zlib.compress(f.twice[k:k + size], 1)]})
+            if f.held[k:k + size].any():
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([k // size], pa.int32()), "held": [zlib.compress(f.held[k:k + size], 1)]})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, once, twice = None, None, None
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"segment": pa.array([at], pa.int32()), "twice": [twice.tobytes()]})
-
+        at, held = None, np.zeros(size, np.uint8)
         for batch in batches:
-            for k, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-                if k == at:
-                    twice = twice | b | (once & a)
-                    once = once | a
-                else:
+            for k, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != at:
                     if at is not None:
-                        yield done()
-                    at, once, twice = k, a, b
+                        yield pa.RecordBatch.from_pydict({"segment": pa.array([at], pa.int32()), "held": [held.tobytes()]})
+                    at, held = k, np.zeros(size, np.uint8)
+                held |= np.frombuffer(zlib.decompress(x), np.uint8)
         if at is not None:
-            yield done()
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([at], pa.int32()), "held": [held.tobytes()]})
 
-    parts = docs.mapInArrow(fill, "segment int, once binary, twice binary")
-    merged = parts.repartition(F.col("segment")).sortWithinPartitions("segment").mapInArrow(merge, "segment int, twice binary")
-    size = min(SEGMENT, bits) // 8
+    told = "segment int, held binary"
+    merged = hashes.mapInArrow(fill, told).repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, told)
     out = bytearray(bits // 8)
     for r in merged.toLocalIterator():
-        out[r["segment"] * size:(r["segment"] + 1) * size] = r["twice"]
+        out[r["segment"] * size:(r["segment"] + 1) * size] = r["held"]
     return bytes(out)
 
 
@@ -134,14 +147,15 @@ _OUTPUT = {"n_lines": "long", "n_dropped": "long", "kept_text": "string"}
 
 
 def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first_by: str | None = None,
-               filter_bits: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, long_words: int | None = None) -> DataFrame:
+               filter_bits: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, long_words: int | None = None, copy_share: float | None = None) -> DataFrame:
     """``docs`` with n_lines, n_dropped and kept_text, its lines without those of keys found in ``min_docs`` documents or more.
 
     A document is a row: repeated rows count as documents each, and a key counts once in a row however often it
     occurs there. Keys shorter than ``min_chars`` code points never count, so empty lines stay. A null
     or empty text is one empty line and stays an empty text. With ``keep_first_by``, the name of an integer or
     string column, the first occurrence of a key (least value there, then least line; of tied rows all) stays. With ``long_words``,
-    two documents are enough for a key of more than so many words (between ASCII white space). Columns
+    two documents are enough for a key of more than so many words (between ASCII white space). With ``copy_share``, a row of which so large a
+    share of the words, or more, would go is a copy rather than a text with a repeated passage: it keeps all its lines. Columns
     named as an output column are replaced, others pass through. An empty table gives an empty one.
     """
     if min_docs < 2:
@@ -150,23 +164,24 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
     ship_code(spark)
     names = [c for c in docs.columns if c not in _OUTPUT]
     types = dict(docs.dtypes)
-    docs = docs.select(*[F.col(f"`{c}`") for c in names])
-    bits = filter_bits or 1 << min(MOST_BITS, max(LEAST_BITS, docs.count() * BITS_PER_DOC)).bit_length() - 1
-    text = F.col(f"`{text_col}`").cast("string").alias("_t")
-    twice = spark.sparkContext.broadcast(twice_seen(docs.select(text), bits, min_chars))
-    place = F.col(f"`{keep_first_by}`") if keep_first_by else F.lit(0)
+    docs = docs.select(*map(column, names))
+    text = column(text_col).cast("string").alias("_t")
+    hashes = materialize(repeated(docs.select(text), docs.count(), min_chars, filter_bits))
+    bits = filter_bits or pow2(hashes.count() * BITS_PER_SUSPECT, LEAST_TWICE, MOST_TWICE)
+    twice = spark.sparkContext.broadcast(twice_seen(hashes, bits))
+    place = column(keep_first_by) if keep_first_by else F.lit(0)
     place_type = types[keep_first_by] if keep_first_by else "int"
     arrow_place = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[place_type]
 
     def suspected(each_line: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.frombuffer(twice.value, np.uint8)
+            held = Filter(bits, twice.value)
             for batch in batches:
                 texts = [t or "" for t in batch.column(0).to_pylist()]
                 places = batch.column(1).to_pylist()
                 for s in blocks(texts):
                     keys, of, hashes = doc_hashes(texts[s], min_chars)
-                    hit = suspects(held, bits, hashes)
+                    hit = held.holds(hashes)
                     found: list[tuple] = []
                     wanted: dict[int, set[bytes]] = {}
                     for j in np.flatnonzero(hit).tolist():
@@ -195,7 +210,7 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
         enough = enough | (F.col("n") >= 2) & (F.size(F.split(F.col("key").cast("string"), r"[\x20\x09-\x0D]+")) > long_words)
     confirmed = materialize(found.where(enough).select("key", "first.place", "first.line"))
     size = confirmed.agg(F.coalesce(F.sum(F.octet_length("key") + 40), F.lit(0)).alias("b")).first()["b"]
-    schema = ", ".join([f"`{c}` {types[c]}" for c in names] + [f"{c} {k}" for c, k in _OUTPUT.items()])
+    schema = schema_with(docs, names, _OUTPUT)
     at_text = names.index(text_col)
     at_place = names.index(keep_first_by) if keep_first_by else None
     width = len(names)
@@ -206,6 +221,10 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
             raw = (texts[i] or "").encode()
             lines = raw.split(b"\n")
             gone = drops(i, lines)
+            if gone and copy_share is not None:
+                sizes = [len(x.split()) for x in lines]
+                if sum(sizes[n] for n in gone) >= copy_share * sum(sizes):
+                    gone = set()
             n_lines.append(len(lines))
             n_dropped.append(len(gone))
             kept.append(b"\n".join([x for n, x in enumerate(lines) if n not in gone]).decode() if gone else texts[i] or "")
@@ -239,22 +258,22 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
     gone = lines.join(salted, ["key", "_salt"])
     if keep_first_by:
         gone = gone.where(~(F.col("place").eqNullSafe(F.col("_fp")) & (F.col("line") == F.col("_fl"))))
-    gone = materialize(gone.groupBy(F.col("ident").alias("__of")).agg(F.collect_list("line").alias("__gone")))
+    gone = materialize(gone.groupBy(F.col("ident").alias("of")).agg(F.collect_list("line").alias("gone")))
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at_text).to_pylist()
-            places = batch.column(at_place).to_pylist() if keep_first_by else [0] * len(texts)
-            ids = [xxhash.xxh3_128_digest((t or "").encode() + b"\0" + repr(p).encode()) for t, p in zip(texts, places, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*names, "__ident"])
+            ids = [xxhash.xxh3_128_digest((t or "").encode() + b"\0" + repr(p).encode()) for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary())], names=["row", "text", "ident"])
 
-    marked = docs.mapInArrow(identify, ", ".join([f"`{c}` {types[c]}" for c in names] + ["__ident binary"]))
-    joined = marked.join(gone, F.col("__ident") == F.col("__of"), "left").select(*[F.col(f"`{c}`") for c in names], "__gone")
+    held = docs.select(packed(names), text.alias("text"), place.alias("place"))
+    marked = held.mapInArrow(identify, schema_with(held, ["row", "text"], {"ident": "binary"}))
+    joined = marked.join(gone, F.col("ident") == F.col("of"), "left").select("row", "text", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lists = batch.column(at_text).to_pylist(), batch.column(width).to_pylist()
+            texts, lists = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            rows_of = pa.RecordBatch.from_arrays(batch.column(0).flatten(), names=names)
             for s in blocks([t or "" for t in texts]):
-                yield answer(batch, texts, lambda i, _: set(lists[i] or ()), s)  # noqa: B023
+                yield answer(rows_of, texts, lambda i, _: set(lists[i] or ()), s)  # noqa: B023
 
     return joined.mapInArrow(cut, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, packed, ship_code, unpacked
+from .common import column, materialize, packed, schema_with, ship_code, unpacked
 from .word_cache import blocks
 
 WIDTH, FILTERS, CHUNK = 4, 16, 256
@@ -220,4 +220,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
                 found = predict(model, [t.encode() for t in texts[s]], tables)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, len(found)), pa.array(found)], names=["row", "score"])
 
-    return rows.mapInArrow(run, rows.select("row").schema.add("score", "double")).select(*unpacked(kept), F.col("score").alias(out_col))
+    return rows.mapInArrow(run, schema_with(rows, ["row"], {"score": "double"})).select(*unpacked(kept), F.col("score").alias(out_col))

@@ -15,9 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import ship_code
+from .common import column, schema_with, ship_code
 from .word_cache import blocks
 
 #: Limits of the base rules: fewest words; percent of words in repeated windows of WINDOW words.
@@ -129,9 +128,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 5, m
     """
     ship_code(docs.sparkSession)
     kept = [c for c in docs.columns if c not in _OUTPUT and c != text_col]
-    types = dict(docs.dtypes)
     names = [*kept, text_col]
-    schema = ", ".join([f"`{c}` {types[c]}" for c in names] + [f"{c} {t}" for c, t in _OUTPUT.items()])
+    schema = schema_with(docs, names, _OUTPUT)
     kinds = {"long": pa.int64(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,4 +140,4 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 5, m
                 columns = [pa.array(c, kinds[k]) for c, k in zip(zip(*rows, strict=True), _OUTPUT.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays(batch.slice(s.start, len(rows)).columns[:len(names)] + columns, names=[*names, *_OUTPUT])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return docs.select(*map(column, names)).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, packed, ship_code, small, unpacked
+from .common import column, materialize, packed, schema_with, ship_code, small, unpacked
 from .components import components
 from .word_cache import blocks
 
@@ -71,7 +71,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text", width: int = 4, out_col
                 found = fingerprints_of(texts[s], width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, len(found)), pa.array(found)], names=["row", "print"])
 
-    return rows.mapInArrow(run, rows.select("row").schema.add("print", "long")).select(*unpacked(kept), F.col("print").alias(out_col))
+    return rows.mapInArrow(run, schema_with(rows, ["row"], {"print": "long"})).select(*unpacked(kept), F.col("print").alias(out_col))
 
 
 # --- partitions and thresholds ---------------------------------------------------------------------------

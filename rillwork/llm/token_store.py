@@ -10,6 +10,7 @@ so a filter on doc_id reads the pages that can hold it, and reading metadata nev
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from array import array
@@ -31,6 +32,18 @@ ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 _CACHES: dict[bytes, WordCache] = {}
 
 
+def checked(source: bytes) -> bytes:
+    """The tokenizer's JSON, if its texts may be cut before single spaces: a byte-level BPE without normalizer, prefix space or other pre-tokenizers."""
+    spec = json.loads(source)
+    cutter = spec.get("pre_tokenizer") or {}
+    added = [t["content"] for t in spec.get("added_tokens", []) if t["single_word"] or t["lstrip"] or t["rstrip"] or " " in t["content"]]
+    model = spec["model"]
+    if (cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True) or spec.get("normalizer") or added
+            or model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")):
+        raise ValueError("only a byte-level BPE without normalizer, prefix space or added tokens that take white space can be encoded by parts")
+    return source
+
+
 def library_cache(source: bytes) -> WordCache:
     """A word cache over the tokenizers library, one for each Python worker."""
     key = hashlib.sha256(source).digest()
@@ -68,11 +81,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
 
     A null or empty text holds ``end_id`` alone. Null ids come first; rows of equal id are ordered by a hash
     of the text, so an id that many rows share is still spread over tasks; repeated rows all stay. Other columns are
-    not written. An empty table gives an empty store.
+    not written. An empty table gives an empty store. ``tokenizer`` is the path of a byte-level BPE whose texts may be cut before
+    single spaces; others raise a ValueError.
     """
     spark = docs.sparkSession
     ship_code(spark)
-    source = spark.sparkContext.broadcast(Path(tokenizer).read_bytes())
+    source = spark.sparkContext.broadcast(checked(Path(tokenizer).read_bytes()))
     id_type = dict(docs.dtypes)[id_col]
     tail = np.array([end_id], "<u4").tobytes()
 

@@ -23,6 +23,21 @@ def test_fold(spark, rows):
     assert chat_log.fold(events.where("false")).count() == 0
 
 
+def test_ties_and_other_types_of_ids(spark, rows):
+    log = [
+        ("a", "x", 0, 1, "delta", None, "2"), ("a", "x", 0, 1, "delta", None, "1"), ("a", "x", 0, 1, "edit", None, "E"), ("a", "x", 0, 1, "edit", None, "D"), ("a", "x", 0, 1, "start", "user", None), ("a", "x", 1, 1, "regenerate", "tool", None),
+        ("a", "y", 0, 5, "delete", None, None), ("a", "y", 0, 5, "start", "user", None),
+        (None, "z", 0, 2, "start", "user", None), (None, "z", 0, 2, "delta", None, "n"), ("0", "z", 0, None, "delta", None, "first"), ("0", "z", 0, 0, "delta", None, " then"),
+        ("c", "m", 0, 1, "start", "user", None), ("c", "n", 3000, 2, "start", "user", None), ("c", "m", 0, 3, "regenerate", None, None),
+    ]
+    events = spark.createDataFrame(log, chat_log.EVENTS.replace("conv_id bigint, msg bigint", "conv_id string, msg string"))
+    want = sorted([("a", "x", 1, "user", "E12"), (None, "z", 0, "user", "n"), ("0", "z", 0, "", "first then"), ("c", "m", 0, "user", "")], key=repr)
+    for parts in (1, 4):
+        assert rows(chat_log.fold(events.repartition(parts))) == want
+    found = chat_log.digests(chat_log.render(chat_log.fold(events)))
+    assert dict(found.dtypes)["conv_id"] == "string" and sorted(r["conv_id"] or "" for r in found.collect()) == ["", "0", "a", "c"]
+
+
 def test_regeneration_reaches_over_blocks_of_turns(spark, rows):
     log = [(1, m, m * 700, m, "start", "user", None) for m in range(5)] + [(1, 1, 700, 3, "regenerate", None, None)]
     got = rows(chat_log.fold(spark.createDataFrame(log, chat_log.EVENTS)).select("msg"))

@@ -51,13 +51,21 @@ def test_tables_and_columns(docs, no_docs, picked):
         line_dedup.line_dedup(docs, min_docs=1)
 
 
-def test_filters_miss_nothing():
+def test_filters_miss_nothing(spark, monkeypatch):
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 1 << 64, 4000, np.uint64)
-    f = line_dedup.Filters(1 << 14)
-    f.add(hashes[:3000])
-    f.add(hashes[2500:])
-    assert line_dedup.suspects(f.twice, f.bits, hashes[2500:3000]).all()
+    f = line_dedup.Filter(1 << 14)
+    f.add(hashes)
+    assert f.holds(hashes).all()
+    monkeypatch.setattr(line_dedup, "TOLD", 5)
+    lines = [f"line {i % 700}" for i in range(1000)] + ["hot"] * 500
+    docs = spark.createDataFrame([(x,) for x in lines], "text string").repartition(6)
+    want = set(line_dedup.doc_hashes([f"line {i}\nhot" for i in range(300)], 1)[2].view(np.int64).tolist())
+    for bits in (None, 64):  # a full filter suspects more
+        found = {r["h"] for r in line_dedup.repeated(docs, 1500, 1, bits).collect()}
+        assert want <= found and (bits or len(found) < len(want) + 60)
+    few = line_dedup.repeated(docs, 1 << 40, 1, 1 << 12)  # as many ranges as there may be
+    assert want <= {r["h"] for r in few.collect()}
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 0])
@@ -68,3 +76,14 @@ def test_long_lines_of_two_documents(spark, limit):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["kept_text"] for r in line_dedup.line_dedup(df, keep_first_by="doc_id", broadcast_bytes=limit, long_words=50).collect()}
     assert got == {1: rows[0][1], 2: f"c\n{fifty}", 3: f"{fifty}\nd", 4: rows[3][1], None: "e"}
+
+
+def test_copies_are_left_whole(spark):
+    """A row that would lose four fifths of its words keeps all lines; one that loses fewer does not."""
+    over = " ".join(f"w{k}" for k in range(60))
+    rest = lambda n, c: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, f"{over}\n{rest(30, 'a')}"), (2, f"{over}\n{rest(15, 'b')}"), (3, f"{over}\n{rest(16, 'c')}"), (4, over), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (1 << 20, 0):
+        got = {r["doc_id"]: (r["kept_text"], r["n_dropped"]) for r in line_dedup.line_dedup(df, keep_first_by="doc_id", broadcast_bytes=limit, long_words=50, copy_share=0.8).collect()}
+        assert got == {1: (rows[0][1], 0), 2: (rows[1][1], 0), 3: (rest(16, "c"), 1), 4: (over, 0), 5: ("", 0)}

@@ -96,3 +96,25 @@ def test_op4(spark, docs, no_docs, tokenizer, library, picked, tmp_path):
     assert all(c.has_column_index and c.has_offset_index for c in columns.values())
     plan = token_store.read(spark, path).where("doc_id = 4").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,4)" in plan and "ids" not in plan.split("ReadSchema")[1]
+
+
+def test_other_tokenizers_are_refused(docs, tokenizer, tmp_path):
+    import json
+
+    spec = json.loads(open(tokenizer[0], "rb").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="byte-level"):
+            token_store.write(docs, f"file://{tmp_path}/store", str(path), 2)
+
+
+def test_pieces_without_the_short_cut(tokenizer, library, monkeypatch):
+    """The prefix tables alone, also for pieces that are entries of the vocabulary."""
+    own = bpe.PrefixBpe(open(tokenizer[0], "rb").read(), tokenizer[1])
+    rng = random.Random(3)
+    words = [b.decode() for b in list(own.bytes_of.values())[::97] if b.isascii() and b.decode().isprintable()] + ["".join(rng.choice("theinganor") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    own.ids_of = {}
+    for w in words:
+        for piece in own.find(w):
+            assert own.encode_piece(piece.encode()) == list(array("I", library[1](piece)))
