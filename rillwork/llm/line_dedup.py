@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, packed, schema_with, ship_code
+from .common import column, materialize, packed, schema_with, ship_code, unpacked
 from .word_cache import blocks
 
 #: Bits of the once-seen filters for each document, and the least and most bits of one (8 MB), of which there are MOST_RANGES at most.
@@ -164,24 +164,25 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
     ship_code(spark)
     names = [c for c in docs.columns if c not in _OUTPUT]
     types = dict(docs.dtypes)
-    docs = docs.select(*map(column, names))
-    text = column(text_col).cast("string").alias("_t")
-    hashes = materialize(repeated(docs.select(text), docs.count(), min_chars, filter_bits))
+    place = column(keep_first_by) if keep_first_by else F.lit(0)
+    rest = [c for c in names if c != text_col]
+    held = docs.select(packed(rest), column(text_col).cast("string").alias("text"), place.alias("place"))
+    rows = held.select("text", "place")
+    hashes = materialize(repeated(held.select("text"), docs.count(), min_chars, filter_bits))
     bits = filter_bits or pow2(hashes.count() * BITS_PER_SUSPECT, LEAST_TWICE, MOST_TWICE)
     twice = spark.sparkContext.broadcast(twice_seen(hashes, bits))
-    place = column(keep_first_by) if keep_first_by else F.lit(0)
     place_type = types[keep_first_by] if keep_first_by else "int"
     arrow_place = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[place_type]
 
     def suspected(each_line: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = Filter(bits, twice.value)
+            seen = Filter(bits, twice.value)
             for batch in batches:
                 texts = [t or "" for t in batch.column(0).to_pylist()]
                 places = batch.column(1).to_pylist()
                 for s in blocks(texts):
                     keys, of, hashes = doc_hashes(texts[s], min_chars)
-                    hit = held.holds(hashes)
+                    hit = seen.holds(hashes)
                     found: list[tuple] = []
                     wanted: dict[int, set[bytes]] = {}
                     for j in np.flatnonzero(hit).tolist():
@@ -203,17 +204,13 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
         return run
 
     told = f"key binary, place {place_type}, line int, ident binary"
-    rows = docs.select(text, place.alias("_p"))
     found = rows.mapInArrow(suspected(False), told).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("place", "line")).alias("first"))
     enough = F.col("n") >= min_docs
     if long_words is not None:
         enough = enough | (F.col("n") >= 2) & (F.size(F.split(F.col("key").cast("string"), r"[\x20\x09-\x0D]+")) > long_words)
     confirmed = materialize(found.where(enough).select("key", "first.place", "first.line"))
     size = confirmed.agg(F.coalesce(F.sum(F.octet_length("key") + 40), F.lit(0)).alias("b")).first()["b"]
-    schema = schema_with(docs, names, _OUTPUT)
-    at_text = names.index(text_col)
-    at_place = names.index(keep_first_by) if keep_first_by else None
-    width = len(names)
+    schema = schema_with(held, ["row", "text"], _OUTPUT)
 
     def answer(batch: pa.RecordBatch, texts: list[str | None], drops: Callable[[int, list[bytes]], set[int]], s: slice) -> pa.RecordBatch:
         n_lines, n_dropped, kept = [], [], []
@@ -229,7 +226,11 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
             n_dropped.append(len(gone))
             kept.append(b"\n".join([x for n, x in enumerate(lines) if n not in gone]).decode() if gone else texts[i] or "")
         more = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())]
-        return pa.RecordBatch.from_arrays(batch.slice(s.start, s.stop - s.start).columns[:width] + more, names=[*names, *_OUTPUT])
+        return pa.RecordBatch.from_arrays(batch.slice(s.start, s.stop - s.start).columns[:2] + more, names=["row", "text", *_OUTPUT])
+
+    def opened(found: DataFrame) -> DataFrame:
+        columns = dict(zip(rest, unpacked(rest), strict=True)) | {text_col: F.col("text").alias(text_col)}
+        return found.select(*[columns[c] for c in names], *_OUTPUT)
 
     if size <= broadcast_bytes:
         table = spark.sparkContext.broadcast({bytes(r["key"]): (r["place"], r["line"]) for r in confirmed.collect()})
@@ -237,8 +238,8 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             drop = table.value
             for batch in batches:
-                texts = batch.column(at_text).to_pylist()
-                places = batch.column(at_place).to_pylist() if keep_first_by else None
+                texts = batch.column(1).to_pylist()
+                places = batch.column(2).to_pylist()
 
                 def drops(i: int, lines: list[bytes]) -> set[int]:
                     keys = keys_of((texts[i] or "").encode())
@@ -249,7 +250,7 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
                 for s in blocks([t or "" for t in texts]):
                     yield answer(batch, texts, drops, s)
 
-        return docs.mapInArrow(apply, schema)
+        return opened(held.mapInArrow(apply, schema))
 
     # Too many keys to broadcast: lines meet them in a join, salted since a key may be in very many lines.
     # What is dropped follows from a row's text (and place) alone, so a digest of these is enough to join back.
@@ -265,15 +266,13 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
             ids = [xxhash.xxh3_128_digest((t or "").encode() + b"\0" + repr(p).encode()) for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary())], names=["row", "text", "ident"])
 
-    held = docs.select(packed(names), text.alias("text"), place.alias("place"))
     marked = held.mapInArrow(identify, schema_with(held, ["row", "text"], {"ident": "binary"}))
     joined = marked.join(gone, F.col("ident") == F.col("of"), "left").select("row", "text", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lists = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            rows_of = pa.RecordBatch.from_arrays(batch.column(0).flatten(), names=names)
             for s in blocks([t or "" for t in texts]):
-                yield answer(rows_of, texts, lambda i, _: set(lists[i] or ()), s)  # noqa: B023
+                yield answer(batch, texts, lambda i, _: set(lists[i] or ()), s)  # noqa: B023
 
-    return joined.mapInArrow(cut, schema)
+    return opened(joined.mapInArrow(cut, schema))

@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import column, schema_with, ship_code
+from .common import column, packed, schema_with, ship_code, unpacked
 from .word_cache import blocks
 
 #: Limits of the base rules: fewest words; percent of words in repeated windows of WINDOW words.
@@ -128,16 +129,16 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 5, m
     """
     ship_code(docs.sparkSession)
     kept = [c for c in docs.columns if c not in _OUTPUT and c != text_col]
-    names = [*kept, text_col]
-    schema = schema_with(docs, names, _OUTPUT)
+    rows = docs.select(packed(kept), column(text_col).cast("string").alias("text"))
     kinds = {"long": pa.int64(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             for s in blocks(texts):
-                rows = measure([t.encode() for t in texts[s]], min_words, max_covered_percent, max_longest)
-                columns = [pa.array(c, kinds[k]) for c, k in zip(zip(*rows, strict=True), _OUTPUT.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays(batch.slice(s.start, len(rows)).columns[:len(names)] + columns, names=[*names, *_OUTPUT])
+                found = measure([t.encode() for t in texts[s]], min_words, max_covered_percent, max_longest)
+                columns = [pa.array(c, kinds[k]) for c, k in zip(zip(*found, strict=True), _OUTPUT.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(s.start, len(found)).columns, *columns], names=["row", "text", *_OUTPUT])
 
-    return docs.select(*map(column, names)).mapInArrow(run, schema)
+    found = rows.mapInArrow(run, schema_with(rows, ["row", "text"], _OUTPUT))
+    return found.select(*unpacked(kept), F.col("text").alias(text_col), *_OUTPUT)

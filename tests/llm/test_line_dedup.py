@@ -11,18 +11,21 @@ def keys(text):
     return [x.strip(" \t\n\x0b\x0c\r") for x in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split("\n")]
 
 
-def expected(rows, min_docs, min_chars, first=False):
+def expected(rows, min_docs, min_chars, first=False, long_words=None, copy_share=None):
     where = {}
     for i, t in rows:
         for k in set(keys(t or "")):
             if len(k) >= min_chars:
                 where.setdefault(k, []).append((i, keys(t or "").index(k)))
-    common = {k for k, w in where.items() if len(w) >= min_docs}
+    common = {k for k, w in where.items() if len(w) >= min_docs or long_words and len(w) > 1 and len(k.encode().split()) > long_words}
     order = lambda p: (p[0] is not None, p[0] or 0, p[1])
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
         gone = [k in common and not (first and min(where[k], key=order) == (i, n)) for n, k in enumerate(keys(t or ""))]
+        sizes = [len(x.encode().split()) for x in lines]
+        if copy_share and any(gone) and sum(n for n, g in zip(sizes, gone, strict=True) if g) >= copy_share * sum(sizes):
+            gone = [False] * len(lines)
         out.append((i, len(lines), sum(gone), "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)))
     return sorted(out, key=repr)
 

@@ -10,7 +10,6 @@ from rillwork.llm.common import materialize
 
 from .test_line_dedup import expected as lines_by_hand
 from .test_phrase_index import expected as hits_by_hand
-from .test_simhash import fingerprint, groups
 
 
 @pytest.fixture()
@@ -21,13 +20,15 @@ def folder(spark, tmp_path, monkeypatch):
     word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8)))
     sentence = lambda n: " ".join(word() for _ in range(n))
     items = [(i, sentence(12)) for i in range(4)]
-    rows = []
+    rows, passage = [], sentence(55)
     for i in range(150):
         text = "\n".join(sentence(12) for _ in range(rng.randrange(2, 8)))
         if i % 5 == 0:
             text = " ".join(w.upper() + "!!" for w in text.split())
         elif i % 11 == 1:
             text += "\nA line that very many have"
+        elif i % 13 == 4:
+            text += "\n" + passage
         elif i % 17 == 2:
             text += "\n" + items[0][1] + "\n" + items[1][1]
         elif i % 17 == 3:
@@ -61,10 +62,12 @@ def test_stages_equal_brute_force(spark, folder):
     kept = {i for i, _ in pairs(good)}
     wrong = [i for i in range(150) if (i in kept) != (i % 5 > 0) and zlib.crc32(str(i).encode()) % 5]
     assert len(wrong) <= 3
-    assert sorted(((i, t) for i, _, _, t in lines_by_hand(pairs(good), 10, 1, True)), key=repr) == sorted(pairs(lined), key=repr)
+    assert sorted(((i, t) for i, _, _, t in lines_by_hand(pairs(good), 10, 1, True, corpus_pipeline.LONG_WORDS, corpus_pipeline.COPY_SHARE)), key=repr) == sorted(pairs(lined), key=repr)
     # one row of each group
     rows = sorted(pairs(lined), key=lambda r: (r[0] is not None, r[0] or 0))
-    by_group = groups([(n, fingerprint(t)) for n, (_, t) in enumerate(rows)], 4)
+    from .test_jaccard import groups
+
+    by_group = groups([(n, t) for n, (_, t) in enumerate(rows)])
     assert sorted(pairs(near), key=repr) == sorted({rows[n] for n in set(by_group)}, key=repr)
     hits = hits_by_hand(pairs(near), items, 8)
     gone = {h[0] for h in hits if h[5]}
