@@ -9,7 +9,7 @@
     argument   = cell ":" cell | comparison
 
 Values are doubles; what has no value is NaN. A quotient by zero is +Infinity. Comparisons are 1 or 0, NaN compares as
-false, equality allows for the machine epsilon. SUM, AVG, MIN and MAX take numbers and ranges (row by row), MIN and MAX skip NaN; IF takes
+false, equality allows for the machine epsilon. SUM, AVG, MIN and MAX take numbers and ranges (row by row), MIN and MAX skip NaN and are +Infinity and -Infinity over nothing else; IF takes
 three arguments and evaluates one branch. An unknown function is NaN.
 """
 
@@ -195,7 +195,7 @@ def evaluate(tree: Expr, value_of: Callable[[str], float]) -> float:
                 return sum(values) / len(values) if values else NAN
             if name in ("MIN", "MAX"):
                 none = INF if name == "MIN" else -INF
-                return (min if name == "MIN" else max)(real, default=NAN if values else none)
+                return (min if name == "MIN" else max)(real, default=none)
             return NAN
     raise TypeError(tree)
 
@@ -280,7 +280,7 @@ def compile_formula(tree: Expr | str, columns: Mapping[str, Column | str]) -> Co
                         return F.lit(INF if name == "MIN" else -INF)
                     # null for NaN, which least and greatest skip
                     held = [F.when(~F.isnan(v), v) for v in values] + [F.lit(None).cast("double")]
-                    return F.coalesce((F.least if name == "MIN" else F.greatest)(*held), nan)
+                    return F.coalesce((F.least if name == "MIN" else F.greatest)(*held), F.lit(INF if name == "MIN" else -INF))
                 return nan
         raise TypeError(t)
 

@@ -1,8 +1,7 @@
 """Operators on a sort order: positions, pairs of neighbours, sliding windows, rolling aggregates.
 
-With partition columns a window function does it. Over the whole table a plain window would put
-all rows in one task, so larger tables are cut into ranges of the order, each range gets copies of the few
-rows before and after it as guests, and the window function runs within ranges.
+A plain window would put all rows of the table, or of a group, in one task. So larger tables are cut into ranges of the order (of group and
+order, where there are groups), each range gets copies of the few rows before and after it as guests, and the window function runs within ranges.
 """
 
 from __future__ import annotations
@@ -105,23 +104,26 @@ def entries(df: DataFrame, order: Sequence[KeyLike], tiebreak: Sequence[str] = (
             .withColumn(idx, F.col(idx) + F.col("__ahead")).drop("__b", "__base", "__ahead"))
 
 
-def leads(df: DataFrame, order: Sequence[KeyLike], size: int, tiebreak: Sequence[str] = (), by: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Windows of ``size`` consecutive rows as structs w0, w1, ...; for ``by`` also these columns, and windows within their groups only."""
+def leads(df: DataFrame, order: Sequence[KeyLike], size: int, tiebreak: Sequence[str] = (), by: Sequence[str] = (), range_rows: int | None = RANGE_ROWS) -> DataFrame:
+    """Windows of ``size`` consecutive rows as structs w0, w1, ...; for ``by`` also these columns, and windows within their groups only.
+
+    Groups of a table of at most ``range_rows`` rows (or of any, if that is None) go to a task each; beyond, a group of any size is spread over ranges."""
     if size < 1:
         raise ValueError("a window has one row at least")
     order = order_by(order, tiebreak)
-    names = df.columns
-    row = F.struct(*names)
-    if by:
+    row = F.struct(*df.columns)
+    if by and (range_rows is None or df.count() <= range_rows):
         w = Window.partitionBy(*by).orderBy(*columns(order))
-        host = F.lit(True)
-    else:
-        df = with_guests(df, order, after=size - 1, range_rows=range_rows)
-        w = Window.partitionBy("__b").orderBy(*columns(order))
-        host = ~F.col("__guest")
-    cols = [row.alias("w0")] + [F.lead(row, k).over(w).alias(f"w{k}") for k in range(1, size)]
-    out = df.select(*by, host.alias("__host"), *cols).where("__host").drop("__host")
-    return out.where(F.col(f"w{size - 1}").isNotNull())
+        out = df.select(*by, row.alias("w0"), *[F.lead(row, k).over(w).alias(f"w{k}") for k in range(1, size)])
+        return out.where(F.col(f"w{size - 1}").isNotNull())
+    order = [*order_by(by), *order]
+    held = with_guests(df, order, after=size - 1, range_rows=RANGE_ROWS if range_rows is None else range_rows)
+    w = Window.partitionBy("__b").orderBy(*columns(order))
+    out = held.select(*by, F.col("__guest"), row.alias("w0"), *[F.lead(row, k).over(w).alias(f"w{k}") for k in range(1, size)])
+    out = out.where(~F.col("__guest") & F.col(f"w{size - 1}").isNotNull()).drop("__guest")
+    for c in by:  # a window that crosses into the next group is none
+        out = out.where(F.col(f"w{size - 1}").getField(c).eqNullSafe(F.col("w0").getField(c)))
+    return out
 
 
 def pairwise(df: DataFrame, order: Sequence[KeyLike], tiebreak: Sequence[str] = (), by: Sequence[str] = (), range_rows: int = RANGE_ROWS, unique: bool = False) -> DataFrame:

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import formula, scalar
 from ..operators import ordered, relational
 from ..operators.zset import expand
 from ..sources.changelog import effective_deltas
+from ..sources.storage import shared_dir
+from ..sources.tables import KeyedTable
+from ..streaming.runner import EpochRunner, Gauge, read_op_stream
 from . import demos
-from .graph import Runtime
+from .graph import QueryFailed, Runtime
 from .incremental import Collection, Source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,11 +143,11 @@ def reduce_empty(spark, sf_dir):
 
 
 @query("""SELECT event_type, least(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), CAST(50 AS DOUBLE)) AS capped,
-CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / greatest(count(*), 1) AS mean FROM events WHERE event_id % 500 = 0 GROUP BY event_type""")
+CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / greatest(count(*), 1) AS mean FROM events GROUP BY event_type""")
 def capped_and_mean(spark, sf_dir):
-    rows = events(spark, sf_dir).where("event_id % 500 = 0")
     exact = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
-    return rows.groupBy("event_type").agg(F.least(exact, F.lit(scalar.DAILY_CAP)).alias("capped"), scalar.ratio(exact, F.count("*")).alias("mean"))
+    by = events(spark, sf_dir).groupBy("event_type")
+    return by.agg(F.least(exact, F.lit(scalar.DAILY_CAP)).alias("capped"), scalar.ratio(exact, F.count("*")).alias("mean"))
 
 
 @query("""SELECT user_id, CAST(ts AS DATE) AS day, least(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), CAST(50 AS DOUBLE)) AS capped,
@@ -345,20 +349,20 @@ def grid_aggregates(spark, sf_dir):
 # --- the same by deltas: the table comes in several epochs, with rows that go again, and each epoch is read
 
 
-def replay(spark: SparkSession, rows: DataFrame, key: str, build: Callable[[Source], Collection], epochs: int = 3) -> Collection:
+def replay(spark: SparkSession, rows: DataFrame, key: str, build: Callable[[Source], Collection], epochs: int = 3, each: Callable[[Runtime, Collection], object] | None = None) -> Collection:
     """A source that gets ``rows`` in epochs by their key, too many at first: the next epoch deletes what the last had too early."""
     rt = Runtime(spark)
     source = Source(rt, rows.schema, [key])
     target = build(source)
+    read = each or (lambda rt, target: rt.get(target.version_node))
     part = F.pmod(F.xxhash64(key), F.lit(epochs))
     for e in range(epochs):
-        adds = rows.where(part == e).withColumn("__op", F.lit(True))
-        early = rows.where((part == e + 1) & (F.col(key) % 3 == 0)).withColumn("__op", F.lit(True)) if e + 1 < epochs else None
-        source.apply(adds if early is None else adds.unionByName(early), "__op", F.lit(0))
-        rt.get(target.version_node)
-        if early is not None:
-            source.apply(early, "false", F.lit(0))
-            rt.get(target.version_node)
+        early = (part == e + 1) & (F.col(key) % 3 == 0) if e + 1 < epochs else F.lit(False)
+        source.load(rows.where((part == e) | early))
+        read(rt, target)
+        if e + 1 < epochs:
+            source.remove(rows.where(early))
+            read(rt, target)
     return target
 
 
@@ -383,8 +387,15 @@ def delta_filter_over_bag(spark, sf_dir):
 @query(ORACLE_SQL["count_bag"])
 def delta_count(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "user_id")
-    target = replay(spark, rows, "event_id", lambda s: s.map((F.col("user_id") % 10).alias("bucket")))
-    return spark.createDataFrame([(target.runtime.get(target.count()),)], "n long")
+    cells: list = []
+
+    def build(s: Source) -> Collection:
+        bag = s.map((F.col("user_id") % 10).alias("bucket"))
+        cells.append(bag.count())
+        return bag
+
+    rt = replay(spark, rows, "event_id", build, each=lambda rt, _: rt.get(cells[0])).runtime
+    return spark.createDataFrame([(rt.get(cells[0]),)], "n long")
 
 
 @query(ORACLE_SQL["reduce_sum_max"])
@@ -452,26 +463,255 @@ def delta_pipeline(spark, sf_dir):
     return expand(replay(spark, rows, "event_id", build).state()).groupBy("user_id").agg(F.sum("gap").alias("total_gap_us"))
 
 
-# --- what SQL has no counterpart of
+@query(ORACLE_SQL["filter"])
+def delta_retry(spark, sf_dir):
+    """Each epoch is lost once after its work is done, as with an executor, and read again."""
+    lost: set[int] = set()
+
+    def build(s: Source) -> Collection:
+        target = s.filter("event_type = 'purchase' and value > 10.0")
+        work = target._change
+
+        def change(d):
+            done = work(d)
+            if s.version not in lost:
+                lost.add(s.version)
+                raise OSError("an executor is lost")
+            return done
+
+        target._change = change
+        return target
+
+    def read(rt: Runtime, target: Collection) -> None:
+        try:
+            rt.get(target.version_node)
+        except QueryFailed:
+            rt.get(target.version_node)
+
+    rows = events(spark, sf_dir).select("event_id", "user_id", "event_type", "value")
+    return replay(spark, rows, "event_id", build, each=read).elements()
+
+
+@query("SELECT sum(floor(value * 4) / 4) AS total, sum(floor(value * 4) / 4) / count(*) AS mean, max(floor(value * 4) / 4) AS high FROM events")
+def delta_sum_doubles(spark, sf_dir):
+    """Doubles that swallow others, infinities and NaN come and go; what stays adds up exactly."""
+    rows = events(spark, sf_dir).select("event_id", (F.floor(F.col("value") * 4) / F.lit(4.0)).alias("x"))
+    cells: list = []
+
+    def build(s: Source) -> Collection:
+        cells.extend([s.sum("x"), s.avg("x"), s.max("x")])
+        odd = spark.createDataFrame([(-1, 1e17), (-2, float("inf")), (-3, float("nan")), (-4, -1e300)], "event_id long, x double")
+        s.load(odd)
+        cells.append(odd)
+        return s
 
+    def read(rt: Runtime, target: Collection) -> None:
+        for c in cells[:3]:
+            rt.get(c)
 
-@query(None)
+    target = replay(spark, rows, "event_id", build, each=read)
+    target.remove(cells[3])
+    return spark.createDataFrame([tuple(target.runtime.get(c) for c in cells[:3])], "total double, mean double, high double")
+
+
+@query(ORACLE_SQL["sort_entries"])
+def delta_sort_feed(spark, sf_dir):
+    """A list that only follows the changes by position."""
+    feeds, held = [], []
+
+    def build(s: Source) -> Collection:
+        feeds.append(s.sort_by_key("ts", "event_id").feed())
+        return s
+
+    def read(rt: Runtime, target: Collection) -> None:
+        for r in feeds[0].poll().orderBy("step").toLocalIterator():
+            if r["op"] == "inserted":
+                held.insert(r["idx"], r["event_id"])
+            elif held.pop(r["idx"]) != r["event_id"]:
+                raise AssertionError("another row was removed")
+
+    replay(spark, events(spark, sf_dir).select("event_id", "ts"), "event_id", build, each=read)
+    return spark.createDataFrame(list(enumerate(held)), "idx long, event_id long")
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def delta_self_join(spark, sf_dir):
+    """A collection joined with itself, while it changes."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    found = replay(spark, rows, "n_nationkey", lambda s: s.join(s, "n_regionkey", "n_regionkey")).rows()
+    return found.select(F.col("left.n_nationkey").alias("a"), F.col("right.n_nationkey").alias("b"))
+
+
+@query("SELECT p_brand, max((p_retailprice - (p_size + 1000)) / (p_size + 1000) * 100) AS best FROM part GROUP BY p_brand")
+def best_performer(spark, sf_dir):
+    return demos.best_performer(table(spark, sf_dir, "part"), F.col("p_retailprice"), (F.col("p_size") + 1000).cast("double"), ["p_brand"])
+
+
+@query("SELECT sum(s_acctbal_2 * (s_suppkey % 7 + 1)) AS total, max((s_acctbal_2 - 100) / 100 * 100) AS best FROM (SELECT s_suppkey, floor(s_acctbal) AS s_acctbal_2 FROM supplier)")
+def portfolio_cells(spark, sf_dir):
+    """Prices that change one after the other, as cells."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.floor("s_acctbal").cast("double").alias("p")).collect()  # a price for each stock: the cells are on the driver
+    rt = Runtime(spark)
+    held = demos.Portfolio(rt, [(str(r["s_suppkey"]), 50.0, 100.0, r["s_suppkey"] % 7 + 1, "odd" if r["s_suppkey"] % 2 else "even") for r in rows])
+    rt.get(held.total)
+    for r in rows:
+        rt.set(held.prices[str(r["s_suppkey"])], r["p"])
+    if rt.get(held.total) != sum(rt.get(c) for c in held.sectors.values()):
+        raise AssertionError("the sectors are not the total")
+    return spark.createDataFrame([(rt.get(held.total), rt.get(held.best))], "total double, best double")
+
+
+@query("SELECT count(*) AS changes, count(*) / 1.5 AS rate FROM events")
+def throughput(spark, sf_dir):
+    """The gauge of a stream's epochs, half a second each."""
+    rt = Runtime(spark)
+    gauge = Gauge(rt)
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for r in events(spark, sf_dir).groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect():
+        gauge.add(r["n"], 0.5)
+    return spark.createDataFrame([(rt.get(gauge.changes), rt.get(gauge.rate))], "changes long, rate double")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'moved' ELSE c_name END AS c_name, CASE WHEN c_custkey % 4 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS c_nationkey
+FROM customer WHERE c_custkey % 5 <> 0""")
+def keyed_table(spark, sf_dir):
+    """Loaded, upserted, deleted from, with a batch that comes twice, and compacted."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    held = KeyedTable(spark, shared_dir(spark), "c_custkey long, c_name string, c_nationkey int", ["c_custkey"])
+    moved = rows.where("c_custkey % 4 = 0").select("c_custkey", F.lit("moved").alias("c_name"), F.col("c_nationkey") + 100)
+    held.upsert(rows.where("c_custkey % 3 > 0"), epoch=0)
+    held.upsert(rows.where("c_custkey % 3 = 0"), epoch=1)
+    held.upsert(moved.toDF("c_custkey", "c_name", "c_nationkey"), epoch=2)
+    held.compact()
+    held.upsert(rows.where("c_custkey % 4 = 0"), epoch=2)  # again: nothing happens
+    held.delete(rows.where("c_custkey % 5 = 0"), epoch=3)
+    return held.rows()
+
+
+@query("""SELECT user_id, count(*) AS n FROM events GROUP BY user_id""")
+def stream_of_ops(spark, sf_dir):
+    """Files of ops as a stream, in epochs, with deletes of what came before, and a restart from the log in between."""
+    base, rows = shared_dir(spark), events(spark, sf_dir).select("event_id", "user_id")
+    inserts = rows.select(F.lit("insert").alias("op"), F.col("event_id").alias("id"), "user_id", F.lit(1).cast("long").alias("seq"))
+    schema, out = inserts.schema, None
+    for step in range(2):
+        some = inserts.where(F.col("id") % 2 == step) if step else inserts.where("id % 2 = 0").unionByName(inserts.where("id % 10 = 1"))
+        some.write.mode("append").parquet(f"{base}/ops")
+        if step:
+            inserts.where("id % 10 = 1").withColumns({"op": F.lit("delete"), "seq": F.lit(0).cast("long")}).write.mode("append").parquet(f"{base}/ops")
+        runner = EpochRunner(spark, StructType([f for f in schema.fields if f.name in ("id", "user_id")]), f"{base}/log", lambda rt, s: {"source": s}, lambda e, t: t["source"].state(), key=["id"])
+        runner.start(read_op_stream(spark, f"{base}/ops", schema), f"{base}/checkpoint").awaitTermination()
+        out = runner.source.rows()
+    return out.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('source', 3), ('filter', 2), ('map', 3), ('groups', 3), ('sorted', 3), ('pairs', 2)) t(name, version)")
+def versions(spark, sf_dir):
+    """Version cells after three changes, of which the filter and the neighbours see two, and one that changes nothing."""
+    rt = Runtime(spark)
+    s = Source(rt, "v long")
+    nodes = {"source": s, "filter": s.filter("v > 1"), "map": s.map("v"), "groups": s.group_by("v % 2"), "sorted": s.sort_by_key("v"), "pairs": s.sort_by_key("v").pairwise()}
+    for v in (1, 2, 2, 3):
+        s.insert(v)
+        for node in nodes.values():
+            rt.get(node.version_node)
+    return spark.createDataFrame([(k, rt.get(n.version_node)) for k, n in nodes.items()], "name string, version int")
+
+
+@query("""SELECT * FROM (VALUES ('A1', '2.0'), ('B1', 'nan'), ('C1', '0.0'), ('D1', '8.0'), ('E1', 'nan'), ('F1', 'nan'), ('G1', 'inf'), ('H1', 'nan'), ('I1', 'inf'), ('J1', '-inf')) t(cell, value)""")
+def sheet_cells(spark, sf_dir):
+    """Numbers, text, empty cells, formulas, unknown functions, syntax errors, cycles and ranges of NaN."""
+    sheet = formula.Sheet(Runtime(spark), rows=2)
+    for cell, text in (("A1", "2"), ("B1", "text"), ("D1", "=A1*(3+1)"), ("E1", "=FROB(A1)"), ("F1", "=1+"), ("G1", "=A1/C1"), ("H1", "=H1+1"), ("I1", "=MIN(B1:B1)"), ("J1", "=MAX(B1, E1)")):
+        sheet.set(cell, text)
+    return spark.createDataFrame([(c, str(float(sheet.value(c)))) for c in ("A1", "B1", "C1", "D1", "E1", "F1", "G1", "H1", "I1", "J1")], "cell string, value string")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END AS low,
+CASE WHEN p_size % 3 = 0 THEN CAST('-Infinity' AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END AS high FROM part""")
+def formula_over_nan(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").withColumn("x", F.when(F.col("p_size") % 3 > 0, F.col("p_size").cast("double")).otherwise(F.lit(float("nan"))))
+    return parts.select("p_partkey", formula.compile_formula("=MIN(A1, Z9)", {"A1": "x"}).alias("low"), formula.compile_formula("=MAX(A1:A1, FROB(1))", {"A1": "x"}).alias("high"))
+
+
+@query("""SELECT * FROM (VALUES ('diamond', '112 114'), ('equal value', 'False 1'), ('cutoff', '100 100 2'), ('dynamic', '1 2 2'), ('cycle', 'CycleError'), ('failure', 'kept 70'), ('label', 'price'),
+('other runtime', 'ValueError'), ('query set', 'TypeError'), ('removed', 'ValueError')) t(scenario, result)""")
+def graph_behaviour(spark, sf_dir):
+    """What the graph of cells does, scenario by scenario."""
+    out = []
+
+    def fails(f) -> str:
+        try:
+            f()
+        except Exception as e:
+            return type(e).__name__
+        return "nothing"
+
+    rt = Runtime(spark)
+    a = rt.create_input(1)
+    b, c = rt.create_query(lambda r: r.get(a) + 1), rt.create_query(lambda r: r.get(a) + 109)
+    d = rt.create_query(lambda r: r.get(b) + r.get(c))
+    first = rt.get(d)
+    rt.set(a, 2)
+    out.append(("diamond", f"{first} {rt.get(d)}"))
+    before = rt.revision
+    out.append(("equal value", f"{rt.set(a, 2)} {rt.revision - before + 1}"))
+    runs: list[int] = []
+    low = rt.create_query(lambda r: min(r.get(a), 100))
+    label = rt.create_query(lambda r: runs.append(1) or r.get(low))
+    rt.set(a, 50)
+    rt.get(label)
+    got = []
+    for v in (200, 300):
+        rt.set(a, v)
+        got.append(rt.get(label))
+    out.append(("cutoff", f"{got[0]} {got[1]} {len(runs)}"))
+    flag, x, y, seen = rt.create_input(True), rt.create_input(1), rt.create_input(2), []
+    pick = rt.create_query(lambda r: seen.append(1) or (r.get(x) if r.get(flag) else r.get(y)))
+    one = rt.get(pick)
+    rt.set(flag, False)
+    two = rt.get(pick)
+    rt.set(x, 99)  # read no more
+    rt.get(pick)
+    out.append(("dynamic", f"{one} {two} {len(seen)}"))
+    cells: list = []
+    cells.append(rt.create_query(lambda r: r.get(cells[1])))
+    cells.append(rt.create_query(lambda r: r.get(cells[0])))
+    out.append(("cycle", fails(lambda: rt.get(cells[0]))))
+    zero = rt.create_input(0)
+    ten = rt.create_query(lambda r: 10 * r.get(zero) if r.get(zero) else [][0])
+    kept = fails(lambda: rt.get(ten)) == fails(lambda: rt.get(ten)) == "QueryFailed"
+    rt.set(zero, 7)
+    out.append(("failure", f"{'kept' if kept else 'lost'} {rt.get(ten)}"))
+    rt.set_label(x, "price")
+    out.append(("label", rt.graph_snapshot()[x.id]["label"]))
+    out.append(("other runtime", fails(lambda: Runtime(spark).get(a))))
+    out.append(("query set", fails(lambda: rt.set(d, 1))))
+    rt.remove(pick)
+    again = rt.create_input(5)
+    out.append(("removed", fails(lambda: rt.get(pick)) if again.id == pick.id else "another place"))
+    return spark.createDataFrame(out, "scenario string, result string")
+
+
+@query("""SELECT 3 AS target, 4 AS total_nodes, 3 AS nodes_recomputed, 1 AS nodes_cutoff, '1:recomputed_changed 2:recomputed_cutoff 3:recomputed_changed' AS steps""")
 def graph_trace(spark, sf_dir):
     """The trace of a diamond of cells over a count."""
     rt = Runtime(spark)
-    low = rt.create_input(50, "low")
+    low = rt.create_input(0, "low")
     n = rt.create_query(lambda r: events(spark, sf_dir).where(F.col("value") >= r.get(low)).count(), "n")
     many = rt.create_query(lambda r: r.get(n) > 0, "many")
     text = rt.create_query(lambda r: f"{r.get(many)} from {r.get(low)}", "text")
     rt.get(text)
     rt.set(low, 60)
-    return rt.trace_frame(rt.get_traced(text)[1])
+    steps = F.transform("node_traces", lambda t: F.concat_ws(":", t["id"], t["action"]))
+    return rt.trace_frame(rt.get_traced(text)[1]).select("target", "total_nodes", "nodes_recomputed", "nodes_cutoff", F.array_join(steps, " ").alias("steps"))
 
 
-@query(None)
+@query("SELECT * FROM (VALUES (0, 'input', 'a', '', '1,2'), (1, 'compute', 'b', '0', '2'), (2, 'compute', 'c', '0,1', '')) t(id, kind, label, dependencies, dependents)")
 def graph_snapshot(spark, sf_dir):
     rt = Runtime(spark)
     a = rt.create_input(1, "a")
     b = rt.create_query(lambda r: r.get(a) + 1, "b")
     rt.get(rt.create_query(lambda r: r.get(a) + r.get(b), "c"))
-    return rt.graph_frame()
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return rt.graph_frame().select("id", "kind", "label", text("dependencies"), text("dependents"))

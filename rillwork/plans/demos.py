@@ -89,6 +89,26 @@ def daily_premiums(segments: DataFrame, by: list[str]) -> DataFrame:
     return segments.groupBy(*by).agg(scalar.capped_sum(F.col("premium")).alias("premium"))
 
 
+def best_performer(positions: DataFrame, price: Column, initial: Column, by: list[str] | None = None) -> DataFrame:
+    """The greatest change since the start in percent, -Infinity over nothing."""
+    change = (price - initial) / initial * 100
+    return positions.groupBy(*by or []).agg(F.coalesce(F.max(change), F.lit(float("-inf"))).alias("best"))
+
+
+class Portfolio:
+    """Prices as cells; positions, their totals and the best performer as queries that run again only if a price they read has changed."""
+
+    def __init__(self, runtime: Runtime, stocks: list[tuple[str, float, float, float, str]]):
+        """``stocks``: symbol, price, initial price, shares, sector."""
+        self.runtime = runtime
+        self.prices = {s: runtime.create_input(p, f"{s} price") for s, p, *_ in stocks}
+        self.positions = {s: runtime.create_query(lambda rt, s=s, n=n: rt.get(self.prices[s]) * n, f"{s} position") for s, _, _, n, _ in stocks}
+        total = lambda names: lambda rt: sum(rt.get(self.positions[s]) for s in names)
+        self.total = runtime.create_query(total([s for s, *_ in stocks]), "total")
+        self.sectors = {k: runtime.create_query(total([s for s, *_, x in stocks if x == k]), k) for k in dict.fromkeys(x for *_, x in stocks)}
+        self.best = runtime.create_query(lambda rt: max(((rt.get(self.prices[s]) - i) / i * 100 for s, _, i, *_ in stocks), default=float("-inf")), "best performer")
+
+
 def portfolio(positions: DataFrame, value: Column, small: Column) -> DataFrame:
     """The total value, and that of the positions that ``small`` picks, added as decimals."""
     exact = value.cast("decimal(18,2)")

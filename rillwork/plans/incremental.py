@@ -3,8 +3,11 @@
 A source gathers inserts and deletes until something is read, then hands over what they change as one
 consolidated delta. Every operator has a version cell; reading it takes in the deltas its inputs
 have logged since, and an empty result leaves the version as it was, so what depends on it is not
-computed. States and deltas are weighted sets, held by the driver while small and else written to the shared folder: one Spark plan for each operator and epoch,
-whose cost follows the delta where the rule allows.
+computed.
+
+A delta of few rows is worked out on the driver, against the rows of a state that its keys find; a large one by one Spark plan. Either way all is computed
+and kept first; only then do read offsets, states and logs move, together, by plain assignments. So a job that fails leaves everything as it was, and the
+next read tries again.
 """
 
 from __future__ import annotations
@@ -15,75 +18,99 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType, TimestampNTZType
+from pyspark.sql.types import ByteType, DataType, IntegerType, LongType, ShortType, StructType
 
 from ..operators import ordered, relational
-from ..operators.zset import W, add, consolidate, diff, elements, expand, negate, payload, same, to_set, touched, weigh
-from ..sources.storage import HELD_ROWS, keep
+from ..operators.zset import W, consolidate, elements, expand, weigh
+from ..sources.storage import materialize
+from . import deltas
+from .deltas import Delta, Store, hold, key_maker, literal, local, merged, summed
+from .exact import Sum, of_delta
 from .graph import Cell, Runtime
 
-#: Deltas that a table holds before they are put together; rows up to which windows are made again as a whole.
-COMPACT_AFTER, SMALL_ROWS = 6, 20_000
+#: Rows of a state up to which its windows are made again as a whole: finding the stretch would cost more jobs than it saves.
+SMALL_ROWS = 20_000
+#: Keys that ``Grouped.keys`` gives as a list at most.
+MOST_KEYS = 1_000_000
 
+Move = Callable[[], None]
 
-class Table:
-    """A weighted set as a base and later deltas."""
 
-    def __init__(self, empty: DataFrame):
-        self.parts = [empty]
-        self.rows = 0  # at most so many, or more than HELD_ROWS
+def as_col(c: Column | str) -> Column:
+    return F.expr(c) if isinstance(c, str) else c
 
-    def append(self, delta: DataFrame, rows: int = HELD_ROWS + 1) -> None:
-        self.parts.append(delta)
-        self.rows += rows
-        if len(self.parts) > COMPACT_AFTER:
-            self.parts = [keep(add(*self.parts))[0]]
 
-    def state(self) -> DataFrame:
-        return add(*self.parts) if len(self.parts) > 1 else self.parts[0]
+class Reader:
+    """How far a reader of a log has come; None: it begins with all that is there."""
+
+    def __init__(self) -> None:
+        self.at: int | None = None
 
 
 class Collection:
     """A collection in a runtime. ``is_set`` tells whether equal rows count once."""
 
-    def __init__(self, runtime: Runtime, schema: StructType, is_set: bool, inputs: Sequence[Collection] = (), label: str | None = None):
+    def __init__(self, runtime: Runtime, schema: StructType, is_set: bool, inputs: Sequence[Collection] = (), label: str | None = None, key: Sequence[str] | None = None):
         self.runtime, self.is_set, self.inputs = runtime, is_set, list(inputs)
-        spark = runtime.spark
         self.schema = StructType([f for f in schema.fields if f.name != W])
-        self.empty = weigh(spark.createDataFrame([], self.schema))
-        self.table = Table(self.empty)
-        self.log: list[DataFrame] = []
+        self.empty = local(runtime.spark, [], deltas.weighted(self.schema))
+        self.store = Store(runtime.spark, self.schema, key or self.schema.names)
+        #: Deltas from number ``first`` on; those that all readers have taken in are dropped.
+        self.log: list[Delta] = []
+        self.first = 0
+        self.readers: list[Reader] = []
         self.version = 0
-        self._read = [0] * len(self.inputs)
+        self._own = [c.reader() for c in self.inputs]
         self.version_node: Cell = (runtime.create_query(self._advance, label or type(self).__name__) if inputs
                                    else runtime.create_input(0, label or type(self).__name__))
 
     # -- advancing
 
-    def _pending(self, k: int) -> list[DataFrame]:
-        upstream = self.inputs[k]
-        found = upstream.log[self._read[k]:]
-        self._read[k] = len(upstream.log)
-        return found
+    def reader(self) -> Reader:
+        self.readers.append(Reader())
+        return self.readers[-1]
+
+    def unread(self, reader: Reader) -> tuple[Delta | None, int]:
+        """What a reader has not taken in, as one delta, and how far that goes. Nothing moves."""
+        end = self.first + len(self.log)
+        if reader.at is None:
+            return self.store.snapshot(), end
+        return merged(self.log[reader.at - self.first:]), end
+
+    def forget(self) -> None:
+        """Drop what all readers have taken in."""
+        end = self.first + len(self.log)
+        done = min((end if r.at is None else r.at for r in self.readers), default=end)
+        del self.log[:done - self.first]
+        self.first = done
 
     def _advance(self, rt: Runtime) -> int:
         for c in self.inputs:
             rt.get(c.version_node)
-        new = [self._pending(k) for k in range(len(self.inputs))]
-        if any(new):
-            self._accept(self._change(*[add(*d) if len(d) > 1 else d[0] if d else None for d in new]))
+        new = [c.unread(r) for c, r in zip(self.inputs, self._own, strict=True)]
+        out, store, move = None, self.store, None
+        if any(d is not None for d, _ in new):
+            out, move = self._change(*[d for d, _ in new])
+            store = self.store.added(out)
+        # all is computed and kept: from here on nothing can fail
+        for r, (_, end) in zip(self._own, new, strict=True):
+            r.at = end
+        if move:
+            move()
+        self._take(out, store)
+        for c in self.inputs:
+            c.forget()
         return self.version
 
-    def _change(self, *deltas: DataFrame | None) -> DataFrame:
+    def _change(self, *new: Delta | None) -> tuple[Delta | None, Move | None]:
+        """The delta that follows from those of the inputs, and what to do once it is taken."""
         raise NotImplementedError
 
-    def _accept(self, delta: DataFrame) -> bool:
-        """Log a delta if it is not empty."""
-        kept, n = keep(delta.select(*self.schema.names, W))
-        if not n:
+    def _take(self, delta: Delta | None, store: Store) -> bool:
+        self.store = store
+        if delta is None or not delta.n:
             return False
-        self.table.append(kept, n)
-        self.log.append(kept)
+        self.log.append(delta)
         self.version += 1
         return True
 
@@ -92,7 +119,7 @@ class Collection:
     def state(self) -> DataFrame:
         """The weighted set now."""
         self.runtime.get(self.version_node)
-        return self.table.state()
+        return self.store.frame()
 
     def rows(self) -> DataFrame:
         """All rows, a bag's as often as they are there."""
@@ -100,7 +127,7 @@ class Collection:
 
     def elements(self) -> DataFrame:
         """The different rows."""
-        return elements(self.state())
+        return self.state().drop(W) if self.is_set else elements(self.state())
 
     # -- operators
 
@@ -122,66 +149,65 @@ class Collection:
         return Sorted(self, keys)
 
     def count(self, label: str | None = None) -> Cell:
-        return self._running({"n": F.lit(1)}, lambda s: s["n"], label or "count")
+        return self._running(F.lit(1), lambda s, _: s.units, label or "count")
 
     def sum(self, c: Column | str, label: str | None = None) -> Cell:
-        """0 over nothing; nulls count as nothing."""
-        return self._running({"s": c}, lambda s: s["s"], label or "sum")
+        """0 over nothing; nulls count as nothing. Exact, whatever comes and goes: doubles are rounded once, in the result."""
+        return self._running(as_col(c), lambda s, kind: s.total(kind), label or "sum")
 
     def avg(self, c: Column | str, label: str | None = None) -> Cell:
-        """None over nothing."""
-        c = F.expr(c) if isinstance(c, str) else c
-        return self._running({"s": c, "n": c.isNotNull().cast("long")}, lambda s: s["s"] / s["n"] if s["n"] else None, label or "avg")
+        """None over nothing; exact as ``sum`` is."""
+        return self._running(as_col(c), lambda s, kind: s.mean(kind), label or "avg")
 
-    def _running(self, parts: dict[str, Column | str], result: Callable[[dict], Any], label: str) -> Cell:
-        """A linear aggregate: the sum so far plus each new delta's weighted values."""
-        held: dict[str, Any] = dict.fromkeys(parts, 0)
-        read = [0]
+    def _cell(self, start: Any, step: Callable[[Any, Delta], Any], result: Callable[[Any], Any], label: str) -> Cell:
+        """A value that each delta takes further."""
+        reader, held = self.reader(), [start]
 
         def compute(rt: Runtime) -> Any:
             rt.get(self.version_node)
-            new, read[0] = self.log[read[0]:], len(self.log)
-            if new:
-                columns = [F.coalesce(F.sum(F.col(W) * (F.expr(c) if isinstance(c, str) else c)), F.lit(0)).alias(k) for k, c in parts.items()]
-                row = fold(DataFrame.unionByName, new).agg(*columns).first()
-                for k in parts:
-                    held[k] += row[k]
-            return result(held)
+            new, end = self.unread(reader)
+            value = held[0] if new is None else step(held[0], new)
+            held[0], reader.at = value, end
+            self.forget()
+            return result(value)
 
         return self.runtime.create_query(compute, label)
 
+    def _running(self, c: Column, result: Callable[[Sum, DataType], Any], label: str) -> Cell:
+        kind = self.empty.select(c.alias("v")).schema[0].dataType
+        return self._cell(Sum(), lambda so_far, d: so_far + of_delta(d, c, kind), lambda s: result(s, kind), label)
+
     def max(self, c: Column | str, label: str | None = None) -> Cell:
-        return self._extreme(c, F.max, lambda a, b: a > b, label or "max")
+        return self._extreme(c, F.max, 1, label or "max")
 
     def min(self, c: Column | str, label: str | None = None) -> Cell:
-        return self._extreme(c, F.min, lambda a, b: a < b, label or "min")
-
-    def _extreme(self, c: Column | str, pick: Callable[[Column], Column], beyond: Callable[[Any, Any], bool], label: str) -> Cell:
-        """None over nothing. Inserts need the delta only; a delete of the extreme value reads the state again."""
-        c = F.expr(c) if isinstance(c, str) else c
-        held: list[Any] = [None]
-        read = [0]
-
-        def compute(rt: Runtime) -> Any:
-            rt.get(self.version_node)
-            new, read[0] = self.log[read[0]:], len(self.log)
-            if new:
-                d = add(*new)
-                row = d.agg(pick(F.when(F.col(W) > 0, c)).alias("added"), pick(F.when(F.col(W) < 0, c)).alias("gone")).first()
-                gone, added, best = row["gone"], row["added"], held[0]
-                if gone is not None and not (best is not None and beyond(best, gone)):
-                    held[0] = self.table.state().agg(pick(c).alias("m")).first()["m"]
-                elif added is not None and (best is None or beyond(added, best)):
-                    held[0] = added
-            return held[0]
-
-        return self.runtime.create_query(compute, label)
+        return self._extreme(c, F.min, -1, label or "min")
+
+    def _extreme(self, c: Column | str, pick: Callable[[Column], Column], sign: int, label: str) -> Cell:
+        """None over nothing. Inserts need the delta only; a delete of the extreme value reads the state again. NaN is above all numbers, as in Spark's order."""
+        c = as_col(c)
+        place = lambda v: (v != v, v if v == v else 0)
+        beyond = lambda a, b: (place(a) > place(b)) if sign > 0 else (place(a) < place(b))
+
+        def step(best: Any, d: Delta) -> Any:
+            row = d.frame().agg(pick(F.when(F.col(W) > 0, c)).alias("added"), pick(F.when(F.col(W) < 0, c)).alias("gone")).first() if d.rows is None else None
+            if row is None:
+                values = [v for v in d.values(c) if v[0] is not None]
+                far = lambda vs: (max(vs, key=place) if sign > 0 else min(vs, key=place)) if vs else None
+                added, gone = far([v for v, w in values if w > 0]), far([v for v, w in values if w < 0])
+            else:
+                added, gone = row["added"], row["gone"]
+            if gone is not None and (best is None or not beyond(best, gone)):
+                return self.store.frame().agg(pick(c).alias("m")).first()["m"]
+            return added if added is not None and (best is None or beyond(added, best)) else best
+
+        return self._cell(None, step, lambda v: v, label)
 
     def reduce(self, *aggregates: Column, label: str | None = None) -> Cell:
         """Any Spark aggregates over all rows, computed again when the collection has changed: a scalar, or a Row of several."""
         def compute(rt: Runtime) -> Any:
             rt.get(self.version_node)
-            row = expand(self.table.state()).agg(*aggregates).first()
+            row = expand(self.store.frame()).agg(*aggregates).first()
             return row[0] if len(aggregates) == 1 else row
 
         return self.runtime.create_query(compute, label or "reduce")
@@ -190,7 +216,7 @@ class Collection:
         """A Python function of all rows as dicts, in no order; for what no aggregate expresses, on collections that fit the driver."""
         def compute(rt: Runtime) -> Any:
             rt.get(self.version_node)
-            return f([r.asDict() for r in expand(self.table.state()).toLocalIterator()])
+            return f([r.asDict() for r in expand(self.store.frame()).toLocalIterator()])
 
         return self.runtime.create_query(compute, label or "fold")
 
@@ -201,11 +227,9 @@ class Source(Collection):
     def __init__(self, runtime: Runtime, schema: StructType | str, key: Sequence[str] | None = None, label: str | None = None):
         if isinstance(schema, str):
             schema = runtime.spark.createDataFrame([], schema).schema
-        super().__init__(runtime, schema, True, label=label)
+        super().__init__(runtime, schema, True, label=label, key=key)
         self.key = list(key) if key else self.schema.names
-        self._ops: list[tuple] = []
-        self._frames: list[DataFrame] = []
-        self._seq = 0
+        self._ops: list[tuple] = []  # rows, whether each is an insert
         runtime.before_read.append(self._hand_over)
 
     def _op(self, row: Any, present: bool) -> None:
@@ -213,8 +237,8 @@ class Source(Collection):
             values = tuple(row[n] for n in self.schema.names) if isinstance(row, dict) else tuple(row) if isinstance(row, tuple | list) else (row,)
             if len(values) != len(self.schema.names):
                 raise ValueError("a row has a value for each column")
-            self._seq += 1
-            self._ops.append((*values, present, self._seq))
+            self._ops.append((values, present))
+            self.runtime.waiting = True
 
     def insert(self, row: Any) -> None:
         self._op(row, True)
@@ -222,113 +246,272 @@ class Source(Collection):
     def delete(self, row: Any) -> None:
         self._op(row, False)
 
+    def discard_pending(self) -> int:
+        """Forget the rows inserted and deleted since the last read; how many they were."""
+        with self.runtime._lock:
+            n, self._ops = len(self._ops), []
+            return n
+
     def apply(self, ops: DataFrame, present: Column | str, seq: Column | str) -> None:
-        """A log of ops, later than all before: rows of the schema, whether each is an insert, and their order."""
+        """A log of ops, later than all before: rows of the schema, whether each is an insert, and their order.
+
+        If it fails, nothing of it is taken in."""
         with self.runtime._lock:
             self._hand_over()
-            as_col = lambda c: F.expr(c) if isinstance(c, str) else c
-            self._frames.append(ops.select(*self.schema.names, as_col(present).cast("boolean").alias("__p"), as_col(seq).alias("__seq")))
-            self._hand_over()
+            self._accept(*self._effective(self._log(ops, present, seq)))
 
     def load(self, rows: DataFrame) -> None:
-        self.apply(rows, F.lit(True), F.lit(0))
+        """Insert all rows."""
+        with self.runtime._lock:
+            self._hand_over()
+            self._accept(*self._effective(self._log(rows, F.lit(True), F.lit(0)), only=True))
+
+    def remove(self, rows: DataFrame) -> None:
+        """Delete all rows, of which only the key counts."""
+        with self.runtime._lock:
+            self._hand_over()
+            self._accept(*self._effective(self._log(rows, F.lit(False), F.lit(0)), only=False))
+
+    def _log(self, ops: DataFrame, present: Column | str, seq: Column | str) -> DataFrame:
+        return ops.select(*self.schema.names, as_col(present).cast("boolean").alias("__p"), as_col(seq).alias("__seq"))
+
+    def prepare(self, ops: DataFrame, present: Column | str, seq: Column | str) -> tuple[Delta, Move]:
+        """What rows changed by hand and then a log of ops change, together, and how to take it in. Until then nothing has happened."""
+        with self.runtime._lock:
+            first, store = self._by_row(self._ops)
+            taken = len(self._ops)
+            second, store = self._effective(self._log(ops, present, seq), store=store)
+            both = merged([d for d in (first, second) if d is not None]) or Delta(self.runtime.spark, self.schema, [])
+
+            def move() -> None:
+                with self.runtime._lock:
+                    del self._ops[:taken]
+                    self._accept(both, store)
+
+            return both, move
+
+    def _accept(self, delta: Delta | None, store: Store) -> None:
+        if self._take(delta, store):
+            self.runtime.set(self.version_node, self.version)
+        self.forget()
 
     def _hand_over(self) -> None:
-        """The last op of each key against what is there: an insert of what is present and a delete of what is absent change nothing."""
-        if self.runtime._stack:
+        """What the rows inserted and deleted since change."""
+        if self.runtime._stack or not self._ops:
             return
-        if self._ops:
+        taken = len(self._ops)
+        delta, store = self._by_row(self._ops)
+        del self._ops[:taken]
+        self._accept(delta, store)
+
+    def _by_row(self, ops: list[tuple]) -> tuple[Delta | None, Store]:
+        if len(ops) > deltas.HELD_ROWS:
+            rows = [(*values, present, n) for n, (values, present) in enumerate(ops)]
             schema = StructType([*self.schema.fields]).add("__p", "boolean").add("__seq", "long")
-            ops, self._ops = self.runtime.spark.createDataFrame(self._ops, schema), []
-            self._frames.append(ops)
-        frames, self._frames = self._frames, []
-        for ops in frames:
-            # A first insert gives the row that is present until the next delete; so of each key the first insert after its last delete counts.
-            key, names = F.struct(*self.key).alias("__key"), self.schema.names
-            seen = ops.select(F.struct(*names).alias("__r"), key, "__p", "__seq")
-            seen = seen.withColumn("__gone", F.max(F.when(~F.col("__p"), F.col("__seq"))).over(Window.partitionBy("__key")))
-            after = F.col("__p") & (F.col("__gone").isNull() | (F.col("__seq") > F.col("__gone")))
-            last = seen.groupBy("__key").agg(F.min_by("__r", F.when(after, F.col("__seq"))).alias("__new"), F.max(after).alias("__ins"), F.max(F.col("__gone").isNotNull()).alias("__del"))
-            old = self.table.state().select(F.struct(*names).alias("__old"), F.struct(*self.key).alias("__okey"))
-            both = last.join(old, F.col("__key") == F.col("__okey"), "left")
-            out = both.where(F.col("__old").isNotNull() & F.col("__del")).select("__old.*", F.lit(-1).cast("long").alias(W))
-            into = both.where(F.col("__ins") & (F.col("__old").isNull() | F.col("__del"))).select("__new.*", F.lit(1).cast("long").alias(W))
-            if self._accept(consolidate(out.unionByName(into))):
-                self.runtime.set(self.version_node, self.version)
+            return self._effective(self.runtime.spark.createDataFrame(rows, schema))
+        return self._of_rows([(values, present, n) for n, (values, present) in enumerate(ops)], self.store) or (None, self.store)
+
+    def _of_rows(self, ops: list[tuple], store: Store) -> tuple[Delta | None, Store] | None:
+        """The last op of each key against what is there: an insert of what is present and a delete of what is absent change nothing.
+
+        A first insert gives the row that is present until the next delete; so of each key the first insert after its last delete counts. Inserts of the same
+        place in the order are told apart by their text. None if the driver cannot hold it."""
+        at = [self.schema.names.index(c) for c in self.key]
+        gone: dict[tuple, Any] = {}
+        new: dict[tuple, tuple] = {}
+        raw: dict[tuple, tuple] = {}
+        for values, present, seq in ops:
+            k = store.key_of(v := tuple(values[i] for i in at))
+            raw.setdefault(k, v)
+            if not present and (k not in gone or seq > gone[k]):
+                gone[k] = seq
+        for values, present, seq in ops:
+            k = store.key_of(tuple(values[i] for i in at))
+            if present and (k not in gone or seq > gone[k]) and (k not in new or (seq, repr(values)) < (new[k][0], repr(new[k][1]))):
+                new[k] = seq, values
+        old = store.find(raw.values())
+        if old is None:
+            return None
+        rows = []
+        for k in raw:
+            was = old.get(k, [])
+            if k in gone:
+                rows += [(*r[:-1], -1) for r in was]
+            if k in new and (k in gone or not was):
+                rows.append((*new[k][1], 1))
+        delta = Delta(self.runtime.spark, self.schema, summed(rows, self.schema))
+        return (delta if delta.n else None), store.added(delta)
+
+    def _effective(self, ops: DataFrame, only: bool | None = None, store: Store | None = None) -> tuple[Delta | None, Store]:
+        """What a log of ops changes; ``only`` tells that all are inserts, or deletes."""
+        store, names = self.store if store is None else store, self.schema.names
+        if deltas.HELD_ROWS and deltas.estimate(ops) <= deltas.HELD_BYTES:
+            found = ops.limit(deltas.HELD_ROWS + 1).collect()
+            if len(found) <= deltas.HELD_ROWS and (out := self._of_rows([(tuple(r[:-2]), bool(r["__p"]), r["__seq"]) for r in found], store)):
+                return out
+        key = lambda c: F.struct(*self.key).alias(c)
+        seen = ops.select(F.struct(*names).alias("__r"), key("__key"), "__p", "__seq")
+        if only is False:
+            out = store.touched(ops.select(*self.key)).withColumn(W, F.lit(-1).cast("long"))
+        else:
+            first = F.min(F.struct("__seq", "__r"))
+            if only:
+                last = seen.groupBy("__key").agg(first["__r"].alias("__new")).withColumns({"__ins": F.lit(True), "__del": F.lit(False)})
+            else:
+                seen = seen.withColumn("__gone", F.max(F.when(~F.col("__p"), F.col("__seq"))).over(Window.partitionBy("__key")))
+                after = F.col("__p") & (F.col("__gone").isNull() | (F.col("__seq") > F.col("__gone")))
+                last = seen.groupBy("__key").agg(F.min(F.when(after, F.struct("__seq", "__r")))["__r"].alias("__new"), F.max(after).alias("__ins"), F.max(F.col("__gone").isNotNull()).alias("__del"))
+                last = materialize(last)
+            if store.rows:
+                keys = last.select("__key.*") if not only else ops.select(*self.key)
+                old = store.touched(keys).select(F.struct(*names).alias("__old"), key("__okey"))
+                last = last.join(old, F.col("__key") == F.col("__okey"), "left")
+            else:
+                last = last.withColumn("__old", F.lit(None).cast(self.schema))
+            signs = F.array(F.when(F.col("__old").isNotNull() & F.col("__del"), F.struct(F.col("__old").alias("r"), F.lit(-1).cast("long").alias("w"))),
+                            F.when(F.col("__ins") & (F.col("__old").isNull() | F.col("__del")), F.struct(F.col("__new").alias("r"), F.lit(1).cast("long").alias("w"))))
+            out = last.select(F.explode(F.array_compact(signs)).alias("x")).select("x.r.*", F.col("x.w").alias(W))
+        delta = hold(out, self.schema, order=self.key if all(isinstance(t, deltas._ORDERED) for t in store.types) else (), single=only is not None)
+        return (delta if delta.n else None), store.added(delta)
 
 
 class Filter(Collection):
     def __init__(self, upstream: Collection, predicate: relational.Predicate, errors: str):
         super().__init__(upstream.runtime, upstream.schema, True, [upstream])
         self.predicate, self.errors = predicate, errors
-        self.weights = None if upstream.is_set else Table(self.empty)
-
-    def _change(self, d: DataFrame) -> DataFrame:
-        names = self.schema.names
-        d = d.where(relational.condition(d.select(*names), self.predicate, self.errors))
-        return d if self.weights is None else as_set(self.weights, consolidate(d))
-
-
-def as_set(weights: Table, d: DataFrame) -> DataFrame:
-    """A bag's delta as its set's, by the weights of the rows it touches; the weights take it in."""
-    d, n = keep(d)
-    if not n:
-        return d
-    old, _ = keep(touched(weights.state(), d))
-    out = diff(to_set(add(old, d)), to_set(old))
-    weights.append(d, n)
-    return out
+        self.weights = None if upstream.is_set else Store(upstream.runtime.spark, self.schema, self.schema.names)
+
+    def _change(self, d: Delta) -> tuple[Delta | None, Move | None]:
+        frame, names = d.frame(), self.schema.names
+        passed = frame.where(relational.condition(frame.select(*names), self.predicate, self.errors))
+        if d.rows is None and isinstance(self.predicate, Column | str) and passed._jdf.queryExecution().analyzed().deterministic():
+            kept = Delta(d.spark, self.schema, table=passed, n=passed.count(), order=d.order)  # no copy of what is written already
+            if kept.n <= deltas.HELD_ROWS:
+                kept = hold(passed, self.schema, few=True)
+        else:
+            kept = hold(passed, self.schema, few=d.rows is not None, single=True)
+        if self.weights is None or not kept.n:
+            return kept, None
+        return as_set(self, kept)
+
+
+def as_set(owner: Any, d: Delta) -> tuple[Delta, Move]:
+    """A bag's delta as its set's, by the weights (``owner.weights``) of the rows it touches; how the weights take it in."""
+    weights: Store = owner.weights
+    out = None
+    if d.rows is not None:
+        old = weights.find(r[:-1] for r in d.rows)
+        if old is not None:
+            rows = []
+            for r, k in zip(d.rows, weights.keys_of(d), strict=True):
+                was = sum(o[-1] for o in old.get(k, []))
+                if change := (was + r[-1] > 0) - (was > 0):
+                    rows.append((*r[:-1], change))
+            out = Delta(d.spark, d.schema, rows)
+    if out is None:
+        was = weights.touched(d.frame().select(*d.schema.names)).withColumn("__o", F.col(W)) if weights.rows else None
+        both = d.frame().select(*d.schema.names, W, F.lit(0).cast("long").alias("__o"))
+        both = both if was is None else both.unionByName(was)
+        sums = both.groupBy(*d.schema.names).agg(F.sum(W).alias("__n"), F.sum("__o").alias("__o"))
+        change = (F.col("__n") > 0).cast("long") - (F.col("__o") > 0).cast("long")
+        out = hold(sums.select(*d.schema.names, change.alias(W)).where(F.col(W) != 0), d.schema, single=True)
+    grown = weights.added(d)
+
+    def move() -> None:
+        owner.weights = grown
+
+    return out, move
 
 
 class Map(Collection):
     def __init__(self, upstream: Collection, columns: Sequence[Column | str], deterministic: bool):
         super().__init__(upstream.runtime, upstream.empty.select(*columns).schema, False, [upstream])
         self.columns = list(columns)
-        self.images = None if deterministic else weigh(upstream.empty.drop(W).withColumn("__image", F.struct(*columns)))
+        names = upstream.schema.names
+        self.images = None if deterministic else Store(upstream.runtime.spark, upstream.empty.select(*names, F.struct(*columns).alias("__image")).schema, names)
 
-    def _change(self, d: DataFrame) -> DataFrame:
+    def _change(self, d: Delta) -> tuple[Delta | None, Move | None]:
         if self.images is None:
-            return consolidate(d.select(*self.columns, W))
-        names = self.inputs[0].schema.names
-        known = self.images
-        keys = known.select(*names).distinct()
-        fresh = d.where(F.col(W) > 0).select(*names).distinct()
-        fresh = fresh.join(keys, same(fresh, keys, names), "left_anti")
-        self.images, _ = keep(known.unionByName(weigh(fresh.withColumn("__image", F.struct(*self.columns)))))
-        images = self.images.drop(W)
-        met = d.join(images, same(d, images, names)).select("__image.*", d[W])
-        # images of rows that are gone are forgotten with the next compaction of the input
-        return consolidate(met)
+            return hold(d.frame().select(*self.columns, W), self.schema, few=d.rows is not None), None
+        names, images = self.inputs[0].schema.names, self.images
+        rows = d.frame().select(*names)
+        known = images.touched(rows).drop(W)
+        on = fold(lambda a, b: a & b, [F.col(f"`{n}`").eqNullSafe(F.col(f"__m{i}")) for i, n in enumerate(names)])
+        marked = lambda df, *more: df.select(*[F.col(f"`{n}`").alias(f"__m{i}") for i, n in enumerate(names)], *more)
+        fresh = d.frame().where(F.col(W) > 0).select(*names).join(marked(known), on, "left_anti")
+        # images of rows that are gone are kept: a row that comes back has the image it had
+        made = hold(weigh(fresh.distinct().withColumn("__image", F.struct(*self.columns))), images.schema, single=True)
+        grown = images.added(made)
+        all_images = known.unionByName(made.frame().drop(W))
+        met = d.frame().join(marked(all_images, "__image"), on).select("__image.*", W)
+
+        def move() -> None:
+            self.images = grown
+
+        return hold(met, self.schema), move
+
+
+_NUMBERS = (ByteType, ShortType, IntegerType, LongType)
 
 
 class Join(Collection):
-    """dL x R before + L after x dR, weights multiplied."""
+    """dL x R before + L after x dR, weights multiplied. A join is linear on both sides, so a delta meets the parts of a side as they are."""
 
     def __init__(self, left: Collection, right: Collection, left_key: Column | str, right_key: Column | str):
         schema = StructType().add("left", left.schema).add("right", right.schema)
         super().__init__(left.runtime, schema, False, [left, right])
-        as_col = lambda c: F.expr(c) if isinstance(c, str) else c
-        self.keys = as_col(left_key), as_col(right_key)
-        self.before: list[Table] = [Table(left.empty), Table(right.empty)]
-
-    def _side(self, k: int, df: DataFrame) -> DataFrame:
-        name = ("left", "right")[k]
-        return df.select(self.keys[k].alias(f"__k{k}"), F.struct(*self.inputs[k].schema.names).alias(name), F.col(W).alias(f"__w{k}"))
-
-    def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        a, b = self._side(0, left), self._side(1, right)
-        met = a.join(b, F.col("__k0").eqNullSafe(F.col("__k1")))
+        spark = left.runtime.spark
+        self.sides = [Store(spark, c.schema, [as_col(k)]) for c, k in ((left, left_key), (right, right_key))]
+        a, b = (s.types[0] for s in self.sides)
+        self.by_driver = a == b or isinstance(a, _NUMBERS) and isinstance(b, _NUMBERS)
+
+    def _met(self, k: int, d: Delta, others: Store) -> list[tuple] | None:
+        """Pairs of a held delta of side k with what its keys find on the other side."""
+        if d.rows is None or not self.by_driver:
+            return None
+        own = d.values(*self.sides[k].key)
+        found = others.find({v[:-1] for v in own})
+        if found is None:
+            return None
+        out = []
+        for r, v in zip(d.rows, own, strict=True):
+            for o in found.get(others.key_of(v[:-1]), []):
+                pair = (r[:-1], tuple(o[:-1])) if k == 0 else (tuple(o[:-1]), r[:-1])
+                out.append((*pair, r[-1] * o[-1]))
+                if len(out) > deltas.HELD_ROWS:
+                    return None
+        return out
+
+    def _pairs(self, k: int, d: Delta, others: Store) -> DataFrame:
+        def side(i: int, df: DataFrame, key: Column) -> DataFrame:
+            return df.select(key.alias(f"__j{i}"), F.struct(*self.inputs[i].schema.names).alias(("left", "right")[i]), F.col(W).alias(f"__w{i}"))
+
+        mine, theirs = side(k, d.frame(), self.sides[k].key[0]), side(1 - k, others.raw(), F.col(others.columns[0]))
+        met = mine.join(theirs, F.col("__j0").eqNullSafe(F.col("__j1")))
         return met.select("left", "right", (F.col("__w0") * F.col("__w1")).alias(W))
 
-    def _change(self, dl: DataFrame | None, dr: DataFrame | None) -> DataFrame:
-        parts = []
-        if dl is not None:
-            parts.append(self._pairs(dl, self.before[1].state()))
-            self.before[0].append(dl)
-        if dr is not None:
-            parts.append(self._pairs(self.before[0].state(), dr))
-            self.before[1].append(dr)
-        return add(*parts)
+    def _change(self, dl: Delta | None, dr: Delta | None) -> tuple[Delta | None, Move | None]:
+        left, right = self.sides
+        now = [left.added(dl), right.added(dr)]
+        held: list[tuple] = []
+        frames: list[DataFrame] = []
+        for k, d, others in ((0, dl, right), (1, dr, now[0])):
+            if d is None:
+                continue
+            pairs = self._met(k, d, others)
+            if pairs is None:
+                frames.append(self._pairs(k, d, others))
+            else:
+                held += pairs
+
+        def move() -> None:
+            self.sides = now
+
+        if not frames:
+            return Delta(self.runtime.spark, self.schema, summed(held, self.schema)), move
+        if held:
+            frames.append(local(self.runtime.spark, held, deltas.weighted(self.schema)))
+        return hold(fold(DataFrame.unionByName, frames), self.schema), move
 
 
 class Grouped(Collection):
@@ -336,18 +519,38 @@ class Grouped(Collection):
 
     def __init__(self, upstream: Collection, key: Column | str):
         super().__init__(upstream.runtime, upstream.schema, True, [upstream])
-        self.key = F.expr(key) if isinstance(key, str) else key
-        self.weights = None if upstream.is_set else Table(self.empty)
-        self._ever: DataFrame | None = None
+        self.key = as_col(key)
+        spark = upstream.runtime.spark
+        self.weights = None if upstream.is_set else Store(spark, self.schema, self.schema.names)
+        self.seen = Store(spark, self.empty.select(self.key.alias("k")).schema, ["k"])
+
+    def _change(self, d: Delta) -> tuple[Delta | None, Move | None]:
+        out, move = (d, None) if self.weights is None else as_set(self, d)
+        keys = out.frame().where(F.col(W) > 0).groupBy(self.key.alias("k")).agg(F.lit(1).cast("long").alias(W)) if out.rows is None else None
+        if keys is None:
+            new = Delta(out.spark, self.seen.schema, [(*v, 1) for v in {self.seen.key_of(x[:-1]): x[:-1] for x in out.values(self.key) if x[-1] > 0}.values()])
+        else:
+            new = hold(keys, self.seen.schema, single=True)
+        seen = self.seen.added(new)
+
+        def both() -> None:
+            if move:
+                move()
+            self.seen = seen
+
+        return out, both
 
-    def _change(self, d: DataFrame) -> DataFrame:
-        return d if self.weights is None else as_set(self.weights, d)
+    def key_rows(self, ever_seen: bool = False) -> DataFrame:
+        """The keys (column k) of groups with rows; or of all that ever had some."""
+        state = self.state()
+        return (self.seen.frame() if ever_seen else state.select(self.key.alias("k"))).select("k").distinct()
 
     def keys(self, ever_seen: bool = False) -> list:
-        """The keys of groups with rows; or of all that ever had some."""
-        self.runtime.get(self.version_node)
-        found = fold(DataFrame.unionByName, self.log, self.empty).where(F.col(W) > 0) if ever_seen else self.table.state()
-        return [r[0] for r in found.select(self.key.alias("k")).distinct().collect()]
+        """``key_rows`` as a list; more than MOST_KEYS raise a ValueError."""
+        found = self.key_rows(ever_seen).limit(MOST_KEYS + 1).collect()
+        if len(found) > MOST_KEYS:
+            raise ValueError(f"more than {MOST_KEYS} keys: use key_rows")
+        return [r[0] for r in found]
 
     def sizes(self) -> DataFrame:
         return self.state().groupBy(self.key.alias("k")).agg(F.count("*").alias("n"))
@@ -375,6 +578,10 @@ class Sorted:
         """All rows with their position ``idx`` from 0."""
         return ordered.entries(self.upstream.rows(), self.keys)
 
+    def feed(self) -> PositionFeed:
+        """The changes from now on by position."""
+        return PositionFeed(self)
+
     def pairwise(self) -> Collection:
         """Neighbours as structs ``left`` and ``right``."""
         return Windows(self, 2, lambda w: [F.col("w0").alias("left"), F.col("w1").alias("right")])
@@ -384,6 +591,54 @@ class Sorted:
         return Windows(self, size, lambda w: [F.array(*w).alias("window")])
 
 
+class PositionFeed:
+    """What changes in a sorted collection, as steps for a list: (version, step, op, idx, the row's columns).
+
+    Done in order of ``step``, they make the list of the version before into that of this one: ``removed`` from the end on, each at its position then, and
+    ``inserted`` from the start on. The first poll inserts all rows that are there. A poll makes two passes over the rows, one for each order, by ranges."""
+
+    def __init__(self, order: Sorted):
+        if order.by is not None:
+            raise ValueError("positions are those of a whole collection")
+        self.order, self.reader = order, order.upstream.reader()
+        self.before = Store(order.upstream.runtime.spark, order.upstream.schema, order.upstream.schema.names)
+        self.version = 0
+
+    def poll(self) -> DataFrame:
+        """The steps since the last poll; none if nothing has changed."""
+        up = self.order.upstream
+        with up.runtime._lock:
+            up.runtime.get(up.version_node)
+            new, end = up.unread(self.reader)
+            now, version = up.store, up.version
+            steps = StructType().add("version", "long").add("step", "long").add("op", "string").add("idx", "long")
+            out = local(up.runtime.spark, [], StructType([*steps.fields, *up.schema.fields]))
+            if new is not None:
+                out = materialize(self._steps(new, self.before, now, version).select(*out.columns))
+            self.before, self.version, self.reader.at = now, version, end
+            up.forget()
+            return out
+
+    def _steps(self, new: Delta, old: Store, now: Store, version: int) -> DataFrame:
+        names = self.order.upstream.schema.names
+
+        def places(store: Store, sign: int) -> DataFrame:
+            """The rows of a state that the delta takes away or brings, with their positions; of equal rows the last ones."""
+            numbered = ordered.entries(expand(store.frame()), self.order.keys, idx="idx")
+            touched = new.frame().where(F.col(W) * sign > 0).select(*[F.col(f"`{n}`").alias(f"__m{i}") for i, n in enumerate(names)], F.abs(F.col(W)).alias("__n"))
+            on = fold(lambda a, b: a & b, [F.col(f"`{n}`").eqNullSafe(F.col(f"__m{i}")) for i, n in enumerate(names)])
+            met = numbered.join(touched, on)
+            from_end = F.row_number().over(Window.partitionBy(*[f"__m{i}" for i in range(len(names))]).orderBy(F.col("idx").desc()))
+            return met.withColumn("__e", from_end).where(F.col("__e") <= F.col("__n")).select(*names, "idx")
+
+        gone = places(old, -1).withColumn("op", F.lit("removed")) if old.rows else None
+        came = places(now, 1).withColumn("op", F.lit("inserted"))
+        both = came if gone is None else gone.unionByName(came)
+        first = F.when(F.col("op") == "removed", -F.col("idx")).otherwise(F.col("idx"))
+        steps = ordered.entries(both.withColumn("__f", first), [ordered.desc("op"), "__f"], idx="step")
+        return steps.withColumn("version", F.lit(version).cast("long"))
+
+
 class Windows(Collection):
     """Only what can have changed is read: the rows between the first and the last changed place and size - 1 more on
     either side, or the groups that changed; the windows there before and after give the delta."""
@@ -393,70 +648,78 @@ class Windows(Collection):
             raise ValueError("a window has one row at least")
         upstream = order.upstream
         self.order, self.size, self.shape = order, size, shape
-        names = upstream.schema.names
+        names, spark = upstream.schema.names, upstream.runtime.spark
         one = upstream.empty.select(*[F.struct(*names).alias(f"w{k}") for k in range(size)])
         super().__init__(upstream.runtime, one.select(*shape(one.columns)).schema, True, [upstream])
-        self.before = Table(upstream.empty)
-        self.weights = Table(self.empty)
-
-    def _bag(self, state: DataFrame) -> DataFrame:
-        rows, by = expand(state), []
+        self.before = Store(spark, upstream.schema, names)
+        self.weights = Store(spark, self.schema, self.schema.names)
+
+    def _change(self, d: Delta) -> tuple[Delta | None, Move | None]:
+        old, now = self.before, self.inputs[0].store
+        few = old.rows + d.n <= min(SMALL_ROWS, deltas.HELD_ROWS)
+        if few:
+            sides = [old.frame(), now.frame()]
+        elif self.order.by is not None:
+            groups = d.frame().select(self.order.by.alias("__g")).distinct()
+            near = lambda store: store.raw().withColumn("__tg", self.order.by).join(groups, F.col("__tg").eqNullSafe(F.col("__g")), "left_semi")
+            sides = [consolidate(near(s).select(*self.inputs[0].schema.names, W)) for s in (old, now)]
+        else:
+            sides = self._stretch(d, old, now)
+        bag = self._windows(sides, few)
+        change = hold(bag, self.schema, few=few)
+        out, grow = (change, None) if not change.n else as_set(self, change)
+
+        def move() -> None:
+            self.before = now
+            if grow:
+                grow()
+
+        return out, move
+
+    def _windows(self, sides: list[DataFrame], few: bool) -> DataFrame:
+        """The windows of the new state with weight 1 and those of the old one with weight -1."""
+        tagged = [expand(s).withColumn("__side", F.lit(k)) for k, s in enumerate(sides)]
+        rows, by = tagged[0].unionByName(tagged[1]), ["__side"]
         if self.order.by is not None:
-            rows, by = rows.withColumn("__g", self.order.by), ["__g"]
-        found = ordered.leads(rows, self.order.keys, self.size, by=by)
-        if by:
-            found = found.select(*[F.struct(*[F.col(f"w{k}.{n}") for n in self.inputs[0].schema.names]).alias(f"w{k}") for k in range(self.size)])
-        return weigh(found.select(*self.shape([f"w{k}" for k in range(self.size)])))
+            rows, by = rows.withColumn("__g", self.order.by), [*by, "__g"]
+        found = ordered.leads(rows, self.order.keys, self.size, by=by, range_rows=None if few else ordered.RANGE_ROWS)
+        names = self.inputs[0].schema.names
+        clean = found.select("__side", *[F.struct(*[F.col(f"w{k}").getField(n).alias(n) for n in names]).alias(f"w{k}") for k in range(self.size)])
+        return clean.select(*self.shape([f"w{k}" for k in range(self.size)]), (F.col("__side") * 2 - 1).cast("long").alias(W))
 
-    def _near(self, table: DataFrame, d: DataFrame) -> DataFrame:
-        if self.order.by is not None:
-            g = d.select(self.order.by.alias("__g")).distinct()
-            return table.withColumn("__tg", self.order.by).join(g, F.col("__tg").eqNullSafe(F.col("__g")), "left_semi").drop("__tg")
-        keys = ordered.order_by(self.order.keys)
+    def _stretch(self, d: Delta, old: Store, now: Store) -> list[DataFrame]:
+        keys, names, reach = ordered.order_by(self.order.keys), self.inputs[0].schema.names, self.size - 1
         values = [k.column.alias(f"__o{i}") for i, k in enumerate(keys)]
+        drop = [f"__o{i}" for i in range(len(keys))]
         sense = lambda back: [ordered.Key(F.col(f"__o{i}"), k.descending).sort(back) for i, k in enumerate(keys)]
-        first = d.select(*values).orderBy(*sense(False)).first()
-        last = d.select(*values).orderBy(*sense(True)).first()
-        types = [f.dataType for f in d.select(*values).schema.fields]
-        reach = self.size - 1
-        placed = table.select("*", *values)
-        low, high = first, last
-        if reach:
-            # a row may be there several times, so as many rows as places are enough
-            ahead = placed.where(_before(keys, types, first)).orderBy(*sense(True)).limit(reach).collect()
-            behind = placed.where(_before(keys, types, last, after=True)).orderBy(*sense(False)).limit(reach).collect()
-            low = ahead[-1] if ahead else first
-            high = behind[-1] if behind else last
-        return placed.where(~_before(keys, types, low) & ~_before(keys, types, high, after=True)).drop(*[f"__o{i}" for i in range(len(keys))])
-
-    def _change(self, d: DataFrame) -> DataFrame:
-        d, n = keep(d)
-        old = self.before.state()
-        if self.before.rows + n <= SMALL_ROWS:  # finding the stretch would cost more jobs than it saves
-            near_old, near_new = old, add(old, d)
+        places = d.frame().select(*values)
+        types = [f.dataType for f in places.schema.fields]
+        if d.rows is not None:
+            found = places.orderBy(*sense(False)).collect()
+            first, last = found[0], found[-1]
         else:
-            edge, _ = keep(self._near(add(old, weigh(d.drop(W))), d).drop(W))  # places of both orders
-            near_old, near_new = _within(old, edge), _within(add(old, d), edge)
-        change = diff(self._bag(near_new), self._bag(near_old))
-        self.before.append(d, n)
-        return as_set(self.weights, change)
-
-
-def _within(table: DataFrame, rows: DataFrame) -> DataFrame:
-    return table.join(rows, same(table, rows, payload(table)), "left_semi")
-
-
-def literal(value: Any, kind: DataType) -> Column:
-    """A value that was read from a column of this type. Times go as text, so no zone of the driver plays a part."""
-    if value is None:
-        return F.lit(None).cast(kind)
-    if isinstance(kind, StructType):
-        return F.struct(*[literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
-    if isinstance(kind, ArrayType):
-        return F.array(*[literal(v, kind.elementType) for v in value]).cast(kind)
-    if isinstance(kind, TimestampNTZType):
-        return F.lit(value.isoformat(sep=" ")).cast(kind)
-    return F.lit(value).cast(kind)
+            first, last = places.orderBy(*sense(False)).first(), places.orderBy(*sense(True)).first()
+        key = key_maker(f.dataType for f in self.inputs[0].schema.fields)
+
+        def away(store: Store, cond: Column, back: bool) -> Any:
+            """The place ``reach`` rows away from the stretch. A row may be there several times, so as many different rows are enough."""
+            outside = store.raw().select(*names, W, *values).where(cond)
+            most = 4 * reach + 16  # of rows as they are written, in which a row that was deleted is still there
+            seen = outside.orderBy(*sense(back)).limit(most).collect()
+            held: dict[tuple, list] = {}
+            for r in seen:
+                held.setdefault(key(tuple(r[:len(names)])), [0, r])[0] += r[W]
+            groups = list(held.values()) if len(seen) < most else list(held.values())[:-1]  # the last one may go on
+            live = [r for n, r in groups if n > 0]
+            if len(live) < reach and len(seen) == most:
+                live = consolidate(outside.select(*names, W)).select("*", *values).orderBy(*sense(back)).limit(reach).collect()
+            return live[min(reach, len(live)) - 1] if live else None
+
+        # outside of the stretch the old and the new state are the same
+        low = (away(now, _before(keys, types, first), True) if reach else None) or first
+        high = (away(now, _before(keys, types, last, after=True), False) if reach else None) or last
+        inside = ~_before(keys, types, low) & ~_before(keys, types, high, after=True)
+        return [consolidate(s.raw().select(*names, W, *values).where(inside).drop(*drop)) for s in (old, now)]
 
 
 def _before(keys: Sequence[ordered.Key], types: Sequence[DataType], place: Any, after: bool = False) -> Column:
@@ -480,4 +743,4 @@ def collection(runtime: Runtime, schema: StructType | str, key: Sequence[str] |
     return Source(runtime, schema, key, label)
 
 
-__all__ = ["Collection", "Grouped", "Source", "Sorted", "Table", "collection", "negate"]
+__all__ = ["Collection", "Grouped", "PositionFeed", "Sorted", "Source", "collection"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import entries
 from ..operators.relational import effective_ops
-from ..operators.zset import W, consolidate
+from ..operators.zset import consolidate
 
 VERSION, EPOCH = "__version", "__epoch"
 
@@ -32,34 +33,47 @@ def read_ops(spark: SparkSession, path: str, form: str = "parquet", **options) -
 class DeltaLog:
     """Effective deltas under ``path``, one folder for each epoch, and a base that compaction has made of the oldest.
 
-    An epoch counts once its commit file is there; writing an epoch again replaces it, so a repeated batch does no harm.
+    What counts is the last whole commit file, of ``commits/<number>.json``: each is written under another name and then renamed, and an older one is
+    never changed. So a crash at any point leaves the commit before it. Writing an epoch again that was not committed replaces it, so a repeated batch does no
+    harm. Folders that a compaction has replaced stay until the compaction after it, for readers that still hold them.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _exists(self, path: str) -> bool:
-        fs, p = self._fs(path)
-        return fs.exists(p)
-
-    def _read_text(self, path: str) -> str:
-        return "\n".join(r["value"] for r in self.spark.read.text(path, wholetext=True).collect())
-
-    def _put_text(self, path: str, text: str) -> None:
-        fs, p = self._fs(path)
-        out = fs.create(p, True)
-        out.write(bytearray(text.encode()))
-        out.close()
+    def _commits(self) -> list[int]:
+        """The numbers of the commit files, the last one first."""
+        fs, p = self._fs(f"{self.path}/commits")
+        if not fs.exists(p):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
 
     def committed(self) -> dict:
-        """{"base": epochs below are in the base, "epochs": [...]}."""
-        at = f"{self.path}/commit.json"
-        return json.loads(self._read_text(at)) if self._exists(at) else {"base": -1, "base_path": None, "epochs": []}
+        """{"base": epochs up to it are in the base, "base_path": ..., "epochs": [...], "old": folders that may go}."""
+        for n in self._commits():
+            text = "\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/commits/{n}.json", wholetext=True).collect())
+            try:
+                return json.loads(text)
+            except ValueError:  # not written to its end
+                continue
+        return {"base": -1, "base_path": None, "epochs": [], "old": []}
+
+    def _commit(self, state: dict) -> None:
+        found = self._commits()
+        n = found[0] + 1 if found else 0
+        fs, draft = self._fs(f"{self.path}/commits/{n}.draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not fs.rename(draft, self._fs(f"{self.path}/commits/{n}.json")[1]):
+            raise OSError(f"commit {n} of {self.path} could not be made: another writer?")
+        for k in found[2:]:
+            fs.delete(self._fs(f"{self.path}/commits/{k}.json")[1], False)
 
     def append(self, epoch: int, delta: DataFrame) -> bool:
         """Store an epoch's delta; False if it was committed before."""
@@ -67,7 +81,7 @@ class DeltaLog:
         if epoch <= state["base"] or epoch in state["epochs"]:
             return False
         delta.write.mode("overwrite").parquet(f"{self.path}/epoch-{epoch}")
-        self._put_text(f"{self.path}/commit.json", json.dumps(state | {"epochs": [*state["epochs"], epoch]}))
+        self._commit(state | {"epochs": [*state["epochs"], epoch]})
         return True
 
     def last(self) -> int:
@@ -95,10 +109,11 @@ class DeltaLog:
         state = self.committed()
         if not state["epochs"]:
             return
-        last = self.last()
-        base = f"{self.path}/base-{last}"
-        self.state().where(F.col(W) != 0).write.mode("overwrite").parquet(base)
-        self._put_text(f"{self.path}/commit.json", json.dumps({"base": last, "base_path": base, "epochs": []}))
-        for e in state["epochs"]:
-            fs, p = self._fs(f"{self.path}/epoch-{e}")
+        last = max([state["base"], *state["epochs"]])
+        base = f"{self.path}/base-{last}-{uuid.uuid4().hex}"
+        self.state().write.parquet(base)
+        now_old = [f"{self.path}/epoch-{e}" for e in state["epochs"]] + ([state["base_path"]] if state["base_path"] else [])
+        self._commit({"base": last, "base_path": base, "epochs": [], "old": now_old})
+        for folder in state.get("old", []):
+            fs, p = self._fs(folder)
             fs.delete(p, True)

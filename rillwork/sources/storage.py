@@ -30,15 +30,3 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: A result of at most so many rows is held by the driver rather than written.
-HELD_ROWS = 50_000
-
-
-def keep(df: DataFrame) -> tuple[DataFrame, int]:
-    """``df`` computed once, and its rows, or HELD_ROWS + 1 for more. Small results become local relations, larger ones tables in the shared folder."""
-    held = df.limit(HELD_ROWS + 1).toArrow()
-    if held.num_rows <= HELD_ROWS:
-        return df.sparkSession.createDataFrame(held, df.schema), held.num_rows
-    return materialize(df), HELD_ROWS + 1
