@@ -28,6 +28,8 @@ from ..sources.storage import materialize
 HELD_ROWS, HELD_BYTES = 20_000, 8 << 20
 #: Held deltas, and written parts, that a store has before it puts some together; keys that are looked up by a list of values.
 RECENT, PARTS, LISTED = 16, 6, 200
+#: Written tables of more rows are sorted by the key, so that a look-up reads few pages of them; smaller ones are read whole.
+SORT_ROWS = 500_000
 
 _WHOLE = (ByteType, ShortType, IntegerType, LongType)
 _ORDERED = (*_WHOLE, BooleanType, DateType, DecimalType, StringType, TimestampType, TimestampNTZType)
@@ -88,7 +90,7 @@ class Delta:
     """A weighted set: ``n`` rows, each payload once, held (``rows``: payload, then weight) or in a table."""
 
     def __init__(self, spark: SparkSession, schema: StructType, rows: list[tuple] | None = None, table: DataFrame | None = None, n: int = 0, order: Sequence[str] = ()):
-        self.spark, self.schema, self.rows, self.table = spark, schema, rows, table
+        self.spark, self.schema, self.rows, self.table = spark, schema, rows, table  # of held rows a plan over a local relation
         self.n = n if rows is None else len(rows)
         self.order = tuple(order)  # columns that the table's files are sorted by
         self._keys: dict[int, list[tuple]] = {}
@@ -113,11 +115,12 @@ def summed(rows: Iterable[tuple], schema: StructType) -> list[tuple]:
     return [tuple(r) for r in held.values() if r[-1]]
 
 
-def hold(df: DataFrame, schema: StructType, few: bool = False, order: Sequence[str] = (), single: bool = False) -> Delta:
+def hold(df: DataFrame, schema: StructType, few: bool = False, order: Sequence[str] = (), single: bool = False, many: bool = False) -> Delta:
     """A plan of payload and weight, computed. With ``few`` it follows from held rows; so probably does one that the optimizer takes for small: it is
-    collected, up to a limit. All others are written, once, and come to the driver only if they turn out to be small. ``single`` says that no payload is there twice."""
+    collected, up to a limit. All others, and those known to be ``many``, are written, once, and come to the driver only if they turn out to be small.
+    ``single`` says that no payload is there twice."""
     spark, df = df.sparkSession, df.select(*schema.names, W)
-    if HELD_ROWS and (few or estimate(df) <= HELD_BYTES):
+    if HELD_ROWS and (few or not many and estimate(df) <= HELD_BYTES):
         found = df.limit(HELD_ROWS + 1).collect()
         if len(found) <= HELD_ROWS:
             return Delta(spark, schema, summed(found, schema))
@@ -131,6 +134,12 @@ def hold(df: DataFrame, schema: StructType, few: bool = False, order: Sequence[s
     return Delta(spark, schema, table=table, n=n, order=order)
 
 
+def row_wise(df: DataFrame, of: Delta, schema: StructType, single: bool = False) -> Delta:
+    """What a projection or filter makes of held rows: payload and weight in this order. With ``single`` each payload is there once, and the plan is kept for what follows."""
+    rows = [tuple(r) for r in df.collect()]
+    return Delta(of.spark, schema, rows, table=df) if single else Delta(of.spark, schema, summed(rows, schema))
+
+
 def merged(deltas: Sequence[Delta]) -> Delta | None:
     """The sum of several deltas."""
     deltas = [d for d in deltas if d.n]
@@ -142,14 +151,37 @@ def merged(deltas: Sequence[Delta]) -> Delta | None:
     return hold(fold(DataFrame.unionByName, [d.frame() for d in deltas]), first.schema)
 
 
+class Part:
+    """A written table of a store, with the key's columns, and a Bloom filter of its keys (8 MB at most), made when it is first asked."""
+
+    def __init__(self, table: DataFrame, n: int):
+        self.table, self.n = table, n
+        self._filter: Any = None
+
+    def may_hold(self, keys: list[tuple], columns: list[str], types: list[DataType]) -> bool:
+        """False if surely none of these keys is here."""
+        if not self.n:
+            return False
+        whole = len(types) == 1 and isinstance(types[0], _WHOLE)
+        if self._filter is None:
+            hashed = self.table.select((F.coalesce(F.col(columns[0]).cast("long"), F.lit(0)) if whole else F.xxhash64(*columns)).alias("h"))
+            self._filter = hashed._jdf.stat().bloomFilter("h", max(self.n, 1000), 0.01)
+        if whole:
+            wanted = [k[0] or 0 for k in keys]
+        else:
+            asked = local(self.table.sparkSession, keys, StructType([StructField(f"s{i}", t) for i, t in enumerate(types)]))
+            wanted = [r[0] for r in asked.select(F.xxhash64(*asked.columns)).collect()]
+        return any(self._filter.mightContainLong(v) for v in wanted)
+
+
 class Store:
     """A weighted set that grows by deltas and finds rows by key: columns, or expressions of columns.
 
-    Written parts are sorted by the key, so a look-up by values reads the pages that can hold them. Parts of like size are put together, so each row is
+    Large parts are sorted by the key, so a look-up by values reads the pages that can hold them. Parts of like size are put together, so each row is
     written again about as often as the logarithm of the number of deltas.
     """
 
-    def __init__(self, spark: SparkSession, schema: StructType, key: Sequence[str | Column], parts: tuple[tuple[DataFrame, int], ...] = (), recent: tuple[Delta, ...] = ()):
+    def __init__(self, spark: SparkSession, schema: StructType, key: Sequence[str | Column], parts: tuple[Part, ...] = (), recent: tuple[Delta, ...] = ()):
         self.spark, self.schema, self.key, self.parts, self.recent = spark, schema, list(key), parts, recent
         self.token = next(_TOKENS)
         self.plain = all(isinstance(k, str) for k in key)
@@ -161,7 +193,7 @@ class Store:
     @property
     def rows(self) -> int:
         """No fewer than there are."""
-        return sum(n for _, n in self.parts) + sum(d.n for d in self.recent)
+        return sum(p.n for p in self.parts) + sum(d.n for d in self.recent)
 
     @property
     def held(self) -> bool:
@@ -170,13 +202,16 @@ class Store:
     def _keyed(self, df: DataFrame) -> DataFrame:
         return df if self.plain else df.withColumns(dict(zip(self.columns, self.key, strict=True)))
 
-    def _part(self, df: DataFrame) -> tuple[DataFrame, int]:
+    def _part(self, df: DataFrame, n: int, written: bool = False) -> Part:
+        """A table, written anew, and sorted if it is large, unless a small one is written already."""
+        if n <= SORT_ROWS:
+            return Part(self._keyed(df), n) if written else Part(self._keyed(table := materialize(df)), table.count())
         able = [c for c, t in zip(self.columns, self.types, strict=True) if isinstance(t, _ORDERED)]
         keyed = self._keyed(df)
         if able:
             keyed = keyed.repartitionByRange(*able).sortWithinPartitions(*able)
         table = materialize(keyed, **{"parquet.block.size": str(8 << 20), "parquet.page.row.count.limit": "5000"})
-        return table, table.count()
+        return Part(table, table.count())
 
     def added(self, delta: Delta | None) -> Store:
         """This store and a delta; what has to be written is written now."""
@@ -189,16 +224,16 @@ class Store:
                 one = Delta(self.spark, self.schema, summed((r for d in recent for r in d.rows), self.schema))
                 recent = [one] if one.n else []
                 if one.n > HELD_ROWS:
-                    parts.append(self._part(one.frame()))
+                    parts.append(self._part(one.frame(), one.n))
                     recent = []
         elif self.plain and delta.order == tuple(self.columns):
-            parts.append((delta.frame(), delta.n))
+            parts.append(Part(delta.frame(), delta.n))
         else:
-            parts.append(self._part(delta.frame()))
+            parts.append(self._part(delta.frame(), delta.n, written=True))
         if len(parts) > PARTS:
-            parts.sort(key=lambda p: -p[1])
+            parts.sort(key=lambda p: -p.n)
             few = parts[PARTS // 2:]
-            parts[PARTS // 2:] = [self._part(consolidate(fold(DataFrame.unionByName, [p.select(*self.schema.names, W) for p, _ in few])))]
+            parts[PARTS // 2:] = [self._part(consolidate(fold(DataFrame.unionByName, [p.table.select(*self.schema.names, W) for p in few])), sum(p.n for p in few))]
         return self._with(tuple(parts), tuple(recent))
 
     def _with(self, parts: tuple, recent: tuple) -> Store:
@@ -208,7 +243,7 @@ class Store:
 
     def raw(self) -> DataFrame:
         """All rows, a payload in several of them where deltas have changed it, with the key's columns."""
-        frames = [p for p, _ in self.parts] + [self._keyed(d.frame()) for d in self.recent]
+        frames = [p.table for p in self.parts] + [self._keyed(d.frame()) for d in self.recent]
         return fold(DataFrame.unionByName, frames) if frames else self._keyed(local(self.spark, [], weighted(self.schema)))
 
     def all_held(self) -> list[tuple]:
@@ -245,9 +280,10 @@ class Store:
         raw = list(values)
         wanted = {self.key_of(v): v for v in raw}
         got = [(k, r) for d in self.recent for k, r in zip(self.keys_of(d), d.rows, strict=True) if k in wanted]
-        if self.parts and wanted:
-            names, keys = self.schema.names, list(wanted.values())
-            table = fold(DataFrame.unionByName, [p for p, _ in self.parts])
+        names, keys = self.schema.names, list(wanted.values())
+        parts = [p for p in self.parts if keys and (len(keys) > LISTED or p.may_hold(keys, self.columns, self.types))]
+        if parts:
+            table = fold(DataFrame.unionByName, [p.table for p in parts])
             for k, (c, kind) in enumerate(zip(self.columns, self.types, strict=True)):
                 if isinstance(kind, _ORDERED):
                     own = {v[k] for v in keys}

@@ -24,7 +24,7 @@ from ..operators import ordered, relational
 from ..operators.zset import W, consolidate, elements, expand, weigh
 from ..sources.storage import materialize
 from . import deltas
-from .deltas import Delta, Store, hold, key_maker, literal, local, merged, summed
+from .deltas import Delta, Store, hold, key_maker, literal, local, merged, row_wise, summed
 from .exact import Sum, of_delta
 from .graph import Cell, Runtime
 
@@ -149,7 +149,8 @@ class Collection:
         return Sorted(self, keys)
 
     def count(self, label: str | None = None) -> Cell:
-        return self._running(F.lit(1), lambda s, _: s.units, label or "count")
+        rows = lambda d: sum(r[-1] for r in d.rows) if d.rows is not None else d.frame().agg(F.sum(W)).first()[0]
+        return self._cell(0, lambda n, d: n + rows(d), lambda n: n, label or "count")
 
     def sum(self, c: Column | str, label: str | None = None) -> Cell:
         """0 over nothing; nulls count as nothing. Exact, whatever comes and goes: doubles are rounded once, in the result."""
@@ -345,7 +346,8 @@ class Source(Collection):
     def _effective(self, ops: DataFrame, only: bool | None = None, store: Store | None = None) -> tuple[Delta | None, Store]:
         """What a log of ops changes; ``only`` tells that all are inserts, or deletes."""
         store, names = self.store if store is None else store, self.schema.names
-        if deltas.HELD_ROWS and deltas.estimate(ops) <= deltas.HELD_BYTES:
+        size = deltas.estimate(ops)
+        if deltas.HELD_ROWS and size <= deltas.HELD_BYTES:
             found = ops.limit(deltas.HELD_ROWS + 1).collect()
             if len(found) <= deltas.HELD_ROWS and (out := self._of_rows([(tuple(r[:-2]), bool(r["__p"]), r["__seq"]) for r in found], store)):
                 return out
@@ -371,7 +373,8 @@ class Source(Collection):
             signs = F.array(F.when(F.col("__old").isNotNull() & F.col("__del"), F.struct(F.col("__old").alias("r"), F.lit(-1).cast("long").alias("w"))),
                             F.when(F.col("__ins") & (F.col("__old").isNull() | F.col("__del")), F.struct(F.col("__new").alias("r"), F.lit(1).cast("long").alias("w"))))
             out = last.select(F.explode(F.array_compact(signs)).alias("x")).select("x.r.*", F.col("x.w").alias(W))
-        delta = hold(out, self.schema, order=self.key if all(isinstance(t, deltas._ORDERED) for t in store.types) else (), single=only is not None)
+        sort = size > 4 * deltas.HELD_BYTES and all(isinstance(t, deltas._ORDERED) for t in store.types)
+        delta = hold(out, self.schema, order=self.key if sort else (), single=only is not None, many=True)
         return (delta if delta.n else None), store.added(delta)
 
 
@@ -382,9 +385,11 @@ class Filter(Collection):
         self.weights = None if upstream.is_set else Store(upstream.runtime.spark, self.schema, self.schema.names)
 
     def _change(self, d: Delta) -> tuple[Delta | None, Move | None]:
-        frame, names = d.frame(), self.schema.names
-        passed = frame.where(relational.condition(frame.select(*names), self.predicate, self.errors))
-        if d.rows is None and isinstance(self.predicate, Column | str) and passed._jdf.queryExecution().analyzed().deterministic():
+        frame, plain = d.frame(), isinstance(self.predicate, Column | str)
+        passed = frame.where(relational.condition(frame if plain else frame.select(*self.schema.names), self.predicate, self.errors))
+        if d.rows is not None and plain:
+            kept = row_wise(passed, d, self.schema, single=True)
+        elif d.rows is None and plain and passed._jdf.queryExecution().analyzed().deterministic():
             kept = Delta(d.spark, self.schema, table=passed, n=passed.count(), order=d.order)  # no copy of what is written already
             if kept.n <= deltas.HELD_ROWS:
                 kept = hold(passed, self.schema, few=True)
@@ -432,7 +437,8 @@ class Map(Collection):
 
     def _change(self, d: Delta) -> tuple[Delta | None, Move | None]:
         if self.images is None:
-            return hold(d.frame().select(*self.columns, W), self.schema, few=d.rows is not None), None
+            images = d.frame().select(*self.columns, W)
+            return (hold(images, self.schema) if d.rows is None else row_wise(images, d, self.schema)), None
         names, images = self.inputs[0].schema.names, self.images
         rows = d.frame().select(*names)
         known = images.touched(rows).drop(W)
