@@ -11,16 +11,26 @@ from pyspark.sql import functions as F
 Predicate = Column | str | Callable
 
 
+def by_series(f: Callable) -> Callable:
+    """Marks a Python function that takes many rows at once, as a pandas DataFrame: a predicate gives a boolean Series, an image a DataFrame."""
+    f.by_series = True
+    return f
+
+
 def condition(df: DataFrame, predicate: Predicate, errors: str = "raise") -> Column:
-    """A predicate as a column; null means no. A Python function of a row (a dict) runs in a pandas UDF.
+    """A predicate as a column; null means no. A Python function of a row (a dict), or of many (``by_series``), runs in a pandas UDF.
 
-    ``errors="false"`` counts a failing function as no; otherwise the failure is raised.
+    ``errors="false"`` counts a failing function of a row as no; otherwise the failure is raised.
     """
     if isinstance(predicate, str):
         predicate = F.expr(predicate)
     if isinstance(predicate, Column):
         return F.coalesce(predicate.cast("boolean"), F.lit(False))
 
+    if getattr(predicate, "by_series", False):
+        many = F.pandas_udf(lambda rows: predicate(rows).fillna(False).astype(bool), "boolean")
+        return many(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+
     @F.pandas_udf("boolean")
     def test(rows: pd.DataFrame) -> pd.Series:
         out = []
@@ -71,7 +81,9 @@ def map_bag(df: DataFrame, *columns: Column | str) -> DataFrame:
 
 
 def map_python(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """Images by a Python function of a row (a dict) that gives a tuple or one value, in Arrow batches."""
+    """Images by a Python function of a row (a dict) that gives a tuple or one value, or of many rows (``by_series``), in Arrow batches."""
+    if getattr(f, "by_series", False):
+        return df.mapInPandas(lambda frames: map(f, frames), schema)
 
     def run(frames):
         for frame in frames:

@@ -92,6 +92,14 @@ def filter_python(spark, sf_dir):
     return relational.filter_set(events(spark, sf_dir).select("event_id", "user_id"), lambda r: r["user_id"] % 7 == 3, distinct=False)
 
 
+@query("SELECT event_id, value * 2 AS twice FROM events WHERE user_id % 7 = 3 AND value > 20")
+def python_by_series(spark, sf_dir):
+    """A Python predicate and a Python image of many rows at once."""
+    rows = events(spark, sf_dir).select("event_id", "user_id", "value")
+    kept = relational.filter_set(rows, relational.by_series(lambda df: (df["user_id"] % 7 == 3) & (df["value"] > 20)), distinct=False)
+    return relational.map_python(kept, relational.by_series(lambda df: df[["event_id"]].assign(twice=df["value"] * 2)), "event_id long, twice double")
+
+
 def buckets(spark, sf_dir) -> DataFrame:
     return relational.map_bag(events(spark, sf_dir), (F.col("user_id") % 10).alias("bucket"))
 

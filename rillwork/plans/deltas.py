@@ -51,8 +51,12 @@ def canon(value: Any) -> Any:
     return value
 
 
+def _hashable(kind: DataType) -> bool:
+    return all(_hashable(f.dataType) for f in kind.fields) if isinstance(kind, StructType) else isinstance(kind, _ORDERED)
+
+
 def key_maker(types: Iterable[DataType]) -> Callable[[tuple], tuple]:
-    if all(isinstance(t, _ORDERED) for t in types):
+    if all(map(_hashable, types)):
         return tuple
     return lambda values: tuple(map(canon, values))
 
@@ -301,7 +305,7 @@ class Store:
         out: dict[tuple, list[tuple]] = {}
         for k, r in got:
             out.setdefault(k, []).append(r)
-        return {k: s for k, rows in out.items() if (s := summed(rows, self.schema))}
+        return {k: s for k, rows in out.items() if (s := rows if len(rows) == 1 and rows[0][-1] else summed(rows, self.schema))}
 
     def touched(self, keys: DataFrame) -> DataFrame:
         """The rows whose key is in ``keys`` (columns as ``columns``); only these are shuffled to be put together."""
