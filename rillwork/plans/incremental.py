@@ -306,11 +306,13 @@ class Source(Collection):
         self._accept(delta, store)
 
     def _by_row(self, ops: list[tuple]) -> tuple[Delta | None, Store]:
-        if len(ops) > deltas.HELD_ROWS:
-            rows = [(*values, present, n) for n, (values, present) in enumerate(ops)]
-            schema = StructType([*self.schema.fields]).add("__p", "boolean").add("__seq", "long")
-            return self._effective(self.runtime.spark.createDataFrame(rows, schema))
-        return self._of_rows([(values, present, n) for n, (values, present) in enumerate(ops)], self.store) or (None, self.store)
+        if not ops:
+            return None, self.store
+        if len(ops) <= deltas.HELD_ROWS and (out := self._of_rows([(values, present, n) for n, (values, present) in enumerate(ops)], self.store)):
+            return out
+        rows = [(*values, present, n) for n, (values, present) in enumerate(ops)]
+        schema = StructType([*self.schema.fields]).add("__p", "boolean").add("__seq", "long")
+        return self._effective(self.runtime.spark.createDataFrame(rows, schema))
 
     def _of_rows(self, ops: list[tuple], store: Store) -> tuple[Delta | None, Store] | None:
         """The last op of each key against what is there: an insert of what is present and a delete of what is absent change nothing.
