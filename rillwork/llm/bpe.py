@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, packed, schema_with, ship_code, unpacked
-from .word_cache import WordCache, blocks
+from .word_cache import WordCache, text_blocks
 
 
 def byte_letters() -> dict[str, int]:
@@ -219,9 +219,8 @@ def _mapped(docs: DataFrame, tokenizer: str, pattern: str, text_col: str, ids_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cache = model(source.value, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s in blocks(texts):
-                ids = cache.encode(texts[s])
+            for s, texts in text_blocks(batch.column(1)):
+                ids = cache.encode(texts)
                 more = []
                 if digest:
                     more = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]),

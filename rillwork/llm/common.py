@@ -24,8 +24,14 @@ __all__ = ["ascii_lower", "column", "json_table", "materialize", "packed", "read
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
+#: Spark's limit of the bytes that go to Python at once, and what it is lowered to where a session has left it alone: texts are long.
+BATCH_LIMIT, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Put this package on the executors' Python path, once for each application."""
+    """Put this package on the executors' Python path, once for each application, and bound the batches that Python gets."""
+    if spark.conf.get(BATCH_LIMIT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_rillwork_shipped", False):
         return

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, materialize, packed, schema_with, ship_code, unpacked
-from .word_cache import blocks
+from .word_cache import text_blocks
 
 WIDTH, FILTERS, CHUNK = 4, 16, 256
 #: Bounds of the training sample, of whole rows: labelled rows, bytes of their texts together, and bytes of one text (rows of longer ones are no candidates).
@@ -210,14 +210,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     """
     ship_code(docs.sparkSession)
     kept = [c for c in docs.columns if c != out_col]
-    rows = docs.select(packed(kept), column(text_col).cast("string").alias("text"))
+    rest = [c for c in kept if c != text_col]
+    rows = docs.select(packed(rest), column(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.pairs()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s in blocks(texts):
-                found = predict(model, [t.encode() for t in texts[s]], tables)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, len(found)), pa.array(found)], names=["row", "score"])
+            for s, texts in text_blocks(batch.column(1)):
+                found = predict(model, [t.encode() for t in texts], tables)
+                yield pa.RecordBatch.from_arrays([*batch.slice(s.start, len(found)).columns, pa.array(found)], names=["row", "text", "score"])
 
-    return rows.mapInArrow(run, schema_with(rows, ["row"], {"score": "double"})).select(*unpacked(kept), F.col("score").alias(out_col))
+    scored = rows.mapInArrow(run, schema_with(rows, ["row", "text"], {"score": "double"}))
+    columns = dict(zip(rest, unpacked(rest), strict=True)) | {text_col: F.col("text").alias(text_col)}
+    return scored.select(*[columns[c] for c in kept], F.col("score").alias(out_col))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, packed, schema_with, ship_code, unpacked
-from .word_cache import blocks
+from .word_cache import text_blocks
 
 #: Limits of the base rules: fewest words; percent of words in repeated windows of WINDOW words.
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 50, 50, 3
@@ -134,9 +134,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 5, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s in blocks(texts):
-                found = measure([t.encode() for t in texts[s]], min_words, max_covered_percent, max_longest)
+            for s, texts in text_blocks(batch.column(1)):
+                found = measure([t.encode() for t in texts], min_words, max_covered_percent, max_longest)
                 columns = [pa.array(c, kinds[k]) for c, k in zip(zip(*found, strict=True), _OUTPUT.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(s.start, len(found)).columns, *columns], names=["row", "text", *_OUTPUT])
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import column, materialize, packed, schema_with, ship_code, small, unpacked
 from .components import components
-from .word_cache import blocks
+from .word_cache import text_blocks
 
 BITS, SEED, BLOCK = 64, 42, 4
 #: Cost of a probe row against one candidate check, in the same unit.
@@ -66,9 +66,8 @@ def fingerprint(docs: DataFrame, text_col: str = "text", width: int = 4, out_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s in blocks(texts):
-                found = fingerprints_of(texts[s], width).view(np.int64)
+            for s, texts in text_blocks(batch.column(1)):
+                found = fingerprints_of(texts, width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, len(found)), pa.array(found)], names=["row", "print"])
 
     return rows.mapInArrow(run, schema_with(rows, ["row"], {"print": "long"})).select(*unpacked(kept), F.col("print").alias(out_col))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ship_code, small
-from .word_cache import WordCache, blocks
+from .word_cache import WordCache, text_blocks
 
 #: Bytes of a row group and of a page, and rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
@@ -93,9 +93,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, row, start = library_cache(source.value), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s in blocks(texts):
-                flat = cache.encode(texts[s], tail)
+            for s, texts in text_blocks(batch.column(1)):
+                flat = cache.encode(texts, tail)
                 n = np.fromiter((len(x) // 4 for x in flat), np.int64, len(flat))
                 ends = n.cumsum()
                 ids = np.frombuffer(b"".join(flat), "<i4")

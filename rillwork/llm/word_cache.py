@@ -8,7 +8,10 @@ be cut before each such space and the parts encoded apart; their ids, put togeth
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White characters other than the space and the line feed.
@@ -89,3 +92,14 @@ def blocks(texts: list[str], most: int = 1_000_000) -> Iterable[slice]:
         size += len(t)
     if at < len(texts):
         yield slice(at, len(texts))
+
+
+def text_blocks(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[slice, list[str]]]:
+    """Slices of a column of about ``most`` bytes, one text at least, and their texts (null: empty); no others become Python strings."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    at = size = 0
+    for i, n in enumerate([*sizes, None]):
+        if i > at and (n is None or size + n > most):
+            yield slice(at, i), [t or "" for t in column.slice(at, i - at).to_pylist()]
+            at, size = i, 0
+        size += n or 0
