@@ -8,6 +8,7 @@ the filters are made for cost more suspects, never a wrong result.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,8 +27,8 @@ BITS_PER_DOC, LEAST_BITS, MOST_BITS, MOST_RANGES = 256, 1 << 12, 1 << 26, 1 << 1
 BITS_PER_SUSPECT, LEAST_TWICE, MOST_TWICE = 16, 1 << 16, 1 << 28
 #: The filter travels in segments of so many bits. Hashes that a task has told to be repeated and keeps, so as not to tell them again.
 SEGMENT, TOLD = 1 << 20, 200_000
-#: Confirmed keys of at most so many bytes are broadcast; more are joined.
-BROADCAST_BYTES = 8 << 20
+#: Confirmed keys of at most so many bytes, as digests with their first places, are broadcast; more are joined.
+BROADCAST_BYTES = 16 << 20
 SALTS = 16
 
 
@@ -143,6 +144,33 @@ def twice_seen(hashes: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
+def first_places(confirmed: DataFrame) -> tuple[np.ndarray, np.ndarray, list, list]:
+    """Digests in two halves, ascending, with the place and the line of each key's first occurrence."""
+    table = confirmed.select("key", "place", "line").toArrow()
+    halves = np.frombuffer(b"".join(table.column("key").to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    places, lines = (table.column(c).take(pa.array(order)) for c in ("place", "line"))
+    pack = lambda c: c.to_pylist() if c.null_count or c.type in (pa.string(), pa.large_string()) else c.to_numpy()
+    return halves[order, 0], halves[order, 1], pack(places), pack(lines)
+
+
+def found_at(high: np.ndarray, low: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Where each digest (two halves) stands, or -1."""
+    out = np.full(len(digests), -1, np.int64)
+    if not len(high) or not len(digests):
+        return out
+    at = np.searchsorted(high, digests[:, 0])
+    live = np.arange(len(digests))
+    while len(live):  # more than once only where first halves are equal
+        live = live[at[live] < len(high)]
+        live = live[high[at[live]] == digests[live, 0]]
+        same = low[at[live]] == digests[live, 1]
+        out[live[same]] = at[live[same]]
+        live = live[~same]
+        at[live] += 1
+    return out
+
+
 _OUTPUT = {"n_lines": "long", "n_dropped": "long", "kept_text": "string"}
 
 
@@ -192,12 +220,13 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
                         if not (each_line or keep_first_by):
                             found += [(k, places[i], 0, b"") for k in own]
                             continue
+                        digest = {k: hashlib.md5(k).digest() for k in own} if each_line else {k: k for k in own}
                         ident = xxhash.xxh3_128_digest(raw + b"\0" + repr(places[i]).encode())
                         met = set()
                         for n, k in enumerate(keys_of(raw)):
                             if k in own and (each_line or k not in met):
                                 met.add(k)
-                                found.append((k, places[i], n, ident))
+                                found.append((digest[k], places[i], n, ident))
                     if found:
                         k, p, n, d = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(p, arrow_place), pa.array(n, pa.int32()), pa.array(d, pa.binary())], names=["key", "place", "line", "ident"])
@@ -208,8 +237,9 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
     enough = F.col("n") >= min_docs
     if long_words is not None:
         enough = enough | (F.col("n") >= 2) & (F.size(F.split(F.col("key").cast("string"), r"[\x20\x09-\x0D]+")) > long_words)
-    confirmed = materialize(found.where(enough).select("key", "first.place", "first.line"))
-    size = confirmed.agg(F.coalesce(F.sum(F.octet_length("key") + 40), F.lit(0)).alias("b")).first()["b"]
+    # from here on a key is its digest of 128 bits
+    confirmed = materialize(found.where(enough).select(F.unhex(F.md5("key")).alias("key"), "first.place", "first.line"))
+    size = confirmed.agg(F.coalesce(F.sum(F.lit(32) + (F.coalesce(F.octet_length("place"), F.lit(0)) + 8 if place_type == "string" else 0)), F.lit(0)).alias("b")).first()["b"]
     schema = schema_with(held, ["row", "text"], _OUTPUT)
 
     def answer(batch: pa.RecordBatch, texts: list[str | None], drops: Callable[[int, list[bytes]], set[int]], s: slice) -> pa.RecordBatch:
@@ -233,21 +263,28 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
         return found.select(*[columns[c] for c in names], *_OUTPUT)
 
     if size <= broadcast_bytes:
-        table = spark.sparkContext.broadcast({bytes(r["key"]): (r["place"], r["line"]) for r in confirmed.collect()})
+        table = spark.sparkContext.broadcast(first_places(confirmed))
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            drop = table.value
+            seen, (high, low, of, at) = Filter(bits, twice.value), table.value
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 places = batch.column(2).to_pylist()
-
-                def drops(i: int, lines: list[bytes]) -> set[int]:
-                    keys = keys_of((texts[i] or "").encode())
-                    if drop.keys().isdisjoint(keys):
-                        return set()
-                    return {n for n, k in enumerate(keys) if k in drop and not (keep_first_by and drop[k] == (places[i], n))}
-
                 for s in blocks([t or "" for t in texts]):
+                    keys, number, hashes = doc_hashes(texts[s] if None not in texts[s] else [t or "" for t in texts[s]], min_chars)
+                    hit = np.flatnonzero(seen.holds(hashes))
+                    digests = np.frombuffer(b"".join(hashlib.md5(keys[j]).digest() for j in hit.tolist()), ">u8").reshape(-1, 2).astype(np.uint64)
+                    gone: dict[int, dict[bytes, int]] = {}
+                    for j, k in zip(hit.tolist(), found_at(high, low, digests).tolist(), strict=True):
+                        if k >= 0:
+                            gone.setdefault(int(number[j]) + s.start, {})[keys[j]] = k
+
+                    def drops(i: int, lines: list[bytes]) -> set[int]:
+                        own = gone.get(i)  # noqa: B023
+                        if not own:
+                            return set()
+                        return {n for n, x in enumerate(keys_of((texts[i] or "").encode())) if x in own and not (keep_first_by and (of[own[x]], at[own[x]]) == (places[i], n))}  # noqa: B023
+
                     yield answer(batch, texts, drops, s)
 
         return opened(held.mapInArrow(apply, schema))
