@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -550,6 +551,37 @@ def delta_self_join(spark, sf_dir):
     return found.select(F.col("left.n_nationkey").alias("a"), F.col("right.n_nationkey").alias("b"))
 
 
+@query("SELECT CAST(sum(n_nationkey * n_regionkey) AS BIGINT) AS folded, count(*) AS n FROM nation WHERE n_nationkey % 3 > 0")
+def delta_fold(spark, sf_dir):
+    """A Python function of all rows, read after each change."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("long"))
+    cells: list = []
+
+    def build(s: Source) -> Collection:
+        some = s.filter("n_nationkey % 3 > 0")
+        cells.append(some.fold(lambda rows: (sum(r["n_nationkey"] * r["n_regionkey"] for r in rows), len(rows))))
+        return some
+
+    rt = replay(spark, rows, "n_nationkey", build, each=lambda rt, _: rt.get(cells[0])).runtime
+    return spark.createDataFrame([rt.get(cells[0])], "folded long, n long")
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_regionkey <> 0 AND n_nationkey / n_regionkey > 5")
+def failing_predicate(spark, sf_dir):
+    """A Python predicate that raises for some rows, which counts as no; without that the query fails."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    rt = Runtime(spark)
+    s = Source(rt, rows.schema, ["n_nationkey"])
+    share = lambda r: int(r["n_nationkey"]) / int(r["n_regionkey"]) > 5
+    kept, strict = s.filter(share, errors="false"), s.filter(share)
+    s.load(rows)
+    try:
+        rt.get(strict.version_node)
+    except QueryFailed:
+        return kept.elements().select("n_nationkey")
+    raise AssertionError("a failure was lost")
+
+
 @query("SELECT p_brand, max((p_retailprice - (p_size + 1000)) / (p_size + 1000) * 100) AS best FROM part GROUP BY p_brand")
 def best_performer(spark, sf_dir):
     return demos.best_performer(table(spark, sf_dir, "part"), F.col("p_retailprice"), (F.col("p_size") + 1000).cast("double"), ["p_brand"])
@@ -643,7 +675,7 @@ def formula_over_nan(spark, sf_dir):
 
 
 @query("""SELECT * FROM (VALUES ('diamond', '112 114'), ('equal value', 'False 1'), ('cutoff', '100 100 2'), ('dynamic', '1 2 2'), ('cycle', 'CycleError'), ('failure', 'kept 70'), ('label', 'price'),
-('other runtime', 'ValueError'), ('query set', 'TypeError'), ('removed', 'ValueError')) t(scenario, result)""")
+('other runtime', 'ValueError'), ('query set', 'TypeError'), ('read while another computes', '99 0 99'), ('removed', 'ValueError')) t(scenario, result)""")
 def graph_behaviour(spark, sf_dir):
     """What the graph of cells does, scenario by scenario."""
     out = []
@@ -695,6 +727,22 @@ def graph_behaviour(spark, sf_dir):
     out.append(("label", rt.graph_snapshot()[x.id]["label"]))
     out.append(("other runtime", fails(lambda: Runtime(spark).get(a))))
     out.append(("query set", fails(lambda: rt.set(d, 1))))
+    going, done, late = threading.Event(), threading.Event(), []
+
+    def slow(r):
+        going.set()
+        done.wait(30)
+        return r.get(x)
+
+    job = rt.create_query(slow)
+    worker = threading.Thread(target=lambda: late.append(rt.get(job)))
+    rt.get(d)
+    worker.start()
+    going.wait(30)
+    meanwhile = f"{rt.get(x)} {len(late)}"
+    done.set()
+    worker.join()
+    out.append(("read while another computes", f"{meanwhile} {late[0]}"))
     rt.remove(pick)
     again = rt.create_input(5)
     out.append(("removed", fails(lambda: rt.get(pick)) if again.id == pick.id else "another place"))

@@ -440,7 +440,7 @@ class Map(Collection):
     def _change(self, d: Delta) -> tuple[Delta | None, Move | None]:
         if self.images is None:
             images = d.frame().select(*self.columns, W)
-            return (hold(images, self.schema) if d.rows is None else row_wise(images, d, self.schema)), None
+            return (hold(consolidate(images), self.schema, single=True) if d.rows is None else row_wise(images, d, self.schema)), None
         names, images = self.inputs[0].schema.names, self.images
         rows = d.frame().select(*names)
         known = images.touched(rows).drop(W)
