@@ -36,7 +36,7 @@ def checked(source: bytes) -> bytes:
     """The tokenizer's JSON, if its texts may be cut before single spaces: a byte-level BPE without normalizer, prefix space or other pre-tokenizers."""
     spec = json.loads(source)
     cutter = spec.get("pre_tokenizer") or {}
-    added = [t["content"] for t in spec.get("added_tokens", []) if t["single_word"] or t["lstrip"] or t["rstrip"] or " " in t["content"]]
+    added = [t["content"] for t in spec.get("added_tokens", []) if t["single_word"] or t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"])]
     model = spec["model"]
     if (cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True) or spec.get("normalizer") or added
             or model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")):
@@ -64,9 +64,13 @@ def library_cache(source: bytes) -> WordCache:
             return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)]
 
         def together(parts: list[str]) -> list[bytes]:
-            """As one text, since these parts do not act on each other: ids tile the bytes, so they can be told apart again."""
+            """As one text, since parts that end with a word do not act on the next one: ids tile the bytes, so they can be told apart again."""
             if len(parts) < 2:
                 return apart(parts)
+            if odd := [i for i, p in enumerate(parts) if p[-1].isspace()]:
+                out = dict(zip(odd, apart([parts[i] for i in odd]), strict=True))
+                rest = iter(together([p for i, p in enumerate(parts) if i not in out]))
+                return [out[i] if i in out else next(rest) for i in range(len(parts))]
             ids = np.array(t.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.searchsorted(size[ids].cumsum(), np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)).cumsum()) + 1
             flat, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]

@@ -1,8 +1,8 @@
 """Encode whole texts word by word, through a bounded cache of words already encoded.
 
-A byte-level BPE never merges across the pieces of its pre-tokenizer, and a single space between
-two non-white characters always begins a new piece (the piece takes the space along). So a text may
-be cut before each such space and the parts encoded apart; their ids, put together, are the text's.
+A byte-level BPE never merges across the pieces of its pre-tokenizer, and a single space, or a single line feed, between
+two non-white characters always begins a new piece (that of the space takes the next word along). So a text may
+be cut before each of them and the parts encoded apart; their ids, put together, are the text's.
 """
 
 from __future__ import annotations
@@ -13,21 +13,21 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 #: White characters other than the space and the line feed.
 _OTHER_WHITE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def cut(text: str) -> list[str]:
-    """Parts of ``text``; every part but the first has lost the space before it."""
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_WHITE.search(text):
+    """Parts of ``text``; every part but the first begins with its line feed, or has lost the space before it."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or _OTHER_WHITE.search(text):
         return _CUT.split(text)
-    return text.split(" ")
+    return text.replace("\n", " \n").split(" ")
 
 
 class WordCache:
     """``encode`` gives the ids of each part as little-endian 32-bit bytes; its parts begin with a
-    space before something that is not white. ``encode_firsts`` (if another) does so for texts' first parts, which may be anything.
+    space or a line feed before something that is not white. ``encode_firsts`` (if another) does so for texts' first parts, which may be anything.
 
     The cache holds two generations of at most ``limit`` parts; parts longer than ``longest``
     characters are never kept. So its memory is bounded, whatever the input.
@@ -61,7 +61,7 @@ class WordCache:
             self.young.update((w, self.old[w]) for w in again)
             missed.difference_update(again)
             new = list(missed)
-            self.young.update(zip(new, self.encode_parts([" " + w for w in new]), strict=True))
+            self.young.update(zip(new, self.encode_parts([w if w[0] == "\n" else " " + w for w in new]), strict=True))
         known, out = self.young, []
         for head, parts, got, at in zip(self.encode_firsts(first), rest, found, holes, strict=True):
             for i in at:

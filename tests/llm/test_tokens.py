@@ -38,6 +38,13 @@ def test_both_encoders_equal_the_library(tokenizer, library):
         assert [own.decode(x) for x in want] == [t.decode(list(array("I", x)), skip_special_tokens=False) for x in want]
 
 
+def test_parts_that_end_in_white_space_stay_apart(tokenizer, library):
+    texts = ["a '\r\n", "b <|endoftext|> c", "d\n<|endoftext|>", "e x\t", "f\ng\n", "h .\x85", "i <|endoftext|>"]
+    for order in (texts, texts[::-1], texts * 2):
+        token_store._CACHES.clear()
+        assert token_store.library_cache(Path(tokenizer[0]).read_bytes()).encode(order) == [library[1](x) for x in order]
+
+
 def test_each_prefix_has_the_one_last_token(tokenizer, library):
     own = bpe.PrefixBpe(Path(tokenizer[0]).read_bytes(), tokenizer[1])
     rng = random.Random(5)
@@ -54,10 +61,16 @@ def test_a_long_piece_is_linear(tokenizer, library):
         assert own.encode(x).tobytes() == library[1](x)
 
 
+def whole(parts):
+    return parts[0] + "".join(p if p[:1] == "\n" else " " + p for p in parts[1:])
+
+
 def test_cutting():
     for x in ("", " ", "a", " a", "a ", "a b", "a  b c", "a\n b c", "a \nb", "a\tb c", "a\u3000 b c", "a b\nc d"):
-        assert " ".join(cut(x)) == x
-    assert cut("a  b c") == ["a  b", "c"]
+        assert whole(cut(x)) == x
+    for x in ("a\nb", "a\n\nb c", "\na b\n", "a\nb\n", "a\r\nb c\nd", "a.\nb\n c"):
+        assert whole(cut(x)) == x
+    assert cut("a  b c") == ["a  b", "c"] and cut("a.\nB c") == ["a.", "\nB", "c"] and cut("a\n\nb\tc\nd") == ["a\n\nb\tc", "\nd"]
     assert [range(10)[s] for s in blocks(["x" * 3] * 10, 7)] == [range(0, 2), range(2, 4), range(4, 6), range(6, 8), range(8, 10)]
     assert list(blocks([])) == []
 
