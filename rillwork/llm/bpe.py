@@ -180,12 +180,12 @@ class PrefixBpe:
 _MODELS: dict[tuple, tuple[PrefixBpe, WordCache]] = {}
 
 
-def model(source: bytes, pattern: str) -> tuple[PrefixBpe, WordCache]:
+def model(source: bytes, pattern: str, parts: int = PARTS) -> tuple[PrefixBpe, WordCache]:
     """One model and cache for each Python worker."""
-    key = (hashlib.sha256(source).digest(), pattern)
+    key = (hashlib.sha256(source).digest(), pattern, parts)
     if key not in _MODELS:
         bpe = PrefixBpe(source, pattern)
-        _MODELS[key] = bpe, WordCache(lambda parts: [bpe.encode(p).tobytes() for p in parts], limit=PARTS)
+        _MODELS[key] = bpe, WordCache(lambda found: [bpe.encode(p).tobytes() for p in found], limit=parts)
     return _MODELS[key]
 
 
@@ -200,12 +200,14 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text"
     return _mapped(docs, tokenizer, pattern, text_col, ids_col, decoded_col, False)
 
 
-def digests(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text", ids_col: str | None = None) -> DataFrame:
-    """As ``encode`` with decoding, but with n_tokens, ids_sha256 and decoded_sha256 in place of the texts, and with the ids only if ``ids_col`` names them."""
-    return _mapped(docs, tokenizer, pattern, text_col, ids_col, None, True)
+def digests(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text", ids_col: str | None = None, parts: int = PARTS) -> DataFrame:
+    """As ``encode`` with decoding, but with n_tokens, ids_sha256 and decoded_sha256 in place of the texts, and with the ids only if ``ids_col`` names them.
 
+    A worker keeps the ids of ``parts`` parts of texts in each of two generations, at about 200 bytes a part: more of them cost memory and save time."""
+    return _mapped(docs, tokenizer, pattern, text_col, ids_col, None, True, parts)
 
-def _mapped(docs: DataFrame, tokenizer: str, pattern: str, text_col: str, ids_col: str | None, decoded_col: str | None, digest: bool) -> DataFrame:
+
+def _mapped(docs: DataFrame, tokenizer: str, pattern: str, text_col: str, ids_col: str | None, decoded_col: str | None, digest: bool, parts: int = PARTS) -> DataFrame:
     spark = docs.sparkSession
     ship_code(spark)
     source = spark.sparkContext.broadcast(Path(tokenizer).read_bytes())
@@ -217,7 +219,7 @@ def _mapped(docs: DataFrame, tokenizer: str, pattern: str, text_col: str, ids_co
     inner = {f"out{k}": kind for k, kind in enumerate(outputs.values())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, cache = model(source.value, pattern)
+        bpe, cache = model(source.value, pattern, parts)
         for batch in batches:
             for s, texts in text_blocks(batch.column(1)):
                 ids = cache.encode(texts)

@@ -47,8 +47,12 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(token_store.read(spark, path))
 
 
+#: Parts of texts that op5's workers keep in a generation of their cache; other stages share its executors in the pipeline, which has the default.
+BPE_PARTS = 400_000
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary())
+    return bpe.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary(), parts=BPE_PARTS)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
