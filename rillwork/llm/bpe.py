@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, packed, schema_with, ship_code, unpacked
-from .word_cache import WordCache, text_blocks
+from .word_cache import WordCache, kept, text_blocks
 
 
 def byte_letters() -> dict[str, int]:
@@ -177,7 +177,7 @@ class PrefixBpe:
         return b"".join(map(self.decoded.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-_MODELS: dict[tuple, tuple[PrefixBpe, WordCache]] = {}
+_MODELS: dict[tuple, tuple[PrefixBpe, WordCache]] = kept()
 
 
 def model(source: bytes, pattern: str, parts: int = PARTS) -> tuple[PrefixBpe, WordCache]:

@@ -1,9 +1,12 @@
-"""Near copies by the exact Jaccard similarity of word shingles, with prefix, size and sketch filters.
-
-Shingles are hashed to 64 bits and ordered by hash. Two sets of a similarity of p / q or more share a hash among the
-first n - ceil(n p / q) + 1 of each, so sets that share none there are never compared, and no link is missed. In
-buckets of one hash, sizes and parity sketches (whose differing bits are never more than the elements that differ) give
-a spanning forest of possible links. The groups it connects are then swept with the whole sets.
+"""Near copies: SimHash links of word shingles confirmed by exact Jaccard similarity, and an exact way for what they miss.
+
+Each set of shingles has a SimHash, and links within DISTANCE bits come from ``simhash.links`` (partitions by the
+generalised pigeonhole principle). Each is confirmed with the whole sets. No distance that partitions can search reaches
+every pair of a similarity of p / q, so what the confirmed links leave apart goes on: shingles are hashed to 64 bits
+and ordered by hash. Two sets of a similarity of p / q or more share a hash among the first n - ceil(n p / q) + 1 of
+each, so sets that share none there are never compared, and no link is missed. In buckets of one hash that hold sets of
+two classes or more, sizes and parity sketches (whose differing bits are never more than the elements that differ) give
+a spanning forest of possible links between classes. The groups it connects are then swept with the whole sets.
 """
 
 from __future__ import annotations
@@ -17,12 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import materialize, ship_code, small
 from .components import components
-from .word_cache import text_blocks
+from .word_cache import let_go, text_blocks
 
 #: Least bits of a sketch; a larger set has as many bits as elements or more, so unrelated ones always differ in enough.
 SKETCH_BITS = 512
+#: Bits by which the fingerprints of a SimHash link differ at most.
+DISTANCE = 8
 #: Nodes that a task remembers, so as not to write their sets again.
 KNOWN_NODES = 1_000_000
 
@@ -72,7 +78,8 @@ def folded(sketches: np.ndarray, width: int) -> np.ndarray:
     return sketches
 
 
-def possible_links(sizes: np.ndarray, sketches: list[bytes], p: int, q: int) -> list[tuple[int, int]]:
+def possible_links(sizes: np.ndarray, sketches: list[bytes], p: int, q: int, classes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of what may link by size and sketch; sets of one class, which are linked already, are not compared."""
     widths = np.array([len(x) // 8 for x in sketches], np.int64)
     drawn, place = {}, np.zeros(len(sizes), np.int64)
     for w in np.unique(widths).tolist():
@@ -83,6 +90,8 @@ def possible_links(sizes: np.ndarray, sketches: list[bytes], p: int, q: int) ->
     def near(at: int, others: np.ndarray) -> np.ndarray:
         a, b = sizes[at], sizes[others]
         ok = q * np.minimum(a, b) >= p * np.maximum(a, b)
+        if classes is not None:
+            ok &= classes[others] != classes[at]
         for w in np.unique(widths[others[ok]]).tolist():
             of = np.flatnonzero(ok & (widths[others] == w))
             least = min(w, int(widths[at]))
@@ -143,12 +152,43 @@ def _edges(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: str = "0.8", out_col: str = "component_id") -> DataFrame:
+def fingerprint_links(sets: DataFrame, p: int, q: int, distance: int) -> DataFrame:
+    """(a, b): nodes whose SimHashes are equal or linked within ``distance`` bits and whose sets have a similarity of p / q or more.
+
+    ``sets`` has node, n (over 0), print and held, a node perhaps more than once. Fingerprints that several sets have are told apart by the least node."""
+    known = materialize(sets.groupBy("node").agg(F.first("print").alias("value")))
+    prints = materialize(known.groupBy("value").agg(F.min("node").alias("least")))
+    found = small(materialize(simhash.links(prints, distance, "value").distinct()))
+    ends = [prints.select(F.col("value").alias(c), F.col("least").alias(f"{c}_node")) for c in ("a", "b")]
+    across = found.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    within = known.join(prints, "value").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    pairs = materialize(across.unionByName(within))
+    ends = pairs.select(F.xxhash64("a", "b").alias("pair"), F.explode(F.array("a", "b")).alias("node"))
+    held = sets.select("node", "held").join(small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())), "node", "left_semi").dropDuplicates(["node"])
+    dealt = ends.join(held, "node").select("pair", "node", "held").repartition("pair").sortWithinPartitions("pair", "node")
+    return dealt.mapInArrow(_confirm(p, q), "a long, b long")
+
+
+def _confirm(p: int, q: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """True links within the groups that the first column tells; then the node and its set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[int, int]]:
+            for _, nodes, held in _runs(batches):
+                for i, j in true_links([np.frombuffer(x, np.uint64) for x in held], p, q):
+                    yield nodes[i], nodes[j]
+
+        yield from _edges(found())
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: str = "0.8", out_col: str = "component_id",
+                distance: int = DISTANCE) -> DataFrame:
     """The id column of each row, with the least id reachable over links: pairs of texts whose sets of ``width``
     consecutive words (ASCII lower-cased, split at ASCII white space) have a Jaccard similarity of ``similarity`` or more.
 
-    Texts with fewer words have one shingle of them all; texts without words are alike. Repeated rows stay. Every
-    link counts, whatever its sketch or SimHash; only equal 64-bit hashes of different shingles could falsify one.
+    Texts with fewer words have one shingle of them all; texts without words are alike. Repeated rows stay. Links
+    of SimHashes within ``distance`` bits are confirmed first, then every other link is found; only equal 64-bit hashes of different shingles could falsify one.
     """
     share = Fraction(similarity)
     p, q = share.numerator, share.denominator
@@ -160,6 +200,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A node for each row; its set with the first row of a task that has it."""
+        let_go()
         seen: set[int] = set()
         for batch in batches:
             for s, texts in text_blocks(batch.column(1)):
@@ -169,12 +210,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if len(seen) > KNOWN_NODES:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, len(sets)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array([len(x) for x in sets], pa.int32()),
+                                                  pa.array(simhash.majority(np.concatenate(sets), np.array([len(x) for x in sets])).view(np.int64)),
                                                   pa.array([sketch(x) if f else None for x, f in zip(sets, first, strict=True)], pa.binary()),
-                                                  pa.array([x.tobytes() if f else None for x, f in zip(sets, first, strict=True)], pa.binary())], names=["_id", "node", "n", "sketch", "held"])
+                                                  pa.array([x.tobytes() if f else None for x, f in zip(sets, first, strict=True)], pa.binary())], names=["_id", "node", "n", "print", "sketch", "held"])
 
     rows = materialize(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_t")).mapInArrow(
-        cut, f"_id {id_type}, node long, n int, sketch binary, held binary"))
-    sets = rows.where("held is not null").select("node", "n", "sketch", "held")
+        cut, f"_id {id_type}, node long, n int, print long, sketch binary, held binary"))
+    sets = rows.where("held is not null").select("node", "n", "print", "sketch", "held")
+    near = materialize(fingerprint_links(sets.where("n > 0"), p, q, distance))
+    classes = small(materialize(components(near).select("node", F.col("root").alias("class"))))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -224,27 +268,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[int, int]]:
-            for _, nodes, sizes, sketches in _runs(batches):
-                for i, j in possible_links(np.array(sizes, np.int64), sketches, p, q):
+            for _, nodes, sizes, sketches, of in _runs(batches):
+                for i, j in possible_links(np.array(sizes, np.int64), sketches, p, q, np.array(of, np.int64)):
                     yield nodes[i], nodes[j]
 
         yield from _edges(found())
 
-    drawn = sets.join(small(materialize(tokens.select("node").distinct())), "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"])
-    buckets = tokens.join(drawn, "node").select("token", "node", "n", "sketch").repartition("token").sortWithinPartitions("token")
+    classed = materialize(tokens.join(classes, "node", "left").select("token", "node", F.coalesce("class", "node").alias("class")))
+    mixed = materialize(classed.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("token"))
+    apart = materialize(classed.join(small(mixed), "token", "left_semi"))
+    drawn = sets.join(small(materialize(apart.select("node").distinct())), "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"])
+    buckets = apart.join(drawn, "node").select("token", "node", "n", "sketch", "class").repartition("token").sortWithinPartitions("token")
     maybe = materialize(components(materialize(buckets.mapInArrow(bucket, "a long, b long"))))
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[int, int]]:
-            for _, nodes, held in _runs(batches):
-                for i, j in true_links([np.frombuffer(x, np.uint64) for x in held], p, q):
-                    yield nodes[i], nodes[j]
-
-        yield from _edges(found())
-
     whole = sets.select("node", "held").join(small(maybe), "node").dropDuplicates(["node"]).select("root", "node", "held")
-    found = whole.repartition("root").sortWithinPartitions("root").mapInArrow(confirm, "a long, b long")
-    linked = materialize(components(materialize(found)))
+    found = whole.repartition("root").sortWithinPartitions("root").mapInArrow(_confirm(p, q), "a long, b long")
+    linked = materialize(components(near.unionByName(materialize(found))))
     least = rows.groupBy("node").agg(F.min("_id").alias("_least"))
     at = materialize(least.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("_root"), "_least"))
     of = at.join(at.groupBy(F.col("_root").alias("_r")).agg(F.min("_least").alias(out_col)), F.col("_root") == F.col("_r")).select(F.col("node").alias("_node"), out_col)

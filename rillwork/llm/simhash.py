@@ -25,6 +25,8 @@ from .components import components
 from .word_cache import text_blocks
 
 BITS, SEED, BLOCK = 64, 42, 4
+#: Hashes whose bits are counted at once.
+PIECE = 4_096
 #: Cost of a probe row against one candidate check, in the same unit.
 PROBE_COST, CHECK_COST = 100.0, 1.0
 #: Buckets up to this many rows are checked by shifts, larger ones by a sweep; those of more than SPLIT_ROWS rows are divided among tasks first.
@@ -47,14 +49,22 @@ def fingerprints_of(texts: list[str], width: int) -> np.ndarray:
         starts = [0, *(ends[:n - width] + 1).tolist()]
         hashes += [digest(line[i:j], SEED) for i, j in zip(starts, ends[width - 1:].tolist(), strict=True)]
         counts.append(n - width + 1)
-    counts_a = np.array(counts, np.int64)
-    out = np.zeros(len(texts), np.uint64)
-    full = np.flatnonzero(counts_a)
+    return majority(np.array(hashes, "<u8"), np.array(counts, np.int64))
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of ``counts`` hashes, the bits that more than half of them have; of no hashes: zero. Their bits are spread PIECE hashes at a time."""
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
+    ends = counts[full].cumsum()
+    ones = np.zeros((len(full), BITS), np.int32)
+    for s in range(0, len(hashes), PIECE):
+        now = np.ascontiguousarray(hashes[s:s + PIECE], "<u8")
+        bits = np.unpackbits(now.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first, last = int(np.searchsorted(ends, s, "right")), int(np.searchsorted(ends, s + len(now)))
+        ones[first:last + 1] += np.add.reduceat(bits, np.r_[0, ends[first:last] - s], axis=0, dtype=np.int32)
     if len(full):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        at = np.r_[0, counts_a[full].cumsum()[:-1]]
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * ones > counts_a[full][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        out[full] = np.packbits(2 * ones.astype(np.int64) > counts[full][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 

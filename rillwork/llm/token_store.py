@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ship_code, small
-from .word_cache import WordCache, text_blocks
+from .word_cache import WordCache, kept, text_blocks
 
 #: Bytes of a row group and of a page, and rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 
-_CACHES: dict[bytes, WordCache] = {}
+_CACHES: dict[bytes, WordCache] = kept()
 
 
 def checked(source: bytes) -> bytes:

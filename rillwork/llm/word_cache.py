@@ -7,6 +7,8 @@ be cut before each of them and the parts encoded apart; their ids, put together,
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,6 +20,27 @@ _CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 _OTHER_WHITE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+_KEPT: list[dict] = []
+
+
+def kept() -> dict:
+    """A dictionary of what a Python worker keeps between tasks, until an operator that needs the memory lets it go."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def let_go() -> None:
+    """Empty what is kept, and give its memory back to the system."""
+    if any(_KEPT):
+        for held in _KEPT:
+            held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+
 def cut(text: str) -> list[str]:
     """Parts of ``text``; every part but the first begins with its line feed, or has lost the space before it."""
     if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or _OTHER_WHITE.search(text):

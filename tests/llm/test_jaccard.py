@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rillwork.llm import jaccard
+from rillwork.llm import jaccard, simhash
 from rillwork.llm.common import materialize
+from rillwork.llm.components import components
 
 from .conftest import BASE
 from .test_phrase_index import expected as hits_by_hand
@@ -106,3 +107,50 @@ def test_stages_with_near_copies(spark, folder):  # noqa: F811
     assert all(h[2] == 0 for h in hits_by_hand(pairs(clean), items, 8))
     same = coded.join(clean.select(F.col("doc_id").alias("d"), F.sha2("text", 256).alias("s")), F.col("d").eqNullSafe(F.col("doc_id"))).where("s = decoded_sha256")
     assert same.count() == coded.count() == clean.count()
+
+
+def test_simhash_links_of_the_stage(spark, monkeypatch):
+    """The stage's links come from SimHashes within DISTANCE bits, confirmed with whole sets, as brute force gives them; the exact way adds what is left."""
+    asked, confirmed = [], []
+    links, confirm = simhash.links, jaccard.fingerprint_links
+
+    def spied(prints, distance, col):
+        asked.append(distance)
+        return links(prints, distance, col)
+
+    def kept(sets, *rest):
+        held = {r["node"]: (r["print"] & (1 << 64) - 1, frozenset(np.frombuffer(r["held"], np.uint64).tolist())) for r in sets.collect()}
+        confirmed.append((held, materialize(confirm(sets, *rest))))
+        return confirmed[-1][1]
+
+    monkeypatch.setattr(simhash, "links", spied)
+    monkeypatch.setattr(jaccard, "fingerprint_links", kept)
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).repartition(3)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.dedup_near(spark, df, "").collect())
+    assert got == sorted(set(groups(rows))) and asked == [jaccard.DISTANCE]
+    held, near = confirmed[0]
+    want, missed = [], 0
+    for a, (x, s) in held.items():
+        for b, (y, t) in held.items():
+            if a < b and 10 * len(s & t) >= 8 * len(s | t):
+                if (x ^ y).bit_count() <= jaccard.DISTANCE:
+                    want.append((a, b))
+                else:
+                    missed += 1
+    assert want and missed
+    brute = spark.createDataFrame(want, "a long, b long")
+    assert sorted(map(tuple, components(near).collect())) == sorted(map(tuple, components(brute).collect()))
+    for r in near.collect():
+        assert 10 * len(held[r["a"]][1] & held[r["b"]][1]) >= 8 * len(held[r["a"]][1] | held[r["b"]][1])
+    for x, s in held.values():
+        assert x == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in s) > len(s))
+
+
+def test_buckets_leave_out_what_is_linked():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 64, 300, np.uint64)
+    sets = [np.unique(base[i:i + 260]) for i in range(4)]
+    given = np.array([len(x) for x in sets]), [jaccard.sketch(x) for x in sets], 4, 5
+    assert jaccard.possible_links(*given, np.zeros(4, np.int64)) == []
+    assert {frozenset(x) for x in jaccard.possible_links(*given, np.array([7, 7, 7, 9]))} == {frozenset((0, 3)), frozenset((1, 3)), frozenset((2, 3))}

@@ -131,3 +131,14 @@ def test_pieces_without_the_short_cut(tokenizer, library, monkeypatch):
     for w in words:
         for piece in own.find(w):
             assert own.encode_piece(piece.encode()) == list(array("I", library[1](piece)))
+
+
+def test_workers_let_go_what_they_keep(tokenizer, library):
+    from rillwork.llm import word_cache
+
+    source = Path(tokenizer[0]).read_bytes()
+    first = token_store.library_cache(source)
+    assert token_store.library_cache(source) is first and token_store._CACHES
+    word_cache.let_go()
+    assert not token_store._CACHES and not bpe._MODELS
+    assert token_store.library_cache(source).encode(["a b"]) == [library[1]("a b")]
