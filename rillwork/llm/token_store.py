@@ -28,6 +28,8 @@ from .word_cache import WordCache, kept, text_blocks
 
 #: Bytes of a row group and of a page, and rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
+#: Bytes of text whose different parts are looked up at once.
+TEXT_BLOCK = 4_000_000
 
 _CACHES: dict[bytes, WordCache] = kept()
 
@@ -97,7 +99,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, row, start = library_cache(source.value), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for s, texts in text_blocks(batch.column(1)):
+            for s, texts in text_blocks(batch.column(1), TEXT_BLOCK):
                 flat = cache.encode(texts, tail)
                 n = np.fromiter((len(x) // 4 for x in flat), np.int64, len(flat))
                 ends = n.cumsum()

@@ -12,6 +12,7 @@ import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -41,11 +42,14 @@ def let_go() -> None:
             pass
 
 
+def odd(text: str) -> bool:
+    """Whether white characters meet, stand at an end, or are others than the space and the line feed."""
+    return "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or _OTHER_WHITE.search(text) is not None
+
+
 def cut(text: str) -> list[str]:
     """Parts of ``text``; every part but the first begins with its line feed, or has lost the space before it."""
-    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or _OTHER_WHITE.search(text):
-        return _CUT.split(text)
-    return text.replace("\n", " \n").split(" ")
+    return _CUT.split(text) if odd(text) else text.replace("\n", " \n").split(" ")
 
 
 class WordCache:
@@ -64,45 +68,61 @@ class WordCache:
 
     def encode(self, texts: list[str], tail: bytes = b"") -> list[bytes]:
         """The ids of each text, and ``tail`` after them."""
-        first, rest, found, holes, missed = [], [], [], [], set()
-        get = self.young.get
-        for t in texts:
-            parts = cut(t)
-            first.append(parts[0])
-            del parts[0]
-            got, at = list(map(get, parts)), []
-            if None in got:
-                i = -1
-                while (i := _index_of_none(got, i + 1)) >= 0:
-                    at.append(i)
-                    missed.add(parts[i])
-            rest.append(parts)
-            found.append(got)
-            holes.append(at)
-        if missed:
-            again = [w for w in missed if w in self.old]
-            self.young.update((w, self.old[w]) for w in again)
-            missed.difference_update(again)
-            new = list(missed)
-            self.young.update(zip(new, self.encode_parts([w if w[0] == "\n" else " " + w for w in new]), strict=True))
-        known, out = self.young, []
-        for head, parts, got, at in zip(self.encode_firsts(first), rest, found, holes, strict=True):
-            for i in at:
-                got[i] = known[parts[i]]
-            out.append(b"".join([head, *got, tail]))
-        for w in missed:
+        learnt: set[str] = set()
+        plain: list[int] = []
+        rest: list[int] = []
+        for i, t in enumerate(texts):
+            (rest if odd(t) else plain).append(i)
+        out = [b""] * len(texts)
+        for of, run in ((plain, self._plain), (rest, self._odd)):
+            for i, ids in zip(of, run([texts[i] for i in of], tail, learnt) if of else [], strict=True):
+                out[i] = ids
+        for w in learnt:
             if len(w) > self.longest:
-                del known[w]
-        if len(known) > self.limit:
-            self.old, self.young = known, {}
+                del self.young[w]
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
         return out
 
-
-def _index_of_none(found: list, start: int) -> int:
-    try:
-        return found.index(None, start)
-    except ValueError:
-        return -1
+    def _ids(self, parts: list[str], learnt: set[str]) -> list[bytes]:
+        """The ids of each part; new ones are encoded, kept and added to ``learnt``."""
+        known, old = self.young, self.old
+        found = list(map(known.get, parts))
+        if None not in found:
+            return found
+        missed = {w for w, x in zip(parts, found, strict=True) if x is None}
+        again = [w for w in missed if w in old]
+        known.update((w, old[w]) for w in again)
+        missed.difference_update(again)
+        new = list(missed)
+        known.update(zip(new, self.encode_parts([w if w[0] == "\n" else " " + w for w in new]), strict=True))
+        learnt |= missed
+        return [known[w] if x is None else x for w, x in zip(parts, found, strict=True)]
+
+    def _odd(self, texts: list[str], tail: bytes, learnt: set[str]) -> list[bytes]:
+        cuts = [cut(t) for t in texts]
+        return [b"".join([head, *self._ids(parts[1:], learnt), tail]) for head, parts in zip(self.encode_firsts([p[0] for p in cuts]), cuts, strict=True)]
+
+    def _plain(self, texts: list[str], tail: bytes, learnt: set[str]) -> list[bytes]:
+        """Texts that are cut at every space and line feed: Arrow cuts them, numbers the different parts, and puts the ids together."""
+        lists = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        ends, parts = lists.offsets.to_numpy(), lists.values
+        after = np.ones(len(parts), bool)
+        after[ends[:-1]] = False
+        heads = self.encode_firsts(parts.take(pa.array(ends[:-1])).to_pylist())
+        numbered = parts.filter(pa.array(after)).dictionary_encode()
+        ids = [*self._ids(numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), learnt), *heads, tail]
+        # each text: its head, its other parts, the tail
+        ends = ends.astype(np.int64) + np.arange(len(ends))
+        order, inner = np.empty(ends[-1], np.int64), np.ones(ends[-1], bool)
+        inner[ends[:-1]] = inner[ends[1:] - 1] = False
+        order[inner] = numbered.indices.to_numpy()
+        order[ends[:-1]] = np.arange(len(texts)) + len(ids) - 1 - len(texts)
+        order[ends[1:] - 1] = len(ids) - 1
+        joined = pa.array(ids, pa.large_binary()).take(pa.array(order))
+        at = np.frombuffer(joined.buffers()[1], np.int64, len(order) + 1)[ends].tolist()
+        flat = memoryview(joined.buffers()[2] or b"")
+        return [bytes(flat[i:j]) for i, j in zip(at, at[1:], strict=False)]
 
 
 def blocks(texts: list[str], most: int = 1_000_000) -> Iterable[slice]:

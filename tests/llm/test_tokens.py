@@ -142,3 +142,19 @@ def test_workers_let_go_what_they_keep(tokenizer, library):
     word_cache.let_go()
     assert not token_store._CACHES and not bpe._MODELS
     assert token_store.library_cache(source).encode(["a b"]) == [library[1]("a b")]
+
+
+def test_each_different_part_is_looked_up_once(tokenizer, library):
+    """A block's words are numbered first, so the cache is asked once for each, however often they stand there."""
+    class Counted(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    asked = []
+    cache = token_store.library_cache(Path(tokenizer[0]).read_bytes())
+    cache.young = Counted(cache.young)
+    texts = ["one two two one\nthree", "", "two", "one two three two two", "a  b", "\x00 \x00 two", "é\né"]
+    assert cache.encode(texts * 3, b"end!") == [library[1](x) + b"end!" for x in texts * 3]
+    assert asked.count("two") == 1 and asked.count("one") == 1 and asked.count("three") == 1
+    assert cache.encode([]) == [] and cache.encode([""]) == [b""]
