@@ -23,13 +23,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import ship_code, small
-from .word_cache import WordCache, kept, text_blocks
+from .word_cache import WordCache, column_blocks, kept
 
 #: Bytes of a row group and of a page, and rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 #: Bytes of text whose different parts are looked up at once.
 TEXT_BLOCK = 4_000_000
+#: Signs that end a word: the pre-tokenizer always begins a new piece with one after a letter, whatever follows.
+SIGNS = ",.;:!?"
+#: The last of the Latin letters, on which all versions of Unicode agree.
+LAST_LATIN = "\u024f"
 
 _CACHES: dict[bytes, WordCache] = kept()
 
@@ -56,20 +61,39 @@ def library_cache(source: bytes) -> WordCache:
         t = Tokenizer.from_str(source.decode())
         t.no_truncation()
         t.no_padding()
+        model = t.model
         size = np.zeros(t.get_vocab_size(True), np.int64)  # bytes of each token; a byte-level vocabulary writes a byte as one letter
         for name, i in t.get_vocab(False).items():
             size[i] = len(name)
         for i, added in t.get_added_tokens_decoder().items():
             size[i] = len(added.content.encode())
 
+        signs = "".join(c for c in SIGNS if not any(c in a.content for a in t.get_added_tokens_decoder().values()))
+
         def apart(parts: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)]
 
+        letters = str.maketrans({chr(b): c for c, b in byte_letters().items()})
+        by_model = not any(a.content.isalpha() for a in t.get_added_tokens_decoder().values())
+
+        def words(parts: list[str]) -> list[bytes]:
+            """Of a space and Latin letters each: one piece to the pre-tokenizer, so the library's model may take them at once."""
+            pieces = "".join(parts).encode().decode("latin-1").translate(letters).split(letters[32])[1:]
+            return [array("I", [x.id for x in model.tokenize(letters[32] + p)]).tobytes() for p in pieces]
+
+        def new(parts: list[str]) -> list[bytes]:
+            plain = [i for i, p in enumerate(parts) if p[0] == " " and p[1:].isalpha() and (p.isascii() or max(p) <= LAST_LATIN)] if by_model else []
+            if not plain:
+                return together(parts)
+            out = dict(zip(plain, words([parts[i] for i in plain]), strict=True))
+            rest = iter(together([p for i, p in enumerate(parts) if i not in out]))
+            return [out[i] if i in out else next(rest) for i in range(len(parts))]
+
         def together(parts: list[str]) -> list[bytes]:
-            """As one text, since parts that end with a word do not act on the next one: ids tile the bytes, so they can be told apart again."""
+            """As one text, since parts that end with a word do not act on the next one, which begins with white space or else is encoded apart: ids tile the bytes, so they can be told apart again."""
             if len(parts) < 2:
                 return apart(parts)
-            if odd := [i for i, p in enumerate(parts) if p[-1].isspace()]:
+            if odd := [i for i, p in enumerate(parts) if p[-1].isspace() or p[0] in signs]:
                 out = dict(zip(odd, apart([parts[i] for i in odd]), strict=True))
                 rest = iter(together([p for i, p in enumerate(parts) if i not in out]))
                 return [out[i] if i in out else next(rest) for i in range(len(parts))]
@@ -78,7 +102,7 @@ def library_cache(source: bytes) -> WordCache:
             flat, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
             return [flat[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
-        _CACHES[key] = WordCache(together, apart)
+        _CACHES[key] = WordCache(new, apart, signs=signs)
     return _CACHES[key]
 
 
@@ -99,16 +123,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, row, start = library_cache(source.value), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for s, texts in text_blocks(batch.column(1), TEXT_BLOCK):
-                flat = cache.encode(texts, tail)
-                n = np.fromiter((len(x) // 4 for x in flat), np.int64, len(flat))
-                ends = n.cumsum()
-                ids = np.frombuffer(b"".join(flat), "<i4")
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
+            for s in column_blocks(batch.column(1), TEXT_BLOCK):
+                rows = s.stop - s.start
+                ends, flat = cache.encode_column(batch.column(1).slice(s.start, rows), tail)
+                starts = np.r_[0, ends // 4]
+                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(np.frombuffer(flat, "<i4")))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.start, len(flat)), pa.array(np.full(len(flat), part, np.int32)), pa.array(np.arange(row, row + len(flat))),
-                     pa.array(start + ends - n), pa.array(n), lists], names=["doc_id", "part", "row", "part_start", "n_tokens", "ids"])
-                row, start = row + len(flat), start + int(ends[-1])
+                    [batch.column(0).slice(s.start, rows), pa.array(np.full(rows, part, np.int32)), pa.array(np.arange(row, row + rows)),
+                     pa.array(start + starts[:-1]), pa.array(np.diff(starts)), lists], names=["doc_id", "part", "row", "part_start", "n_tokens", "ids"])
+                row, start = row + rows, start + int(starts[-1])
 
     salt = F.xxhash64("text")
     ordered = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -158,3 +158,28 @@ def test_each_different_part_is_looked_up_once(tokenizer, library):
     assert cache.encode(texts * 3, b"end!") == [library[1](x) + b"end!" for x in texts * 3]
     assert asked.count("two") == 1 and asked.count("one") == 1 and asked.count("three") == 1
     assert cache.encode([]) == [] and cache.encode([""]) == [b""]
+
+
+def test_a_column_is_cut_as_its_texts():
+    import pyarrow as pa
+
+    from rillwork.llm import word_cache
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice([*PARTS, " ", " ", "​", "\x00", "᠎", "ꀀ"]) for _ in range(rng.randrange(12))) for _ in range(3000)] + [None, ""]
+    for kind in (pa.string(), pa.large_string()):
+        parts, heads, inner = word_cache.cut_column(pa.array(texts, kind).slice(5))
+        rows, at = parts.to_pylist(), [*heads.tolist(), len(parts)]
+        assert [rows[i:j] for i, j in zip(at, at[1:], strict=False)] == [cut(t or "") for t in texts[5:]]
+        assert sorted([*heads.tolist(), *inner.tolist()]) == list(range(len(rows)))
+
+
+def test_a_word_is_one_part_with_and_without_a_sign(tokenizer, library):
+    token_store._CACHES.clear()
+    cache = token_store.library_cache(Path(tokenizer[0]).read_bytes())
+    texts = ["x word word, word. word!", "x word,word , word.\nword; word's word?!", "x 3,000 é, Ünï. word,, word. <|endoftext|>. word:s", ", a", "a,", "", "x ª. ŵ ɐ, 中, é, á."]
+    assert cache.encode(texts * 2) == [library[1](x) for x in texts * 2]
+    assert {w for w in cache.young if w.startswith("word")} == {"word", "word's"}
+    rng = random.Random(7)
+    texts = ["x" + "".join(rng.choice([*PARTS, ",", ".", ";", ":", "?", "Word", "ö", " ", " "]) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    assert cache.encode(texts) == [library[1](x) for x in texts]
