@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.llm import bpe, jaccard, line_dedup, phrase_index, quality_cnn
-from rillwork.llm.common import materialize, packed, read, small, unpacked
+from rillwork.llm.common import give_back, materialize, packed, read, small, unpacked
 from rillwork.llm.queries import QUALITY_THRESHOLD, vocabulary
 
 #: Lines of more words are dropped from two documents on; a document that would lose this share of its words is a copy.
@@ -56,6 +56,7 @@ def same_key(left: str = "key", right: str = "of") -> Column:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, a similarity of 0.8 or more) stays: the one of least doc_id."""
+    give_back(spark)
     rows = held(docs)
     groups = materialize(jaccard.near_copies(rows.select("key", "text"), "key", width=5, similarity="0.8"))
     stay = materialize(groups.where(F.col("key") == F.col("component_id")).groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n")))
@@ -67,6 +68,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold passages of two benchmark items or more go; from others a single item's passage is cut."""
+    give_back(spark)
     rows = held(docs)
     found = phrase_index.contamination(rows.select("key", "text"), read(spark, sf_dir, "benchmark"), size=8, min_items=2, id_col="key")
     hit = materialize(found.where("n_hit > 0").select(F.col("key").alias("of"), "spans", "contaminated").dropDuplicates(["of"]))
@@ -76,6 +78,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids as little-endian 32-bit integers, their count and digest, and the digest of the text decoded from them."""
+    give_back(spark)
     return bpe.digests(docs.select("doc_id", "lang", "source", "text"), *vocabulary(), ids_col="ids")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, packed, schema_with, ship_code, unpacked
-from .word_cache import WordCache, kept, text_blocks
+from .word_cache import WordCache, kept, text_blocks, trim
 
 
 def byte_letters() -> dict[str, int]:
@@ -232,7 +232,7 @@ def _mapped(docs: DataFrame, tokenizer: str, pattern: str, text_col: str, ids_co
                 if decoded_col:
                     more.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, s.stop - s.start), *more], names=["row", *inner])
-        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
+        trim()
 
     found = rows.mapInArrow(run, schema_with(rows, ["row"], inner))
     return found.select(*unpacked(kept), *[F.col(k).alias(c) for k, c in zip(inner, outputs, strict=True)])

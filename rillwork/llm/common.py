@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringTy
 
 from ..sources.storage import materialize, shared_dir
 
-__all__ = ["ascii_lower", "column", "json_table", "materialize", "packed", "read", "rows_frame", "schema_with", "shared_dir", "ship_code", "small", "unpacked"]
+__all__ = ["ascii_lower", "column", "give_back", "json_table", "materialize", "packed", "read", "rows_frame", "schema_with", "shared_dir", "ship_code", "small", "unpacked"]
 
 PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -47,6 +47,14 @@ def ship_code(spark: SparkSession) -> None:
     sc._rillwork_shipped = True
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect their garbage, which shrinks their heaps: a stage's Python workers may need the memory that the heap of the stage before still holds.
+
+    A task for each slot; a JVM that ignores explicit collections, or gets no task, keeps its heap, and nothing else differs."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

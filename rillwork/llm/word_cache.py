@@ -37,11 +37,17 @@ def let_go() -> None:
     if any(_KEPT):
         for held in _KEPT:
             held.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not glibc
-            pass
+        trim()
+
+
+def trim() -> None:
+    """Give memory that this worker no longer uses back to the system: it lives on for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def cut(text: str) -> list[str]:

@@ -88,3 +88,15 @@ def test_empty_table(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, base))
         assert docs.count() == 0
+
+
+def test_heavy_stages_begin_with_collected_heaps(spark, docs):
+    """Else an executor holds the heap of the stage before beside the Python workers of this one."""
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if not any(x in b.getName() for x in ("Young", "Concurrent", "Scavenge", "Copy")))
+
+    for stage in (corpus_pipeline.encode, corpus_pipeline.dedup_near):
+        before = collections()
+        stage(spark, docs, "")
+        assert collections() > before
