@@ -18,7 +18,7 @@ from ..sources.tables import KeyedTable
 from ..streaming.runner import EpochRunner, Gauge, read_op_stream
 from . import demos
 from .graph import QueryFailed, Runtime
-from .incremental import Collection, Source
+from .incremental import Collection, Follower, Source
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -526,21 +526,15 @@ def delta_sum_doubles(spark, sf_dir):
 @query(ORACLE_SQL["sort_entries"])
 def delta_sort_feed(spark, sf_dir):
     """A list that only follows the changes by position."""
-    feeds, held = [], []
+    feeds, lists = [], []
 
     def build(s: Source) -> Collection:
         feeds.append(s.sort_by_key("ts", "event_id").feed())
+        lists.append(Follower(spark, s.schema))
         return s
 
-    def read(rt: Runtime, target: Collection) -> None:
-        for r in feeds[0].poll().orderBy("step").toLocalIterator():
-            if r["op"] == "inserted":
-                held.insert(r["idx"], r["event_id"])
-            elif held.pop(r["idx"]) != r["event_id"]:
-                raise AssertionError("another row was removed")
-
-    replay(spark, events(spark, sf_dir).select("event_id", "ts"), "event_id", build, each=read)
-    return spark.createDataFrame(list(enumerate(held)), "idx long, event_id long")
+    replay(spark, events(spark, sf_dir).select("event_id", "ts"), "event_id", build, each=lambda rt, _: lists[0].take(feeds[0].poll()))
+    return lists[0].rows().select("idx", "event_id")
 
 
 @query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")

@@ -185,8 +185,9 @@ class Store:
     written again about as often as the logarithm of the number of deltas.
     """
 
-    def __init__(self, spark: SparkSession, schema: StructType, key: Sequence[str | Column], parts: tuple[Part, ...] = (), recent: tuple[Delta, ...] = ()):
+    def __init__(self, spark: SparkSession, schema: StructType, key: Sequence[str | Column], parts: tuple[Part, ...] = (), recent: tuple[Delta, ...] = (), sought: bool = True):
         self.spark, self.schema, self.key, self.parts, self.recent = spark, schema, list(key), parts, recent
+        self.sought = sought  # whether rows are looked up by key: else written deltas are parts as they are
         self.token = next(_TOKENS)
         self.plain = all(isinstance(k, str) for k in key)
         self.columns = list(key) if self.plain else [f"__k{i}" for i in range(len(key))]
@@ -208,7 +209,7 @@ class Store:
 
     def _part(self, df: DataFrame, n: int, written: bool = False) -> Part:
         """A table, written anew, and sorted if it is large, unless a small one is written already."""
-        if n <= SORT_ROWS:
+        if n <= SORT_ROWS or not self.sought:
             return Part(self._keyed(df), n) if written else Part(self._keyed(table := materialize(df)), table.count())
         able = [c for c, t in zip(self.columns, self.types, strict=True) if isinstance(t, _ORDERED)]
         keyed = self._keyed(df)

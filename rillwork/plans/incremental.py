@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce as fold
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DataType, IntegerType, LongType, ShortType, StructType
 
@@ -54,7 +54,7 @@ class Collection:
         self.runtime, self.is_set, self.inputs = runtime, is_set, list(inputs)
         self.schema = StructType([f for f in schema.fields if f.name != W])
         self.empty = local(runtime.spark, [], deltas.weighted(self.schema))
-        self.store = Store(runtime.spark, self.schema, key or self.schema.names)
+        self.store = Store(runtime.spark, self.schema, key or self.schema.names, sought=not inputs)  # only a source looks for rows of its own
         #: Deltas from number ``first`` on; those that all readers have taken in are dropped.
         self.log: list[Delta] = []
         self.first = 0
@@ -599,11 +599,17 @@ class Sorted:
         return Windows(self, size, lambda w: [F.array(*w).alias("window")])
 
 
+def both_sides(before: DataFrame, new: Delta, names: list[str]) -> DataFrame:
+    """The rows of a state and a delta to it, with how often each adds to what is there before and after."""
+    was = before.select(*[F.col(f"`{n}`") for n in names], F.col(W).alias(ordered.OLD), F.col(W).alias(ordered.NEW))
+    return was.unionByName(new.frame().select(*[F.col(f"`{n}`") for n in names], F.lit(0).cast("long").alias(ordered.OLD), F.col(W).alias(ordered.NEW)))
+
+
 class PositionFeed:
     """What changes in a sorted collection, as steps for a list: (version, step, op, idx, the row's columns).
 
     Done in order of ``step``, they make the list of the version before into that of this one: ``removed`` from the end on, each at its position then, and
-    ``inserted`` from the start on. The first poll inserts all rows that are there. A poll makes two passes over the rows, one for each order, by ranges."""
+    ``inserted`` from the start on. The first poll inserts all rows that are there. A poll follows both orders in one pass over the rows, by ranges."""
 
     def __init__(self, order: Sorted):
         if order.by is not None:
@@ -622,31 +628,70 @@ class PositionFeed:
             steps = StructType().add("version", "long").add("step", "long").add("op", "string").add("idx", "long")
             out = local(up.runtime.spark, [], StructType([*steps.fields, *up.schema.fields]))
             if new is not None:
-                out = materialize(self._steps(new, self.before, now, version).select(*out.columns))
+                out = materialize(self._steps(new, self.before, version).select(*out.columns))
             self.before, self.version, self.reader.at = now, version, end
             up.forget()
             return out
 
-    def _steps(self, new: Delta, old: Store, now: Store, version: int) -> DataFrame:
-        names = self.order.upstream.schema.names
-
-        def places(store: Store, sign: int) -> DataFrame:
-            """The rows of a state that the delta takes away or brings, with their positions; of equal rows the last ones."""
-            numbered = ordered.entries(expand(store.frame()), self.order.keys, idx="idx")
-            touched = new.frame().where(F.col(W) * sign > 0).select(*[F.col(f"`{n}`").alias(f"__m{i}") for i, n in enumerate(names)], F.abs(F.col(W)).alias("__n"))
-            on = fold(lambda a, b: a & b, [F.col(f"`{n}`").eqNullSafe(F.col(f"__m{i}")) for i, n in enumerate(names)])
-            met = numbered.join(touched, on)
-            from_end = F.row_number().over(Window.partitionBy(*[f"__m{i}" for i in range(len(names))]).orderBy(F.col("idx").desc()))
-            return met.withColumn("__e", from_end).where(F.col("__e") <= F.col("__n")).select(*names, "idx")
-
-        gone = places(old, -1).withColumn("op", F.lit("removed")) if old.rows else None
-        came = places(now, 1).withColumn("op", F.lit("inserted"))
-        both = came if gone is None else gone.unionByName(came)
-        first = F.when(F.col("op") == "removed", -F.col("idx")).otherwise(F.col("idx"))
-        steps = ordered.entries(both.withColumn("__f", first), [ordered.desc("op"), "__f"], idx="step")
+    def _steps(self, new: Delta, old: Store, version: int) -> DataFrame:
+        steps = ordered.moves(both_sides(old.raw(), new, self.order.upstream.schema.names), self.order.keys, old.rows + new.n)
         return steps.withColumn("version", F.lit(version).cast("long"))
 
 
+class Follower:
+    """A list that only follows a feed's steps, as a table of ``idx`` from 0 and the rows' columns.
+
+    A row that stays moves by what is removed and inserted before it. Both are counted in blocks of positions, so no task holds more than a block of
+    the list, and the driver a number for each block. A step that removes another row than the list has there is an error."""
+
+    def __init__(self, spark: SparkSession, schema: StructType):
+        self.spark, self.schema, self.n = spark, schema, 0
+        self.table = local(spark, [], StructType([*StructType().add("idx", "long").fields, *schema.fields]))
+
+    def rows(self) -> DataFrame:
+        return self.table
+
+    def take(self, steps: DataFrame) -> None:
+        """The steps of one poll."""
+        size, columns = ordered.RANGE_ROWS, ["idx", *self.schema.names]
+        block = lambda c: F.expr(f"int({c} div {size})").alias("__k")
+        removed = {r["__k"]: r["n"] for r in steps.where("op = 'removed'").groupBy(block("idx")).agg(F.count("*").alias("n")).collect()}
+        gone = sum(removed.values())
+        new = steps.where("op = 'inserted'")
+        if not self.n:
+            if gone:
+                raise ValueError("a row is removed from an empty list")
+            table = materialize(new.select(*columns))
+            self.table, self.n = table, table.count()
+            return
+        gaps = new.groupBy((F.col("idx") - F.col("step") + gone).alias("__r")).agg(F.count("*").alias("__c"))
+        if gone:
+            blocks = -(-self.n // size)
+            bases = ordered.ahead({b: [size - removed.get(b, 0)] for b in range(blocks)}, blocks)[:-1]
+            both = self.table.select(*columns, F.lit(0).alias("__g")).unionByName(steps.where("op = 'removed'").select(*columns, F.lit(1).alias("__g")))
+            w = Window.partitionBy("__k").orderBy("idx", "__g")
+            seen = both.withColumn("__k", block("idx")).withColumns({
+                "__x": F.struct(*columns), "__s": F.sum(1 - 2 * F.col("__g")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+                "__last": F.lag(F.struct(*columns)).over(w), "__next": (F.lead("__g").over(w) == 1) & (F.lead("idx").over(w) == F.col("idx"))})
+            other = (F.col("__g") == 1) & ~F.col("__last").eqNullSafe(F.col("__x"))
+            stay = seen.where(F.when(other, F.raise_error(F.lit("another row was removed")).cast("boolean")).otherwise((F.col("__g") == 0) & ~F.coalesce("__next", F.lit(False))))
+            base = self.spark.createDataFrame(bases, "__home int, __ahead long")
+            stay = stay.join(F.broadcast(base), F.col("__k") == F.col("__home")).withColumn("__r", F.col("__s") - 1 + F.col("__ahead"))
+        else:
+            stay = self.table.withColumn("__r", F.col("idx"))
+        came = {r["__k"]: [r["n"]] for r in gaps.groupBy(block("__r")).agg(F.sum("__c").alias("n")).collect()}
+        if came:
+            base = self.spark.createDataFrame(ordered.ahead(came, max(max(came), (self.n - gone) // size) + 1)[:-1], "__home int, __ahead long")
+            both = stay.select("__r", *self.schema.names, F.lit(0).cast("long").alias("__c")).unionByName(gaps, allowMissingColumns=True)
+            w = Window.partitionBy("__k").orderBy("__r", F.col("__c").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            moved = both.withColumn("__k", block("__r")).withColumn("__s", F.sum("__c").over(w)).where("__c = 0")
+            moved = moved.join(F.broadcast(base), F.col("__k") == F.col("__home")).withColumn("idx", F.col("__r") + F.col("__s") + F.col("__ahead"))
+        else:
+            moved = stay.withColumn("idx", F.col("__r"))
+        self.table = materialize(moved.select(*columns).unionByName(new.select(*columns)))
+        self.n += sum(n for n, in came.values()) - gone
+
+
 class Windows(Collection):
     """Only what can have changed is read: the rows between the first and the last changed place and size - 1 more on
     either side, or the groups that changed; the windows there before and after give the delta."""
@@ -751,4 +796,4 @@ def collection(runtime: Runtime, schema: StructType | str, key: Sequence[str] |
     return Source(runtime, schema, key, label)
 
 
-__all__ = ["Collection", "Grouped", "PositionFeed", "Sorted", "Source", "collection"]
+__all__ = ["Collection", "Follower", "Grouped", "PositionFeed", "Sorted", "Source", "collection"]
