@@ -30,6 +30,8 @@ from .graph import Cell, Runtime
 
 #: Rows of a state up to which its windows are made again as a whole: finding the stretch would cost more jobs than it saves.
 SMALL_ROWS = 20_000
+#: A delta of over a part in so many of a state concerns most of its order or its groups: all is read, without looking for the part.
+NEAR = 8
 #: Keys that ``Grouped.keys`` gives as a list at most.
 MOST_KEYS = 1_000_000
 
@@ -705,22 +707,15 @@ class Windows(Collection):
         one = upstream.empty.select(*[F.struct(*names).alias(f"w{k}") for k in range(size)])
         super().__init__(upstream.runtime, one.select(*shape(one.columns)).schema, True, [upstream])
         self.before = Store(spark, upstream.schema, names)
-        self.weights = Store(spark, self.schema, self.schema.names)
+        self.weights = None if upstream.is_set else Store(spark, self.schema, self.schema.names)
 
     def _change(self, d: Delta) -> tuple[Delta | None, Move | None]:
         old, now = self.before, self.inputs[0].store
         few = old.rows + d.n <= min(SMALL_ROWS, deltas.HELD_ROWS)
-        if few:
-            sides = [old.frame(), now.frame()]
-        elif self.order.by is not None:
-            groups = d.frame().select(self.order.by.alias("__g")).distinct()
-            near = lambda store: store.raw().withColumn("__tg", self.order.by).join(groups, F.col("__tg").eqNullSafe(F.col("__g")), "left_semi")
-            sides = [consolidate(near(s).select(*self.inputs[0].schema.names, W)) for s in (old, now)]
-        else:
-            sides = self._stretch(d, old, now)
-        bag = self._windows(sides, few)
-        change = hold(bag, self.schema, few=few)
-        out, grow = (change, None) if not change.n else as_set(self, change)
+        bag = self._windows([old.frame(), now.frame()]) if few else self._changed(d, old, now)
+        # of a set each window is there once, as its first row is: what changes is all there is to know
+        change = hold(bag, self.schema, few=few, single=self.weights is None and not few)
+        out, grow = (change, None) if not change.n or self.weights is None else as_set(self, change)
 
         def move() -> None:
             self.before = now
@@ -729,21 +724,41 @@ class Windows(Collection):
 
         return out, move
 
-    def _windows(self, sides: list[DataFrame], few: bool) -> DataFrame:
+    def _windows(self, sides: list[DataFrame]) -> DataFrame:
         """The windows of the new state with weight 1 and those of the old one with weight -1."""
         tagged = [expand(s).withColumn("__side", F.lit(k)) for k, s in enumerate(sides)]
         rows, by = tagged[0].unionByName(tagged[1]), ["__side"]
         if self.order.by is not None:
             rows, by = rows.withColumn("__g", self.order.by), [*by, "__g"]
-        found = ordered.leads(rows, self.order.keys, self.size, by=by, range_rows=None if few else ordered.RANGE_ROWS)
-        names = self.inputs[0].schema.names
-        clean = found.select("__side", *[F.struct(*[F.col(f"w{k}").getField(n).alias(n) for n in names]).alias(f"w{k}") for k in range(self.size)])
-        return clean.select(*self.shape([f"w{k}" for k in range(self.size)]), (F.col("__side") * 2 - 1).cast("long").alias(W))
+        found = ordered.leads(rows, self.order.keys, self.size, by=by, range_rows=None)
+        return self._shaped(found, (F.col("__side") * 2 - 1).cast("long"))
 
-    def _stretch(self, d: Delta, old: Store, now: Store) -> list[DataFrame]:
+    def _shaped(self, found: DataFrame, weight: Column) -> DataFrame:
+        names = self.inputs[0].schema.names
+        clean = found.select(weight.alias("__weight"), *[F.struct(*[F.col(f"w{k}").getField(n).alias(n) for n in names]).alias(f"w{k}") for k in range(self.size)])
+        return clean.select(*self.shape([f"w{k}" for k in range(self.size)]), F.col("__weight").alias(W))
+
+    def _changed(self, d: Delta, old: Store, now: Store) -> DataFrame:
+        """The windows that come and go, in one pass over the rows of both states, or over those that a change of a few rows can concern."""
+        names, by, most = self.inputs[0].schema.names, self.order.by, old.rows + d.n
+        rows = both_sides(old.raw(), d, names)
+        if by is not None:
+            rows = rows.withColumn("__g", by)
+        if NEAR * d.n < old.rows:
+            if by is not None:
+                groups = d.frame().select(by.alias("__tg")).distinct()
+                rows = rows.join(groups, F.col("__g").eqNullSafe(F.col("__tg")), "left_semi")
+            else:
+                values, inside = self._stretch(d, old, now)
+                rows = rows.withColumns(values).where(inside).drop(*values)
+            most = rows.count()
+        found = ordered.changed_windows(rows, self.order.keys, self.size, most, by=[] if by is None else ["__g"], unique=self.weights is None, weight="__ww")
+        return self._shaped(found, F.col("__ww"))
+
+    def _stretch(self, d: Delta, old: Store, now: Store) -> tuple[dict[str, Column], Column]:
+        """Columns of a row's place in the order, and which places a change can concern."""
         keys, names, reach = ordered.order_by(self.order.keys), self.inputs[0].schema.names, self.size - 1
         values = [k.column.alias(f"__o{i}") for i, k in enumerate(keys)]
-        drop = [f"__o{i}" for i in range(len(keys))]
         sense = lambda back: [ordered.Key(F.col(f"__o{i}"), k.descending).sort(back) for i, k in enumerate(keys)]
         places = d.frame().select(*values)
         types = [f.dataType for f in places.schema.fields]
@@ -771,8 +786,7 @@ class Windows(Collection):
         # outside of the stretch the old and the new state are the same
         low = (away(now, _before(keys, types, first), True) if reach else None) or first
         high = (away(now, _before(keys, types, last, after=True), False) if reach else None) or last
-        inside = ~_before(keys, types, low) & ~_before(keys, types, high, after=True)
-        return [consolidate(s.raw().select(*names, W, *values).where(inside).drop(*drop)) for s in (old, now)]
+        return {f"__o{i}": k.column for i, k in enumerate(keys)}, ~_before(keys, types, low) & ~_before(keys, types, high, after=True)
 
 
 def _before(keys: Sequence[ordered.Key], types: Sequence[DataType], place: Any, after: bool = False) -> Column:
